@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.operators.vocabulary import by_frequency
 from strandline.plans.lookup import lookup_join
 from strandline.plans.neighbours import over_neighbours
+from strandline.session import written
 
 START, END = "<sos>", "<eos>"
 
@@ -42,25 +43,25 @@ class ContextRankModel:
 
     def __init__(self, train: DataFrame):
         context = with_context(train)
-        triples = context.groupBy("left_key", "right_key", "key").agg(F.count(F.lit(1)).alias("c3"))
+        triples = written(context.groupBy("left_key", "right_key", "key").agg(F.count(F.lit(1)).alias("c3")))
         pairs = triples.groupBy("left_key", "key").agg(F.sum("c3").alias("c2"))
         singles = pairs.groupBy("key").agg(F.sum("c2").alias("freq"))
-        self.overall = by_frequency(singles, "overall_rank").select("key", "overall_rank")
+        self.overall = written(by_frequency(singles, "overall_rank").select("key", "overall_rank"))
         after_left = Window.partitionBy("left_key").orderBy(F.desc("c2"), "overall_rank")
-        self.followers = pairs.join(self.overall, "key").select(
+        self.followers = written(pairs.join(self.overall, "key").select(
             "left_key", "key", "overall_rank", F.row_number().over(after_left).alias("left_rank")
-        )
+        ))
         between = Window.partitionBy("left_key", "right_key").orderBy(F.desc("c3"), "left_rank")
-        self.fillers = triples.join(self.followers, ["left_key", "key"]).select(
+        self.fillers = written(triples.join(self.followers, ["left_key", "key"]).select(
             "left_key", "right_key", "key", "left_rank", F.row_number().over(between).alias("fill_rank")
-        )
+        ))
 
     def ranks(self, contexts: DataFrame) -> DataFrame:
         """0-based rank of every distinct ``(left_key, right_key, key)``; a key never trained on ranks after all."""
         asked = contexts.select("left_key", "right_key", "key").distinct()
-        known = asked.join(self.fillers.drop("left_rank"), ["left_key", "right_key", "key"], "left").join(
+        known = written(asked.join(self.fillers.drop("left_rank"), ["left_key", "right_key", "key"], "left").join(
             self.followers.select("left_key", "key", "left_rank"), ["left_key", "key"], "left"
-        ).join(self.overall, "key", "left")
+        ).join(self.overall, "key", "left"))
         middle = known.filter(F.col("fill_rank").isNull() & F.col("left_rank").isNotNull())
         ahead = _worse_placed(middle, self.fillers, ["left_key", "right_key"], "left_rank")
         outer = known.filter(F.col("left_rank").isNull() & F.col("overall_rank").isNotNull())
@@ -80,7 +81,7 @@ class ContextRankModel:
 
     def score(self, elements: DataFrame) -> DataFrame:
         """Add ``rank`` to every element, each masked on its own."""
-        context = with_context(elements)
+        context = written(with_context(elements))
         return lookup_join(
             context, self.ranks(context), ["left_key", "right_key", "key"], "left", F.col("pos")
         ).drop("left_key", "right_key")
@@ -88,7 +89,7 @@ class ContextRankModel:
     def score_sequences(self, elements: DataFrame, g: int) -> DataFrame:
         """``seq_id, undetected_tokens, masked_tokens, element_anomaly_score`` with equal contexts counted once."""
         context = with_context(elements)
-        counted = context.groupBy("seq_id", "left_key", "right_key", "key").agg(F.count(F.lit(1)).alias("cnt"))
+        counted = written(context.groupBy("seq_id", "left_key", "right_key", "key").agg(F.count(F.lit(1)).alias("cnt")))
         ranked = lookup_join(
             counted, self.ranks(counted), ["left_key", "right_key", "key"], "left", F.col("seq_id")
         )
@@ -121,7 +122,7 @@ class NextEventModel:
         ).groupBy("_s.order", "_s.suffix", "next_key").agg(F.sum("cnt").alias("cnt"))
         best = Window.partitionBy("order", "suffix").orderBy(F.desc("cnt"), "next_key")
         top = orders.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= g)
-        self.candidates = top.groupBy("order", "suffix").agg(F.collect_set("next_key").alias("top"))
+        self.candidates = written(top.groupBy("order", "suffix").agg(F.collect_set("next_key").alias("top")))
 
     def _suffixes(self, context: Column) -> Column:
         return F.array(*[

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from strandline.plans.lookup import lookup_join
 from strandline.plans.neighbours import over_neighbours
 from strandline.plans.running import line_block, numbered, running
+from strandline.session import written
 
 MIN_LEN = 10
 MAX_LEN = 512
@@ -83,6 +84,7 @@ class TimeWindows:
         if stop == "last_event":
             ended = lines.filter(F.col("epoch") < first + window).agg(F.max("epoch")).first()[0]
             self.reach = ended - first
+        self._slots = None
         self.slot_size = math.gcd(math.gcd(window, step), self.reach) if self.reach else step
         self.last_window = max(0, (last - first - self.reach) // step + 1)
         if last - first < window:
@@ -111,10 +113,12 @@ class TimeWindows:
         ).otherwise(ids)
 
     def slot_windows(self) -> DataFrame:
-        slots = self.lines.groupBy(self._slot().alias("slot")).agg(
-            F.min("line_id").alias("low"), F.max("line_id").alias("high"),
-            F.count(F.lit(1)).alias("n"), F.max("el_label").alias("label"),
-        )
+        if self._slots is None:
+            self._slots = written(self.lines.groupBy(self._slot().alias("slot")).agg(
+                F.min("line_id").alias("low"), F.max("line_id").alias("high"),
+                F.count(F.lit(1)).alias("n"), F.max("el_label").alias("label"),
+            ))
+        slots = self._slots
         ids = self._head(self._windows_of_slot(F.col("slot")), F.col("slot"))
         return slots.withColumn("k", F.explode(ids))
 

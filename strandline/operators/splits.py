@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import written
 from strandline.plans.running import HASH_BLOCK_DIGITS, numbered, running, shuffled
 
 
-def share_cut(total: Column, ratio: float) -> Column:
+def share_cut(total: Column, ratio: float | Column) -> Column:
     """First ``int(total * ratio)`` rows."""
-    return F.floor(total.cast("double") * F.lit(float(ratio))).cast("long")
+    return F.floor(total.cast("double") * F.lit(ratio)).cast("long")
 
 
 def normal_split(sequences: DataFrame, ratio: float, seed: int, abnormal_seed: int = 12) -> DataFrame:
@@ -18,16 +19,15 @@ def normal_split(sequences: DataFrame, ratio: float, seed: int, abnormal_seed: i
 
     ``sequences`` has ``seq_id`` and ``label``; sequences without a label fall out.
     """
-    normal = shuffled(sequences.filter(F.col("label") == 0), "seq_id", seed, "_rank", total="_total")
-    abnormal = shuffled(sequences.filter(F.col("label") == 1), "seq_id", abnormal_seed, "_rank", total="_total")
-    parted = normal.withColumn(
-        "part", F.when(F.col("_rank") <= share_cut(F.col("_total"), ratio), "train").otherwise("test_normal")
-    ).unionByName(
-        abnormal.withColumn(
-            "part", F.when(F.col("_rank") <= share_cut(F.col("_total"), 0.5), "test_abnormal").otherwise("valid_abnormal")
-        )
-    )
-    return parted.drop("_rank", "_total")
+    labelled = sequences.filter(F.col("label").isin(0, 1))
+    class_seed = F.when(F.col("label") == 0, str(seed)).otherwise(str(abnormal_seed))
+    ranked = shuffled(labelled, "seq_id", class_seed, "_rank", within=["label"], total="_total")
+    first = F.when(F.col("label") == 0, "train").otherwise("test_abnormal")
+    second = F.when(F.col("label") == 0, "test_normal").otherwise("valid_abnormal")
+    share = F.when(F.col("label") == 0, F.lit(float(ratio))).otherwise(F.lit(0.5))
+    return ranked.withColumn(
+        "part", F.when(F.col("_rank") <= share_cut(F.col("_total"), share), first).otherwise(second)
+    ).drop("_rank", "_total")
 
 
 def holdout(sequences: DataFrame, ratio: float, seed: int, chosen: str, rest: str, out: str = "part") -> DataFrame:
@@ -160,10 +160,11 @@ def removal_order(counts: DataFrame) -> DataFrame:
     keys = pairs.groupBy("key").agg(
         F.count(F.lit(1)).alias("df"), F.max((F.col("part") == "train").cast("int")).alias("in_train")
     ).filter(F.col("in_train") == 1)
-    ranked = numbered(keys, ["df", "key"], F.least(F.col("df"), F.lit(4096)), "key_rank").select("key", "key_rank")
+    ranked = written(numbered(keys, ["df", "key"], F.least(F.col("df"), F.lit(4096)), "key_rank").select("key", "key_rank"))
     earliest = pairs.join(ranked, "key").groupBy("seq_id").agg(
         F.min("key_rank").alias("first_key"), F.max((F.col("part") == "test_normal").cast("int")).alias("_second")
     )
+    earliest = written(earliest)
     per_key = earliest.groupBy("first_key").agg(F.count(F.lit(1)).alias("_n"))
     reach = running(
         per_key, ["first_key"], F.floor(F.col("first_key") / 4096), {"_upto": ("sum", F.col("_n"))}
@@ -186,7 +187,7 @@ def instability_sweep(parts: DataFrame, counts: DataFrame, steps: int, seed: int
         F.count(F.when(F.col("part") == "test_normal", 1)).alias("surplus"),
     ).first()
     train, surplus = sizes["train"], sizes["surplus"]
-    order = removal_order(counts)
+    order = written(removal_order(counts))
     pool = parts.filter(F.col("part").isin("train", "test_normal")).select("seq_id", "part").join(
         order, "seq_id", "left"
     )
@@ -216,3 +217,28 @@ def covering_prefix(elements: DataFrame, n_distinct: int, order_col: str, block:
         sequences, [order_col], block, {"_seen": ("sum", F.coalesce("_new", F.lit(0).cast("long")))}
     ).withColumn("_new", F.coalesce("_new", F.lit(0).cast("long")))
     return counted.filter(F.col("_seen") - F.col("_new") < n_distinct).select("seq_id", order_col)
+
+
+def by_length(summary: DataFrame) -> DataFrame:
+    """Place of every sequence when sorted from longest to shortest: ``seq_id, n, place``.
+
+    Equal lengths are numbered inside their length in id order and shifted by the number of longer sequences.
+    """
+    lengths = summary.groupBy("n").agg(F.count(F.lit(1)).alias("_c"))
+    longer = running(
+        lengths, [F.desc("n")], -F.floor(F.col("n") / 4096), {"_upto": ("sum", F.col("_c"))}
+    ).select("n", (F.col("_upto") - F.col("_c")).alias("_before"))
+    same = numbered(summary, ["seq_id"], F.substring(F.col("seq_id").cast("string"), 1, 4), "_at", within=["n"])
+    return same.join(longer, "n").select("seq_id", "n", (F.col("_at") + F.col("_before")).alias("place"))
+
+
+def vocabulary_overlap(counts: DataFrame) -> DataFrame:
+    """Every key of the training and test vocabularies with the side it occurs on: both, train_only, test_only."""
+    sides = counts.filter(F.col("part").isin("train", "test_normal", "test_abnormal")).groupBy("key").agg(
+        F.max((F.col("part") == "train").cast("int")).alias("_tr"),
+        F.max((F.col("part") != "train").cast("int")).alias("_te"),
+    )
+    side = (
+        F.when((F.col("_tr") == 1) & (F.col("_te") == 1), "both").when(F.col("_tr") == 1, "train_only").otherwise("test_only")
+    )
+    return sides.select(side.alias("side"), "key")

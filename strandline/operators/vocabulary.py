@@ -21,14 +21,19 @@ def key_counts(elements: DataFrame, key: str = "key") -> DataFrame:
 
 def build_vocabulary(elements: DataFrame, min_freq: int = 1, max_size: int | None = None) -> DataFrame:
     """``key, idx, freq`` of all keys: most frequent first, ties in key order, after the reserved entries."""
-    counted = key_counts(elements).filter(
+    return build_from_counts(key_counts(elements), min_freq, max_size)
+
+
+def build_from_counts(counts: DataFrame, min_freq: int = 1, max_size: int | None = None) -> DataFrame:
+    """:func:`build_vocabulary` from ``key, freq``."""
+    usable = counts.filter(
         (F.col("key") != "") & ~F.col("key").isin(*SPECIALS) & (F.col("freq") >= max(min_freq, 1))
     )
-    ranked = by_frequency(counted, "_rank")
+    ranked = by_frequency(usable, "_rank")
     if max_size is not None:
         ranked = ranked.filter(F.col("_rank") <= max_size)
     words = ranked.select("key", (F.col("_rank") + len(SPECIALS) - 1).alias("idx"), "freq")
-    return special_rows(elements).unionByName(words)
+    return special_rows(counts).unionByName(words)
 
 
 def by_frequency(counted: DataFrame, out: str) -> DataFrame:

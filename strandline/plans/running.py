@@ -92,13 +92,13 @@ def numbered(
     )
 
 
-def hash_order(seed: int | str, id_col: str) -> Column:
+def hash_order(seed: int | str | Column, id_col: str) -> Column:
     """Reproducible shuffle key: md5 of seed and id."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    return F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(id_col).cast("string")))
 
 
 def shuffled(
-    df: DataFrame, id_col: str, seed: int | str, out: str, within: Sequence[str] = (), total: str | None = None
+    df: DataFrame, id_col: str, seed: int | str | Column, out: str, within: Sequence[str] = (), total: str | None = None
 ) -> DataFrame:
     """Number the rows of ``df`` in a seeded random order. The blocks are the leading hash digits."""
     keyed = df.withColumn("_hash", hash_order(seed, id_col))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +43,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a parquet table in the checkpoint folder and read it back.
+
+    For results that several branches of a job use: they are computed once, survive the loss of executors, and keep
+    column pruning and size statistics, so small ones are broadcast by size.
+    """
+    folder = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{folder}/strandline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
