@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["sequencing", "splitting"]
+AREAS = ["sequencing", "splitting", "detecting"]
 
 
 def all_registries():

@@ -122,7 +122,9 @@ class NextEventModel:
         ).groupBy("_s.order", "_s.suffix", "next_key").agg(F.sum("cnt").alias("cnt"))
         best = Window.partitionBy("order", "suffix").orderBy(F.desc("cnt"), "next_key")
         top = orders.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= g)
-        self.candidates = written(top.groupBy("order", "suffix").agg(F.collect_set("next_key").alias("top")))
+        self.candidates = written(top.groupBy("order", "suffix").agg(
+            F.array_sort(F.collect_list(F.struct("_r", "next_key"))).getField("next_key").alias("top")
+        ))
 
     def _suffixes(self, context: Column) -> Column:
         return F.array(*[
@@ -132,17 +134,19 @@ class NextEventModel:
         ])
 
     def flag(self, windows: DataFrame) -> DataFrame:
-        """Add ``flag``: 1 when the key that followed is not among the candidates of the longest known context."""
-        asked = windows.select("context", "next_key").distinct()
+        """Add ``flag`` and ``first``: whether the key that followed is not among the candidates of the longest known
+        context, and whether it is the best one."""
+        asked = written(windows.select("context", "next_key").distinct())
         tried = asked.select("*", F.explode(self._suffixes(F.col("context"))).alias("_s")).select(
             "context", "next_key", "_s.order", "_s.suffix"
         )
         answered = lookup_join(tried, self.candidates, ["order", "suffix"], "inner", F.col("next_key"))
         verdict = answered.groupBy("context", "next_key").agg(
-            F.max_by(F.when(F.array_contains("top", F.col("next_key")), 0).otherwise(1), F.col("order")).alias("flag")
+            F.max_by(F.array_position("top", F.col("next_key")), F.col("order")).alias("_place")
         )
         joined = lookup_join(windows, verdict, ["context", "next_key"], "left", F.struct("seq_id", "start"))
-        return joined.withColumn("flag", F.coalesce("flag", F.lit(1)).cast("long"))
+        place = F.coalesce("_place", F.lit(0).cast("long"))
+        return joined.withColumn("flag", (place == 0).cast("long")).withColumn("first", (place == 1).cast("long")).drop("_place")
 
 
 def flag_totals(flagged: DataFrame) -> DataFrame:

@@ -175,3 +175,26 @@ def exact_quantile(values: DataFrame, column: str, q: float, by: list[str] | Non
         statistic(low).alias("_low"), statistic(high).alias("_high"), F.first(at - low).alias("_f")
     )
     return picked.select(*by, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_f")).alias("quantile"))
+
+
+def window_and_session_metrics(flagged: DataFrame) -> DataFrame:
+    """Share of windows whose best candidate was right, and accuracy, F1, recall, precision of the session verdicts."""
+    windows = flagged.groupBy("seq_id").agg(
+        F.sum("first").alias("_right"), F.count(F.lit(1)).alias("_windows"), F.max("flag").alias("p"), F.max("label").alias("y")
+    )
+    sums = windows.agg(
+        F.sum("_right").alias("right"), F.sum("_windows").alias("windows"),
+        *[
+            F.count(F.when((F.col("p") == p) & (F.col("y") == y), 1)).alias(name)
+            for name, p, y in (("tp", 1, 1), ("fp", 1, 0), ("fn", 0, 1), ("tn", 0, 0))
+        ],
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    zero = F.lit(0.0)
+    return sums.select(
+        (F.col("right") / F.col("windows")).alias("window_acc"),
+        ((tp + tn) / (tp + fp + fn + tn)).alias("session_acc"),
+        F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(zero).alias("f1"),
+        F.when(tp + fn > 0, tp / (tp + fn)).otherwise(zero).alias("recall"),
+        F.when(tp + fp > 0, tp / (tp + fp)).otherwise(zero).alias("precision"),
+    )
