@@ -128,7 +128,7 @@ def areas(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     histogram = scored.groupBy(*by, "score").agg(
         F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg")
     )
-    block = -value_blocks(histogram, "score")
+    block = -value_blocks("score")
     summed = running(
         histogram, [F.desc("score")], block, {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))},
         within=by, totals={"p": "tp", "n": "fp"},
@@ -161,7 +161,7 @@ def exact_quantile(values: DataFrame, column: str, q: float, by: list[str] | Non
     by = by or []
     histogram = values.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(
-        histogram, ["_v"], value_blocks(histogram, "_v"), {"_upto": ("sum", F.col("_n"))},
+        histogram, ["_v"], value_blocks("_v"), {"_upto": ("sum", F.col("_n"))},
         within=by, totals={"_total": "_upto"},
     )
     at = F.lit(q) * (F.col("_total") - 1)

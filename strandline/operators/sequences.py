@@ -260,7 +260,7 @@ def next_event_windows(elements: DataFrame, width: int, pad: Column) -> DataFram
     )
 
 
-def truncate_or_pad(values: Column, n: int, fill: Column) -> Column:
+def truncate_or_pad(values: Column, n: int | Column, fill: Column) -> Column:
     """Array cut or right-padded to exactly ``n`` entries."""
     return F.slice(F.concat(values, F.array_repeat(fill, n)), 1, n)
 

@@ -96,7 +96,7 @@ def extend_vocabulary(vocab: DataFrame, elements: DataFrame) -> DataFrame:
 def first_seen_vocabulary(elements: DataFrame, order_col: str, offset: int) -> DataFrame:
     """``key, idx`` numbered by first appearance, starting at ``offset``."""
     seen = elements.groupBy("key").agg(F.min(order_col).alias("_first"))
-    ranked = numbered(seen, ["_first", "key"], value_blocks(seen, "_first"), "_rank")
+    ranked = numbered(seen, ["_first", "key"], value_blocks("_first"), "_rank")
     return ranked.select("key", (F.col("_rank") + offset - 1).alias("idx"))
 
 

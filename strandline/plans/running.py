@@ -106,11 +106,11 @@ def shuffled(
     return numbered(keyed, ["_hash", id_col], block, out, within, total).drop("_hash")
 
 
-def value_blocks(df: DataFrame, value: str, parts: int = 64) -> Column:
-    """Block expression for a numeric order column, cut at approximate quantiles (at most ``parts`` numbers)."""
-    cuts = df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.25 / parts)
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    points = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(points, lambda c: c <= F.col(value).cast("double")))
+def value_blocks(value: str, per_octave: int = 256) -> Column:
+    """Block of a non-negative or negative number: its sign and binary logarithm in steps. Never decreases with it."""
+    x = F.col(value).cast("double")
+    return (
+        F.when(x > 0, F.floor(F.log2(x) * per_octave) + F.lit(1 << 40))
+        .when(x < 0, -F.floor(F.log2(-x) * per_octave) - F.lit(1 << 40))
+        .otherwise(F.lit(0).cast("long"))
+    )
