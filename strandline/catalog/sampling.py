@@ -100,20 +100,20 @@ def encoded_orders(spark, folder):
 @query(
     "segment_pairs",
     "with " + ORDER_VOCAB + f""",
-    ln as (select seq_id, count(*) as n, row_number() over (order by seq_id) as rank, count(*) over () as total from oe group by 1),
+    ln as (select seq_id, count(*) as n, row_number() over (order by md5('5|' || seq_id), seq_id) as rank, count(*) over () as total from oe group by 1),
     ch as (select *, {unit(f"'{PAIR_SEED}|' || seq_id")} > 0.5 as own, cast(floor({unit(f"'{PAIR_SEED}|' || seq_id", 1)} * total) as bigint) + 1 as other from ln),
     pr as (select a.seq_id, case when own then 1 else 0 end as is_next, a.n // 2 as n1, b.seq_id as second_id, b.n - b.n // 2 as n2, b.n // 2 as from2
            from ch a join ln b on b.rank = case when own then a.rank else other end),
-    wd as (select p.seq_id, is_next, e.pos + 1 as at, 1 as segment, idx from pr p join oe e on e.seq_id = p.seq_id where e.pos < n1
+    wd as (select p.seq_id, is_next, e.pos + 1 as place, 1 as segment, idx from pr p join oe e on e.seq_id = p.seq_id where e.pos < n1
            union all select p.seq_id, is_next, n1 + 2 + e.pos - from2, 2, idx from pr p join oe e on e.seq_id = p.second_id where e.pos >= from2),
-    dr as (select *, {unit(f"'{PAIR_SEED}|' || seq_id || '|' || at", 2)} as u, {unit(f"'{PAIR_SEED}|' || seq_id || '|' || at", 3)} as u2 from wd),
-    al as (select seq_id, is_next, at, segment,
+    dr as (select *, {unit(f"'{PAIR_SEED}|' || seq_id || '|' || place", 2)} as u, {unit(f"'{PAIR_SEED}|' || seq_id || '|' || place", 3)} as u2 from wd),
+    al as (select seq_id, is_next, place, segment,
                   case when u < 0.15::double and u / 0.15::double < 0.8 then 4 when u < 0.15::double and u / 0.15::double < 0.9::double then floor(u2 * v) else idx end as input_id,
                   case when u < 0.15::double then idx else 0 end as label_id from dr, vs
            union all select seq_id, is_next, 0, 1, 3, 0 from pr union all select seq_id, is_next, n1 + 1, 1, 2, 0 from pr
            union all select seq_id, is_next, n1 + 2 + n2, 2, 2, 0 from pr)
-    select seq_id, cast(is_next as bigint) as is_next, cast(at as bigint) as at, cast(segment as bigint) as segment, cast(input_id as bigint) as input_id,
-           cast(label_id as bigint) as label_id from al where at < {PAIR_LEN}""",
+    select seq_id, cast(is_next as bigint) as is_next, cast(place as bigint) as place, cast(segment as bigint) as segment, cast(input_id as bigint) as input_id,
+           cast(label_id as bigint) as label_id from al where place < {PAIR_LEN}""",
 )
 def segment_pairs(spark, folder):
     size, encoded = encoded_orders(spark, folder)
@@ -124,7 +124,7 @@ def segment_pairs(spark, folder):
     "pad_batches",
     "with " + ORDER_VOCAB + """,
     ln as (select seq_id, count(*) + 1 as n from oe group by 1),
-    pl as (select *, (row_number() over (order by n desc, seq_id) - 1) // 32 as batch from ln),
+    pl as (select *, (row_number() over (order by n desc, md5(cast(seq_id as varchar)), seq_id) - 1) // 32 as batch from ln),
     wd as (select batch, least(max(n), 10) as width from pl group by 1)
     select pl.seq_id, cast(batch as bigint) as batch, cast(width as bigint) as width,
            string_agg(cast(case when i = 0 then 3 else coalesce(idx, 0) end as varchar), ' ' order by i) as ids

@@ -141,7 +141,7 @@ def split_holdout(spark, folder):
 @query(
     "split_length_order",
     "with " + SESSIONS + """
-    select seq_id, n, row_number() over (order by n desc, seq_id) as place from seqs""",
+    select seq_id, n, row_number() over (order by n desc, md5(seq_id), seq_id) as place from seqs""",
 )
 def split_length_order(spark, folder):
     return splits.by_length(inputs.session_summary(spark, folder).select("seq_id", "n"))

@@ -35,7 +35,7 @@ def structured(spark, folder):
     """Structured event log with dense line ids."""
     lines = tables.event_text(spark, folder)
     made = logs.structure_table(lines, tables.EVENT_TEXT_FORMAT, "line_no")
-    return made.withColumnRenamed("LineId", "line_id")
+    return written(made.withColumnRenamed("LineId", "line_id"))
 
 
 def masked(spark, folder):
@@ -265,7 +265,7 @@ def time_parse(spark, folder):
 
 @query("template_mine_fixed_depth")
 def template_mine_fixed_depth(spark, folder):
-    lines = written(structured(spark, folder).select("line_id", "Content"))
+    lines = structured(spark, folder).select("line_id", "Content")
     mined = templates.mine_fixed_depth(lines, "Content", text.MASKS["supercomputer"], depth=3, similarity=0.3)
     return templates.template_table(mined)
 
@@ -273,13 +273,13 @@ def template_mine_fixed_depth(spark, folder):
 @query("template_mine_fixed_depth_routed")
 def template_mine_fixed_depth_routed(spark, folder):
     """Two leading tokens route and only paths are masked, so numbers are left to the miner."""
-    lines = written(structured(spark, folder).select("line_id", "Content"))
+    lines = structured(spark, folder).select("line_id", "Content")
     mined = templates.mine_fixed_depth(lines, "Content", text.MASKS["block_store"], depth=5, similarity=0.5)
     return templates.template_table(mined)
 
 
 @query("template_mine_lcs")
 def template_mine_lcs(spark, folder):
-    lines = written(structured(spark, folder).select("line_id", "Content"))
+    lines = structured(spark, folder).select("line_id", "Content")
     mined = templates.mine_common_subsequence(lines, "Content", text.MASKS["supercomputer"], tau=0.55)
     return templates.template_table(mined)

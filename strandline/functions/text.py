@@ -113,10 +113,30 @@ def binary_label(text: Column, normal: str = "-") -> Column:
     return F.when(text != normal, 1).otherwise(0)
 
 
+def matching_lines(lines: DataFrame, log_format: str, line: str = "line") -> DataFrame:
+    """Lines that match the format, stripped."""
+    pattern, _ = header_pattern(log_format)
+    stripped = lines.withColumn(line, F.regexp_replace(line, r"^\s+|\s+$", ""))
+    return stripped.filter(F.col(line).rlike(pattern))
+
+
+# Separators that do not occur in ordinary text; lines that hold them are parsed header by header.
+_HEAD, _NEXT = "\x1e", "\x1f"
+
+
 def parse_headers(lines: DataFrame, log_format: str, line: str = "line") -> DataFrame:
-    """Header columns of the lines that match the format; other lines are dropped."""
+    """Header columns of the lines that match the format; other lines are dropped.
+
+    The pattern rewrites a matching line as its headers between separators, whatever the number of headers. The fields
+    are exploded from an array of none or one: unlike a filter, this is not copied in front of the parse.
+    """
     pattern, headers = header_pattern(log_format)
-    stripped = lines.withColumn(line, F.regexp_replace(line, r"^\s+|\s+$", ""))
-    matching = stripped.filter(F.col(line).rlike(pattern))
+    text = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
+    replacement = _HEAD + _NEXT.join(f"${i + 1}" for i in range(len(headers)))
+    rewritten = F.regexp_replace(text, pattern, replacement)
+    quick = F.split(F.substring(rewritten, 2, 1 << 30), _NEXT)
+    slow = F.when(text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, i + 1) for i in range(len(headers))]))
+    fields = F.when(text.rlike(f"[{_HEAD}{_NEXT}]"), slow).when(rewritten.startswith(_HEAD), quick)
     kept = [c for c in lines.columns if c != line]
-    return matching.select(*kept, *[F.regexp_extract(line, pattern, i + 1).alias(h) for i, h in enumerate(headers)])
+    parsed = lines.select(*kept, F.explode(F.array_compact(F.array(fields))).alias("_h"))
+    return parsed.select(*kept, *[F.col("_h")[i].alias(h) for i, h in enumerate(headers)])

@@ -14,7 +14,8 @@ from strandline.operators.sequences import truncate_or_pad
 from strandline.operators.splits import by_length
 from strandline.operators.vocabulary import EOS, MASK, PAD, SOS
 from strandline.plans.lookup import lookup_join
-from strandline.plans.running import line_block, numbered
+from strandline.plans.running import shuffled
+from strandline.session import written
 
 # Shares of the chosen elements that become the mask or a random entry; the rest stay unchanged.
 MASK_SHARE, RANDOM_SHARE = 0.8, 0.1
@@ -83,11 +84,10 @@ def mask_each_position(elements: DataFrame) -> DataFrame:
 def segment_pairs(encoded: DataFrame, seq_len: int, vocab_size: int, seed: int, ratio: float = 0.15) -> DataFrame:
     """Pairs of sequence halves: the own second half or, for half of the sequences, another sequence's.
 
-    ``seq_id, is_next, at, segment, input_id, label_id``: start, first half, end, second half, end; cut to ``seq_len``.
+    ``seq_id, is_next, place, segment, input_id, label_id``: start, first half, end, second half, end; cut to ``seq_len``.
     """
     lengths = encoded.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
-    ranked = numbered(lengths, ["seq_id"], line_block("seq_id"), "rank", total="total")
-    # Blocks of ids may be small or large; the rank is dense either way.
+    ranked = written(shuffled(lengths, "seq_id", seed, "rank", total="total"))
     partner = F.floor(uniform(seed, F.col("seq_id"), word=1) * F.col("total")).cast("long") + 1
     chosen = ranked.withColumn("is_next", (uniform(seed, F.col("seq_id")) > 0.5).cast("long")).withColumn(
         "second", F.when(F.col("is_next") == 1, F.col("rank")).otherwise(partner)
@@ -96,19 +96,19 @@ def segment_pairs(encoded: DataFrame, seq_len: int, vocab_size: int, seed: int,
     seconds = ranked.select(F.col("rank").alias("second"), F.col("seq_id").alias("second_id"), (F.col("n") - half).alias("n2"), half.alias("from2"))
     pairs = chosen.select("seq_id", "is_next", half.alias("n1"), "second").join(seconds, "second")
     first = encoded.join(pairs.select("seq_id", "is_next", "n1"), "seq_id").filter(F.col("pos") < F.col("n1")).select(
-        "seq_id", "is_next", (F.col("pos") + 1).alias("at"), F.lit(1).cast("long").alias("segment"), "idx"
+        "seq_id", "is_next", (F.col("pos") + 1).alias("place"), F.lit(1).cast("long").alias("segment"), "idx"
     )
     tail = pairs.select("seq_id", "is_next", "n1", "second_id", "from2")
     second = encoded.withColumnRenamed("seq_id", "second_id").join(tail, "second_id").filter(F.col("pos") >= F.col("from2")).select(
-        "seq_id", "is_next", (F.col("n1") + 2 + F.col("pos") - F.col("from2")).alias("at"), F.lit(2).cast("long").alias("segment"), "idx"
+        "seq_id", "is_next", (F.col("n1") + 2 + F.col("pos") - F.col("from2")).alias("place"), F.lit(2).cast("long").alias("segment"), "idx"
     )
-    words = first.unionByName(second).filter(F.col("at") < seq_len)
-    draw = uniform(seed, F.col("seq_id"), F.col("at"), word=2)
+    words = first.unionByName(second).filter(F.col("place") < seq_len)
+    draw = uniform(seed, F.col("seq_id"), F.col("place"), word=2)
     kind, hit = draw / ratio, draw < ratio
-    random_id = F.floor(uniform(seed, F.col("seq_id"), F.col("at"), word=3) * vocab_size).cast("long")
+    random_id = F.floor(uniform(seed, F.col("seq_id"), F.col("place"), word=3) * vocab_size).cast("long")
     true_id = F.col("idx").cast("long")
     masked = words.select(
-        "seq_id", "is_next", "at", "segment",
+        "seq_id", "is_next", "place", "segment",
         F.when(hit & (kind < MASK_SHARE), F.lit(MASK).cast("long")).when(hit & (kind < MASK_SHARE + RANDOM_SHARE), random_id).otherwise(true_id).alias("input_id"),
         F.when(hit, true_id).otherwise(F.lit(PAD).cast("long")).alias("label_id"),
     )
@@ -117,12 +117,12 @@ def segment_pairs(encoded: DataFrame, seq_len: int, vocab_size: int, seed: int,
         F.explode(F.array(
             _mark(F.lit(0), 1, SOS), _mark(F.col("n1") + 1, 1, EOS), _mark(F.col("n1") + 2 + F.col("n2"), 2, EOS)
         )).alias("m"),
-    ).select("seq_id", "is_next", "m.*", F.lit(PAD).cast("long").alias("label_id")).filter(F.col("at") < seq_len)
+    ).select("seq_id", "is_next", "m.*", F.lit(PAD).cast("long").alias("label_id")).filter(F.col("place") < seq_len)
     return masked.unionByName(marks)
 
 
 def _mark(at: Column, segment: int, idx: int) -> Column:
-    return F.struct(at.cast("long").alias("at"), F.lit(segment).cast("long").alias("segment"), F.lit(idx).cast("long").alias("input_id"))
+    return F.struct(at.cast("long").alias("place"), F.lit(segment).cast("long").alias("segment"), F.lit(idx).cast("long").alias("input_id"))
 
 
 def padded_batches(framed: DataFrame, batch_size: int, seq_len: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandline.plans.lookup import lookup_join
 from strandline.plans.neighbours import over_neighbours
-from strandline.plans.running import line_block, numbered, running
+from strandline.plans.running import Blocks, line_block, numbered, running
 from strandline.session import written
 
 MIN_LEN = 10
@@ -24,7 +24,7 @@ PAD_TEXT = "#Pad"
 
 
 def sessions_by_column(
-    lines: DataFrame, id_col: str, order: Sequence[Column | str] = ("line_id",), block: Column | None = None
+    lines: DataFrame, id_col: str, order: Sequence[Column | str] = ("line_id",), block: Column | Blocks | None = None
 ) -> DataFrame:
     """Elements of id sessions: every line belongs to the session named in ``id_col``, in line order."""
     placed = numbered(

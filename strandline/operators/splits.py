@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.session import written
-from strandline.plans.running import HASH_BLOCK_DIGITS, numbered, running, shuffled
+from strandline.plans.running import HASH_BLOCK_DIGITS, Blocks, numbered, running, shuffled
 
 
 def share_cut(total: Column, ratio: float | Column) -> Column:
@@ -43,7 +43,7 @@ def sample_count(sequences: DataFrame, n: int, seed: int) -> DataFrame:
     return shuffled(sequences, "seq_id", seed, "_rank").filter(F.col("_rank") <= n).drop("_rank")
 
 
-def class_uniform_split(sequences: DataFrame, ratio: float, order_col: str, block: Column) -> DataFrame:
+def class_uniform_split(sequences: DataFrame, ratio: float, order_col: str, block: Column | Blocks) -> DataFrame:
     """Within each class the first ``int(n * ratio)`` sequences in log order train, the rest test."""
     ranked = numbered(sequences, [order_col], block, "_rank", within=["label"], total="_total")
     return ranked.withColumn(
@@ -51,7 +51,7 @@ def class_uniform_split(sequences: DataFrame, ratio: float, order_col: str, bloc
     ).drop("_rank", "_total")
 
 
-def sequential_split(sequences: DataFrame, ratio: float, order_col: str, block: Column) -> DataFrame:
+def sequential_split(sequences: DataFrame, ratio: float, order_col: str, block: Column | Blocks) -> DataFrame:
     """The first ``int(n * ratio)`` sequences in log order train, whatever their class."""
     ranked = numbered(sequences, [order_col], block, "_rank", total="_total")
     return ranked.withColumn(
@@ -208,7 +208,7 @@ def instability_sweep(parts: DataFrame, counts: DataFrame, steps: int, seed: int
     return original.unionByName(moved).unionByName(sampled).unionByName(abnormal)
 
 
-def covering_prefix(elements: DataFrame, n_distinct: int, order_col: str, block: Column) -> DataFrame:
+def covering_prefix(elements: DataFrame, n_distinct: int, order_col: str, block: Column | Blocks) -> DataFrame:
     """Shortest run of sequences, in ``order_col`` order, that holds ``n_distinct`` distinct keys."""
     first = elements.groupBy("key").agg(F.min(order_col).alias(order_col))
     new = first.groupBy(order_col).agg(F.count(F.lit(1)).alias("_new"))
@@ -222,13 +222,14 @@ def covering_prefix(elements: DataFrame, n_distinct: int, order_col: str, block:
 def by_length(summary: DataFrame) -> DataFrame:
     """Place of every sequence when sorted from longest to shortest: ``seq_id, n, place``.
 
-    Equal lengths are numbered inside their length in id order and shifted by the number of longer sequences.
+    Equal lengths are numbered inside their length by hash of the id and shifted by the number of longer sequences.
     """
     lengths = summary.groupBy("n").agg(F.count(F.lit(1)).alias("_c"))
     longer = running(
         lengths, [F.desc("n")], -F.floor(F.col("n") / 4096), {"_upto": ("sum", F.col("_c"))}
     ).select("n", (F.col("_upto") - F.col("_c")).alias("_before"))
-    same = numbered(summary, ["seq_id"], F.substring(F.col("seq_id").cast("string"), 1, 4), "_at", within=["n"])
+    hashed = summary.withColumn("_hash", F.md5(F.col("seq_id").cast("string")))
+    same = numbered(hashed, ["_hash", "seq_id"], F.substring("_hash", 1, HASH_BLOCK_DIGITS), "_at", within=["n"])
     return same.join(longer, "n").select("seq_id", "n", (F.col("_at") + F.col("_before")).alias("place"))
 
 

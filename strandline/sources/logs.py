@@ -43,9 +43,13 @@ def scan_log(spark: SparkSession, path: str, log_format: str, fold: bool = False
 
 
 def structure_table(lines: DataFrame, log_format: str, order: str, line: str = "line") -> DataFrame:
-    """:func:`scan_log` for lines held in a table with a dense order column."""
-    parsed = text.parse_headers(lines, log_format, line)
-    return numbered(parsed, [order], line_block(order), "LineId").drop(order)
+    """:func:`scan_log` for lines held in a table with a dense order column.
+
+    Both passes of the numbering only test the pattern; the headers are cut out afterwards, once.
+    """
+    matching = text.matching_lines(lines, log_format, line)
+    ids = numbered(matching.select(order, line), [order], line_block(order), "LineId").drop(order)
+    return text.parse_headers(ids, log_format, line)
 
 
 def head_sample(lines: DataFrame, n: int, label: str = "el_label") -> tuple[DataFrame, DataFrame]:
