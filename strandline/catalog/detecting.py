@@ -9,6 +9,7 @@ from strandline.catalog.registry import SPLIT, WINDOWS, Registry
 from strandline.catalog.splitting import SWEEP, sweep_parts
 from strandline.operators import count_detectors as detect
 from strandline.operators import evaluate, sequences, splits
+from strandline.plans.lookup import lookup_join
 from strandline.session import written
 
 registry = Registry()
@@ -381,7 +382,7 @@ def sweep_results(spark, folder):
     parted = counts.join(stepped, "seq_id")
     known = parted.filter(F.col("part") == "train").select("step", "key").distinct().withColumn("_known", F.lit(1))
     tested = parted.filter(F.col("part").isin(*TESTED))
-    flagged = tested.join(known, ["step", "key"], "left")
+    flagged = lookup_join(tested, known, ["step", "key"], "left", F.col("seq_id"))
     scored = written(flagged.groupBy("step", "seq_id", "part").agg(
         (F.sum(F.when(F.col("_known").isNull(), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("score")
     ).withColumn("label", (F.col("part") == "test_abnormal").cast("long")))

@@ -106,6 +106,7 @@ def at_threshold(scored: DataFrame, threshold: DataFrame, by: list[str] | None =
         F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg")
     )
     chosen = threshold.select(*by, "thr").withColumn("_k", F.lit(1))
+    # One threshold per group of results: a handful of rows.
     paired = histogram.withColumn("_k", F.lit(1)).join(F.broadcast(chosen), [*by, "_k"])
     hit = F.col("score") >= F.col("thr")
     counts = paired.groupBy(*by, "thr").agg(

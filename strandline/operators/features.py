@@ -45,9 +45,9 @@ class CountFeatures:
         if fitted:
             if self.rare is None:
                 return counts.select("seq_id", F.col("cnt")).limit(0)
-            outside = counts.join(self.rare, "key", "left_semi")
+            outside = lookup_join(counts, self.rare, ["key"], "left_semi", F.col("seq_id"))
         else:
-            outside = counts.join(self.kept.select("key"), "key", "left_anti")
+            outside = lookup_join(counts, self.kept.select("key"), ["key"], "left_anti", F.col("seq_id"))
         return outside.groupBy("seq_id").agg(F.count(F.lit(1)).alias("cnt"))
 
     def transform(self, counts: DataFrame, fitted: bool = False) -> DataFrame:

@@ -95,7 +95,7 @@ def segment_pairs(encoded: DataFrame, seq_len: int, vocab_size: int, seed: int,
     half = F.floor(F.col("n") / 2)
     seconds = ranked.select(F.col("rank").alias("second"), F.col("seq_id").alias("second_id"), (F.col("n") - half).alias("n2"), half.alias("from2"))
     pairs = chosen.select("seq_id", "is_next", half.alias("n1"), "second").join(seconds, "second")
-    first = encoded.join(pairs.select("seq_id", "is_next", "n1"), "seq_id").filter(F.col("pos") < F.col("n1")).select(
+    first = encoded.filter(F.col("pos") < seq_len).join(pairs.select("seq_id", "is_next", "n1"), "seq_id").filter(F.col("pos") < F.col("n1")).select(
         "seq_id", "is_next", (F.col("pos") + 1).alias("place"), F.lit(1).cast("long").alias("segment"), "idx"
     )
     tail = pairs.select("seq_id", "is_next", "n1", "second_id", "from2")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import written
+from strandline.plans.lookup import lookup_join
 from strandline.plans.running import HASH_BLOCK_DIGITS, Blocks, numbered, running, shuffled
+from strandline.session import written
 
 
 def share_cut(total: Column, ratio: float | Column) -> Column:
@@ -106,7 +107,7 @@ def unseen_statistics(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.count(F.when(known & (F.col("in_test_abnormal") == 1), 1)).alias("_seen_a"),
         F.count(F.when(known & both, 1)).alias("_seen_b"),
     )
-    flagged = pairs.join(keys.select(*by, "key", "in_train"), [*by, "key"])
+    flagged = lookup_join(pairs, keys.select(*by, "key", "in_train"), [*by, "key"], "inner", F.col("seq_id"))
     per_seq = flagged.groupBy(*by, "seq_id", "part").agg(
         F.sum("cnt").alias("n"), F.max(1 - F.col("in_train")).alias("unseen")
     )
@@ -161,7 +162,7 @@ def removal_order(counts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("df"), F.max((F.col("part") == "train").cast("int")).alias("in_train")
     ).filter(F.col("in_train") == 1)
     ranked = written(numbered(keys, ["df", "key"], F.least(F.col("df"), F.lit(4096)), "key_rank").select("key", "key_rank"))
-    earliest = pairs.join(ranked, "key").groupBy("seq_id").agg(
+    earliest = lookup_join(pairs, ranked, ["key"], "inner", F.col("seq_id")).groupBy("seq_id").agg(
         F.min("key_rank").alias("first_key"), F.max((F.col("part") == "test_normal").cast("int")).alias("_second")
     )
     earliest = written(earliest)

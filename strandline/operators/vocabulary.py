@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.plans.lookup import lookup_join
-from strandline.plans.running import numbered, value_blocks
+from strandline.plans.running import Blocks, numbered, value_blocks
 
 # Reserved entries of the dictionary and their indexes.
 SPECIALS = {"<pad>": 0, "<unk>": 1, "<eos>": 2, "<sos>": 3, "<mask>": 4}
@@ -37,14 +37,15 @@ def build_from_counts(counts: DataFrame, min_freq: int = 1, max_size: int | None
 
 
 def by_frequency(counted: DataFrame, out: str) -> DataFrame:
-    """Number keys by frequency descending, then key. Key counts are one row per distinct key; blocks cut the counts."""
-    falling = counted.withColumn("_less", -F.col("freq"))
-    return numbered(falling, ["_less", "key"], _coarse(F.col("freq")), out).drop("_less")
-
+    """Number keys by frequency descending, then key.
 
-def _coarse(freq: Column) -> Column:
-    """Block that never decreases as the frequency falls: exact for rare keys, powers of two for frequent ones."""
-    return F.when(freq <= 64, -freq.cast("double")).otherwise(-(F.lit(64.0) + F.floor(F.log2(freq))))
+    A block is a frequency, written so that text order is falling frequency, and the first characters of the key: a
+    large dictionary has very many keys of the same low frequency.
+    """
+    falling = counted.withColumn("_less", -F.col("freq"))
+    digits = F.lpad((F.lit(10**18) - F.col("freq")).cast("string"), 19, "0")
+    blocks = Blocks(F.concat(digits, F.substring("key", 1, 4)), lambda b: F.substring(b, 1, 20))
+    return numbered(falling, ["_less", "key"], blocks, out).drop("_less")
 
 
 def special_rows(like: DataFrame) -> DataFrame:
