@@ -1 +1,8 @@
 """Log and event-sequence analytics as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Helpers that run inside tasks travel with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

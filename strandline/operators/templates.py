@@ -12,6 +12,7 @@ from strandline.functions.text import WILDCARD
 from strandline.operators import replay
 from strandline.plans.lookup import lookup_join
 from strandline.plans.running import numbered
+from strandline.session import written
 
 
 class FixedDepthTree:
@@ -150,7 +151,8 @@ def with_gaps(common: list[str], template: list[str]) -> list[str]:
 
 
 def _mine(lines: DataFrame, content: str, split: Column, make, joiner: str, first_lines: int) -> DataFrame:
-    messages = lines.select("line_id", F.array_join(split, replay.SEPARATOR).alias("message"))
+    # Every round reads the messages, so they are masked once; few distinct texts make a small table.
+    messages = written(lines.select("line_id", F.array_join(split, replay.SEPARATOR).alias("message")))
     changes = replay.learn_templates(messages, make, first_lines)
     spark = lines.sparkSession
     finals = [(c, t.replace(replay.SEPARATOR, joiner)) for c, t in replay.final_templates(changes).items()]
