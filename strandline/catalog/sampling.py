@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.catalog import inputs
+from strandline.catalog.detecting import RANKS, TOP_RANK, ranked_elements
 from strandline.catalog.registry import ORDERS, SESSIONS, Registry
 from strandline.catalog.splitting import STATS_SQL, SWEEP, VOCAB, instability_sweep_stats, train_vocabulary
-from strandline.operators import evaluate, reports, samples, sequences, vocabulary
+from strandline.operators import count_detectors, evaluate, reports, samples, sequences, vocabulary
 from strandline.session import written
 from strandline.sources import tables
 
@@ -83,6 +84,31 @@ def mask_per_element(spark, folder):
     return samples.mask_each_position(inputs.sessions(spark, folder).select("seq_id", "pos", "key"))
 
 
+SPARSE_RATIO = 0.03
+
+
+@query(
+    "masked_rank_ratio",
+    "with " + RANKS + f""",
+    dr as (select *, {unit(f"'{SEED}|' || seq_id || '|' || pos")} as u from ranked),
+    s as (select seq_id, cast(count(*) filter (u < {SPARSE_RATIO}) as bigint) as masked_tokens,
+                 cast(count(*) filter (u < {SPARSE_RATIO} and rank >= {TOP_RANK}) as bigint) as undetected_tokens from dr group by 1)
+    select seq_id, masked_tokens, undetected_tokens, round(undetected_tokens / masked_tokens, 6) as score,
+           cast(case when undetected_tokens / masked_tokens >= 0.5 then 1 else 0 end as bigint) as pred from s where masked_tokens > 0""",
+)
+def masked_rank_ratio(spark, folder):
+    """Decision on sequences of which only a share is masked; those without a masked element are skipped."""
+    chosen = samples.uniform(SEED, F.col("seq_id"), F.col("pos")) < SPARSE_RATIO
+    totals = ranked_elements(spark, folder).groupBy("seq_id").agg(
+        F.count(F.when(chosen, 1)).alias("masked_tokens"),
+        F.count(F.when(chosen & (F.col("rank") >= TOP_RANK), 1)).alias("undetected_tokens"),
+    )
+    scored = count_detectors.masked_only(totals).withColumn(
+        "score", count_detectors.undetected_ratio(F.col("undetected_tokens"), F.col("masked_tokens"))
+    )
+    return rounded(count_detectors.decide_by_score(scored, F.lit(0.5)))
+
+
 PAIR_LEN, PAIR_SEED = 8, 5
 
 ORDER_VOCAB = ORDERS + """,

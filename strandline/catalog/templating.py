@@ -32,8 +32,8 @@ masked as (
 
 
 def structured(spark, folder):
-    """Structured event log with dense line ids."""
-    lines = tables.event_text(spark, folder)
+    """Structured event log with dense line ids, parsed from a written text log."""
+    lines = written(tables.event_text(spark, folder))
     made = logs.structure_table(lines, tables.EVENT_TEXT_FORMAT, "line_no")
     return written(made.withColumnRenamed("LineId", "line_id"))
 
@@ -51,7 +51,7 @@ def masked(spark, folder):
 )
 def scan_header_regex(spark, folder):
     """Only lines of one level match this format; the others are dropped before numbering."""
-    lines = tables.event_text(spark, folder)
+    lines = written(tables.event_text(spark, folder))
     return logs.structure_table(lines, "<Date> <Time> INFO <Component>: <Content>", "line_no")
 
 

@@ -55,7 +55,7 @@ def mask(message: Column, rules: Sequence[str]) -> Column:
 
 def tokens(message: Column) -> Column:
     """White-space tokens; an empty array for a blank message."""
-    stripped = F.regexp_replace(message, r"^\s+|\s+$", "")
+    stripped = strip(message)
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"\s+"))
 
 
@@ -113,11 +113,15 @@ def binary_label(text: Column, normal: str = "-") -> Column:
     return F.when(text != normal, 1).otherwise(0)
 
 
+def strip(line: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
 def matching_lines(lines: DataFrame, log_format: str, line: str = "line") -> DataFrame:
     """Lines that match the format, stripped."""
     pattern, _ = header_pattern(log_format)
-    stripped = lines.withColumn(line, F.regexp_replace(line, r"^\s+|\s+$", ""))
-    return stripped.filter(F.col(line).rlike(pattern))
+    return lines.withColumn(line, strip(F.col(line))).filter(F.col(line).rlike(pattern))
 
 
 # Separators that do not occur in ordinary text; lines that hold them are parsed header by header.
@@ -127,16 +131,19 @@ _HEAD, _NEXT = "\x1e", "\x1f"
 def parse_headers(lines: DataFrame, log_format: str, line: str = "line") -> DataFrame:
     """Header columns of the lines that match the format; other lines are dropped.
 
-    The pattern rewrites a matching line as its headers between separators, whatever the number of headers. The fields
-    are exploded from an array of none or one: unlike a filter, this is not copied in front of the parse.
+    The pattern runs once and rewrites a matching line as a mark and its headers between separators, whatever their
+    number. The fields are exploded from an array of none or one: unlike a filter, this is not copied in front of the
+    parse.
     """
     pattern, headers = header_pattern(log_format)
-    text = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    replacement = _HEAD + _NEXT.join(f"${i + 1}" for i in range(len(headers)))
-    rewritten = F.regexp_replace(text, pattern, replacement)
-    quick = F.split(F.substring(rewritten, 2, 1 << 30), _NEXT)
-    slow = F.when(text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, i + 1) for i in range(len(headers))]))
-    fields = F.when(text.rlike(f"[{_HEAD}{_NEXT}]"), slow).when(rewritten.startswith(_HEAD), quick)
+    text = strip(F.col(line))
+    replacement = _NEXT.join([_HEAD, *(f"${i + 1}" for i in range(len(headers)))])
+    quick = F.filter(
+        F.array(F.split(F.regexp_replace(text, pattern, replacement), _NEXT)), lambda h: h[0] == _HEAD
+    )
+    each = [F.regexp_extract(text, pattern, i + 1) for i in range(len(headers))]
+    slow = F.array_compact(F.array(F.when(text.rlike(pattern), F.array(F.lit(_HEAD), *each))))
+    found = F.when(text.contains(_HEAD) | text.contains(_NEXT), slow).otherwise(quick)
     kept = [c for c in lines.columns if c != line]
-    parsed = lines.select(*kept, F.explode(F.array_compact(F.array(fields))).alias("_h"))
-    return parsed.select(*kept, *[F.col("_h")[i].alias(h) for i, h in enumerate(headers)])
+    parsed = lines.select(*kept, F.explode(found).alias("_h"))
+    return parsed.select(*kept, *[F.col("_h")[i + 1].alias(h) for i, h in enumerate(headers)])
