@@ -34,6 +34,7 @@ from .components import components
 WORD = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 FREQUENT = 1 << 17
 CELL = 1000
+MATRIX = 1 << 22
 STAR_ROUNDS = 3
 SMALL_IDS = 1_000_000
 
@@ -126,49 +127,77 @@ def _sets_task(n: int, percent: int, sent, whole: bool, batches: Iterator[pa.Rec
 # ---- tree -------------------------------------------------------------------------------------------------------
 
 
-def tree_pairs(tails: list[np.ndarray], size: np.ndarray, at: np.ndarray, side: np.ndarray, component: np.ndarray, percent: int, order: Order, cross: bool):
-    """Candidate pairs of one cell: rows that share an n-gram at position ``at`` of their order, with the n-grams after it
-    up to their prefix length. ``cross``: only pairs of different sides. Yields ``(query rows, stored rows)``.
+class Cells:
+    """Rows of whole cells: sets that share an n-gram at position ``at`` of their order, with the n-grams after it up to
+    their prefix length (``flat``, ``lengths``). Rows of one cell follow each other."""
 
-    The tree is the sorted matrix of ranked tails: a node is a range of rows with a common path.
+    def __init__(self, cell, vertex, root, size, at, side, cross, flat, lengths) -> None:
+        self.cell, self.vertex, self.root, self.size, self.at, self.side, self.cross, self.flat, self.lengths = cell, vertex, root, size, at, side, cross, flat, lengths
+
+    def part(self, low: int, high: int) -> Cells:
+        ends = np.append(0, np.cumsum(self.lengths))
+        rows = [x[low:high] for x in (self.cell, self.vertex, self.root, self.size, self.at, self.side, self.cross)]
+        return Cells(*rows, self.flat[ends[low] : ends[high]], self.lengths[low:high])
+
+
+def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs ``(query rows, stored rows)`` of the cells, all cells at once.
+
+    The forest is the sorted matrix of ranked tails: a node is a range of rows with a common path. Above a cell's tails it
+    branches by size (so that sizes in a subtree are within the ratio) and by the share of the set that lies behind.
     """
-    g = len(tails)
-    every, flat = np.unique(np.concatenate(tails) if g else np.zeros(0, np.uint64), return_inverse=True)
+    size, at, g = cells.size, cells.at, len(cells.size)
+    every, flat = np.unique(cells.flat, return_inverse=True)
     rank = np.empty(len(every), np.int64)
     rank[np.lexsort((every, order.weight(every)))] = np.arange(len(every))
-    lengths = np.array([len(t) for t in tails])
-    ranked, width = rank[flat], int(lengths.max(initial=0))
-    matrix = np.full((g, width + 1), -1, np.int64)
-    begin = np.cumsum(lengths) - lengths
+    lengths, ranked = cells.lengths, rank[flat]
+    begin, width = np.cumsum(lengths) - lengths, int(lengths.max(initial=0))
+    text = ranked.astype(">u4").tobytes()
+    band = np.floor(np.log(size) / np.log(100 / percent)).astype(np.int64)
+    behind = at * 32 // size
+    keys = list(zip(cells.cell.tolist(), band.tolist(), behind.tolist(), [text[4 * b : 4 * (b + n)] for b, n in zip(begin.tolist(), lengths.tolist())]))
+    rows = np.array(sorted(range(g), key=keys.__getitem__), np.int64)
+    matrix = np.full((g, width + 1), -1, np.int32)
     matrix[np.repeat(np.arange(g), lengths), grouped_ranges(np.zeros(g), lengths)] = ranked
-    rows = np.lexsort(matrix.T[::-1])
     matrix = matrix[rows]
     stored_size, stored_left = size[rows], (size - at - 1)[rows]
     scale = len(every) + 1
-    held = np.sort(np.repeat(np.arange(g), lengths) * scale + ranked)
-    query = np.arange(g)
-    low, high, overlap = np.zeros(g, np.int64), np.full(g, g), np.ones(g, np.int64)
-    new = np.zeros(g, bool)
-    new[:1] = True
+    held = np.repeat(np.arange(g), lengths) * scale + ranked  # sorted: tails are in global order
+
+    def bounds(new: np.ndarray):
+        heads = np.flatnonzero(new)
+        return heads, np.append(heads[1:], g), np.minimum.reduceat(stored_size, heads), np.maximum.reduceat(stored_size, heads), np.maximum.reduceat(stored_left, heads)
+
+    new = np.ones(g, bool)
+    parts = np.stack([cells.cell[rows], band[rows], behind[rows]])
+    new[1:] = (parts[:, 1:] != parts[:, :-1]).any(axis=0)
+    heads, stops, least, most, left = bounds(new)
+    # Every query meets the branches of its own cell that its size and position allow.
+    cell_of_head = cells.cell[rows][heads]
+    a, b = np.searchsorted(cell_of_head, cells.cell), np.searchsorted(cell_of_head, cells.cell, side="right")
+    query, child = np.repeat(np.arange(g), b - a), grouped_ranges(a, b - a)
+    fine = (100 * np.minimum(size[query], most[child]) >= percent * np.maximum(size[query], least[child])) & (size[query] >= least[child])
+    fine &= 1 + np.minimum((size - at - 1)[query], left[child]) >= needed(size[query] + least[child], percent)
+    query, low, high = query[fine], heads[child[fine]], stops[child[fine]]
+    overlap = np.ones(len(query), np.int64)
     for depth in range(width + 1):
+        if not len(query):
+            return
         new[1:] |= matrix[1:, depth] != matrix[:-1, depth]
-        heads = np.flatnonzero(new)
-        tails_end = np.append(heads[1:], g)
-        least_size = np.minimum.reduceat(stored_size, heads)
-        most_left = np.maximum.reduceat(stored_left, heads)
+        heads, stops, least, _, left = bounds(new)
         a, b = np.searchsorted(heads, low), np.searchsorted(heads, high)
         child = grouped_ranges(a, b - a)
         query, overlap = np.repeat(query, b - a), np.repeat(overlap, b - a)
-        token = matrix[heads[child], depth]
+        token = matrix[heads[child], depth].astype(np.int64)
         ended = token < 0
         if ended.any():
             q, c = query[ended], child[ended]
-            counts = tails_end[c] - heads[c]
+            counts = stops[c] - heads[c]
             stored, q = rows[grouped_ranges(heads[c], counts)], np.repeat(q, counts)
-            low_size, high_size = np.minimum(size[q], size[stored]), np.maximum(size[q], size[stored])
-            fine = (component[q] != component[stored]) & (100 * low_size >= percent * high_size)
-            fine &= (side[q] != side[stored]) if cross else True
+            fine = (cells.root[q] != cells.root[stored]) & (100 * size[stored] >= percent * size[q])
+            fine &= ~cells.cross[q] | (cells.side[q] != cells.side[stored])
             fine &= (size[q] > size[stored]) | ((size[q] == size[stored]) & (q > stored))
+            fine &= np.minimum(size[q] - at[q], size[stored] - at[stored]) >= needed(size[q] + size[stored], percent)
             if fine.any():
                 yield q[fine], stored[fine]
         going = ~ended
@@ -179,35 +208,54 @@ def tree_pairs(tails: list[np.ndarray], size: np.ndarray, at: np.ndarray, side:
         matched = held[np.minimum(spot, len(held) - 1)] == query * scale + token
         overlap = overlap + matched
         query_left = size[query] - at[query] - 1 - (spot - begin[query]) - matched
-        bound = overlap + np.minimum(query_left, most_left[child] - depth - 1)
-        fine = bound >= needed(size[query] + least_size[child], percent)
-        query, overlap, low, high = query[fine], overlap[fine], heads[child[fine]], tails_end[child[fine]]
-        if not len(query):
-            return
+        bound = overlap + np.minimum(query_left, left[child] - depth - 1)
+        fine = bound >= needed(size[query] + least[child], percent)
+        query, overlap, low, high = query[fine], overlap[fine], heads[child[fine]], stops[child[fine]]
 
 
-def _cell_task(percent: int, sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (token, i, j), a cell at a time."""
-    order = Order(*sent.value)
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
+    """Rows in order of (token, i, j), as groups of whole cells with a bounded matrix."""
+    left: pa.Table | None = None
 
-    def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(rows, key=lambda r: r[3])
-        vertex = np.array([r[3] for r in rows], np.int64)
-        tails = [np.array(r[7], np.int64).view(np.uint64) for r in rows]
-        i, j = rows[0][1], rows[0][2]
-        for q, s in tree_pairs(tails, *(np.array([r[k] for r in rows], np.int64) for k in (5, 6)), np.array([r[8] for r in rows]), np.array([r[4] for r in rows], np.int64), percent, order, i != j):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(vertex[q], vertex[s])), pa.array(np.maximum(vertex[q], vertex[s]))], names=["a", "b"])
+    def cut(table: pa.Table, last: bool) -> tuple[list[Cells], pa.Table | None]:
+        token, i, j = (table.column(c).to_numpy() for c in ("token", "i", "j"))
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        heads = np.flatnonzero(new)
+        stop = len(token) if last else int(heads[-1])
+        whole, rest = table.slice(0, stop).combine_chunks(), None if last else table.slice(stop)
+        if not stop:
+            return [], rest
+        lists_ = whole.column("tail").chunk(0)
+        lengths = np.diff(lists_.offsets.to_numpy())
+        vertex, root, size, at, side = (whole.column(c).to_numpy() for c in ("v", "root", "size", "at", "side"))
+        cells = Cells(np.cumsum(new)[:stop] - 1, vertex, root, size, at, side, (i != j)[:stop], lists_.flatten().to_numpy().view(np.uint64), lengths)
+        heads = np.append(heads[heads < stop], stop)
+        out, first = [], 0
+        for k in range(1, len(heads)):
+            widest = int(lengths[heads[first] : heads[k]].max(initial=0)) + 1
+            after = k + 1 < len(heads) and (heads[k + 1] - heads[first]) * max(widest, int(lengths[heads[k] : heads[k + 1]].max(initial=0)) + 1) <= MATRIX
+            if not after:
+                out.append(cells.part(int(heads[first]), int(heads[k])))
+                first = k
+        return out, rest
 
-    rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j", "v", "root", "size", "at", "tail", "side"))):
-            if rows and row[:3] != rows[0][:3]:
-                if len(rows) > 1:
-                    yield from pairs_of(rows)
-                rows = []
-            rows.append(row)
-    if len(rows) > 1:
-        yield from pairs_of(rows)
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            found, left = cut(pa.concat_tables([left, table]) if left is not None else table, False)
+            yield from found
+    if left is not None:
+        yield from cut(left, True)[0]
+
+
+def _cell_task(percent: int, sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order = Order(*sent.value)
+    for cells in whole_cells(batches):
+        for q, s in tree_pairs(cells, percent, order):
+            a, b = cells.vertex[q], cells.vertex[s]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 # ---- plan -------------------------------------------------------------------------------------------------------
@@ -295,18 +343,36 @@ class Join:
     def pairs_by_tree(self, left: DataFrame, classes: DataFrame) -> DataFrame:
         """Candidates among all members of the unfinished groups."""
         percent, sent, cell = self.percent, self.order, self.cell
+        left = self.with_partners(left)
         sizes = left.groupBy("token").agg(F.count("*").alias("members"))
         blocks = F.ceil(F.col("members") / cell).cast("int")
         rows = left.join(sizes, "token").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("v", "token"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         tail = F.slice("tokens", F.col("at") + 2, F.greatest(F.size("tokens") - F.col("at") - 1, F.lit(0)))
         rows = rows.join(classes.select("v", "tokens"), "v").select(
-            "token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "v", "root", "size",
-            F.col("at").cast("bigint").alias("at"), tail.alias("tail"), "side",
+            "token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "v", "root", "size", F.col("at").cast("bigint").alias("at"), "side", tail.alias("tail")
         )
         dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
         return dealt.mapInArrow(lambda b: _cell_task(percent, sent, b), "a bigint, b bigint").distinct()
 
+    def with_partners(self, left: DataFrame) -> DataFrame:
+        """Entries whose group has members of another component, of a size and position that allow a link.
+
+        Sizes are taken in bands of the ratio, so partners lie in the same or a neighbouring band; the most favourable
+        values of a band decide.
+        """
+        percent = self.percent
+        band = F.floor(F.log("size") / F.log(F.lit(100 / percent)))
+        rows = left.withColumn("band", band)
+        groups = rows.groupBy("token", F.col("band").alias("near")).agg(
+            F.count("*").alias("members"), F.min("size").alias("least"), F.max(F.col("size") - F.col("at")).alias("most"), F.min("root").alias("low"), F.max("root").alias("high")
+        )
+        asked = rows.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(groups, ["token", "near"])
+        overlap = F.ceil(percent * (F.col("size") + F.col("least")) / (100 + percent))
+        good = ((F.col("near") != F.col("band")) | (F.col("members") > 1)) & ((F.col("low") != F.col("root")) | (F.col("high") != F.col("root")))
+        good &= F.least(F.col("size") - F.col("at"), F.col("most")) >= overlap
+        return asked.where(good).select(*left.columns).distinct()
+
     def whole_sets(self, entries: DataFrame, classes: DataFrame) -> DataFrame:
         """``(v, tokens)`` of the classes that share a prefix n-gram with another."""
         if self.full is None:
