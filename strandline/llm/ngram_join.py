@@ -22,6 +22,7 @@ the documents with its set, else null. Other columns are ignored. n-grams are co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ WORD = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 FREQUENT = 1 << 17
 CELL = 1000
 MATRIX = 1 << 22
+ENOUGH = 12
 STAR_ROUNDS = 3
 SMALL_IDS = 1_000_000
 
@@ -144,7 +146,9 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
     """Candidate pairs ``(query rows, stored rows)`` of the cells, all cells at once.
 
     The forest is the sorted matrix of ranked tails: a node is a range of rows with a common path. Above a cell's tails it
-    branches by size (so that sizes in a subtree are within the ratio) and by the share of the set that lies behind.
+    branches by size (so that sizes in a subtree are within the ratio) and by the share of the set that lies behind. A path
+    ends where the bound fails, at the end of a tail, or where ``ENOUGH`` n-grams are common: such pairs are near enough to
+    be verified, and meet in many cells.
     """
     size, at, g = cells.size, cells.at, len(cells.size)
     every, flat = np.unique(cells.flat, return_inverse=True)
@@ -168,6 +172,17 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
         heads = np.flatnonzero(new)
         return heads, np.append(heads[1:], g), np.minimum.reduceat(stored_size, heads), np.maximum.reduceat(stored_size, heads), np.maximum.reduceat(stored_left, heads)
 
+    def leave(query: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """The pairs of queries with the rows of a node, as far as sizes, positions and components allow."""
+        counts = high - low
+        stored, q = rows[grouped_ranges(low, counts)], np.repeat(query, counts)
+        fine = (cells.root[q] != cells.root[stored]) & (100 * size[stored] >= percent * size[q])
+        fine &= ~cells.cross[q] | (cells.side[q] != cells.side[stored])
+        fine &= (size[q] > size[stored]) | ((size[q] == size[stored]) & (q > stored))
+        fine &= np.minimum(size[q] - at[q], size[stored] - at[stored]) >= needed(size[q] + size[stored], percent)
+        if fine.any():
+            yield q[fine], stored[fine]
+
     new = np.ones(g, bool)
     parts = np.stack([cells.cell[rows], band[rows], behind[rows]])
     new[1:] = (parts[:, 1:] != parts[:, :-1]).any(axis=0)
@@ -191,15 +206,7 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
         token = matrix[heads[child], depth].astype(np.int64)
         ended = token < 0
         if ended.any():
-            q, c = query[ended], child[ended]
-            counts = stops[c] - heads[c]
-            stored, q = rows[grouped_ranges(heads[c], counts)], np.repeat(q, counts)
-            fine = (cells.root[q] != cells.root[stored]) & (100 * size[stored] >= percent * size[q])
-            fine &= ~cells.cross[q] | (cells.side[q] != cells.side[stored])
-            fine &= (size[q] > size[stored]) | ((size[q] == size[stored]) & (q > stored))
-            fine &= np.minimum(size[q] - at[q], size[stored] - at[stored]) >= needed(size[q] + size[stored], percent)
-            if fine.any():
-                yield q[fine], stored[fine]
+            yield from leave(query[ended], heads[child[ended]], stops[child[ended]])
         going = ~ended
         query, child, overlap, token = query[going], child[going], overlap[going], token[going]
         if not len(query):
@@ -211,10 +218,14 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
         bound = overlap + np.minimum(query_left, left[child] - depth - 1)
         fine = bound >= needed(size[query] + least[child], percent)
         query, overlap, low, high = query[fine], overlap[fine], heads[child[fine]], stops[child[fine]]
+        sure = overlap >= ENOUGH
+        if sure.any():
+            yield from leave(query[sure], low[sure], high[sure])
+            query, overlap, low, high = (x[~sure] for x in (query, overlap, low, high))
 
 
 def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
-    """Rows in order of (token, i, j), as groups of whole cells with a bounded matrix."""
+    """Rows, those of one (token, i, j) side by side, as groups of whole cells with a bounded matrix."""
     left: pa.Table | None = None
 
     def cut(table: pa.Table, last: bool) -> tuple[list[Cells], pa.Table | None]:
@@ -290,22 +301,26 @@ class Join:
         several = entries.groupBy("token").agg(F.count("*").alias("members"), F.max((F.col("at") < store).cast("int")).alias("stored"))
         several = several.where("members > 1 and stored = 1").select("token")
         entries = shared.write(entries.join(several, "token"), "entries")
+        left = self.with_partners(entries.withColumn("root", F.col("v")))
+        left = entries = shared.write(left, "open-0")
+        shared.drop("entries")
         self.full = None
-        links, roots, left = [], None, entries.select("*", F.col("v").alias("root"))
-        for step in range(self.star_rounds + 1):
-            last = step == self.star_rounds
-            pairs = self.pairs_by_tree(left, classes) if last else self.star_pairs(left, classes, step)
+        links, roots = [], None
+        last, step = self.star_rounds == 0, -1
+        while True:
+            step += 1
+            pairs = shared.write(self.pairs_by_tree(left, classes) if last else self.star_pairs(left, classes, step), f"pairs-{step}")
             found = shared.write(self.verified(pairs, entries, classes), f"links-{step}")
-            if not found.limit(1).count():
-                if last:
-                    break
-                continue
-            links.append(found)
-            every = links[0]
-            for more in links[1:]:
-                every = every.union(more)
-            roots = components(every, shared, f"roots-{step}")
-            left = self.unfinished(entries, roots) if not last else left
+            linked = found.count()
+            if linked:
+                links.append(found)
+                roots = components(reduce(DataFrame.union, links), shared, f"roots-{step}")
+            if last:
+                break
+            if linked:
+                left = self.unfinished(entries, roots)
+            # Another star round pays where most of the last one's pairs were links, so that groups are collapsing.
+            last = step + 1 >= self.star_rounds or 2 * linked < pairs.count()
         rooted = classes.select("v", "one", "size", "d1", "d2")
         if roots is None:
             named = rooted.select("size", "d1", "d2", F.col("one").alias("component_id"))
@@ -319,7 +334,7 @@ class Join:
 
     def unfinished(self, entries: DataFrame, roots: DataFrame) -> DataFrame:
         """Entries with their component, of groups that still join several components."""
-        marked = entries.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        marked = entries.drop("root").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
         open_ = marked.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
         return self.shared.write(marked.join(open_, "token"), f"open-{self.shared_step()}")
 
@@ -343,16 +358,17 @@ class Join:
     def pairs_by_tree(self, left: DataFrame, classes: DataFrame) -> DataFrame:
         """Candidates among all members of the unfinished groups."""
         percent, sent, cell = self.percent, self.order, self.cell
-        left = self.with_partners(left)
-        sizes = left.groupBy("token").agg(F.count("*").alias("members"))
+        left = self.shared.write(self.with_partners(left), "open-last")
+        sizes = left.groupBy("token").agg(F.count("*").alias("members"), F.max("size").alias("widest"))
         blocks = F.ceil(F.col("members") / cell).cast("int")
         rows = left.join(sizes, "token").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("v", "token"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         tail = F.slice("tokens", F.col("at") + 2, F.greatest(F.size("tokens") - F.col("at") - 1, F.lit(0)))
         rows = rows.join(classes.select("v", "tokens"), "v").select(
-            "token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "v", "root", "size", F.col("at").cast("bigint").alias("at"), "side", tail.alias("tail")
+            "token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "v", "root", "size", F.col("at").cast("bigint").alias("at"), "side", tail.alias("tail"), "widest"
         )
-        dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+        # Cells of sets of like sizes follow each other, so that trees walked together have like depths.
+        dealt = rows.repartition("token", "i", "j").sortWithinPartitions("widest", "token", "i", "j").drop("widest")
         return dealt.mapInArrow(lambda b: _cell_task(percent, sent, b), "a bigint, b bigint").distinct()
 
     def with_partners(self, left: DataFrame) -> DataFrame:
