@@ -292,8 +292,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     keyed = _keyed(docs)
     all_segments = shared.write(keyed.mapInArrow(lambda b: _segment_task(length, b), SEGMENTS), "segments")
     keys = all_segments.groupBy("key").agg(F.count("*").alias("places")).where("places > 1").select("key")
+    # Both sides of the join come from tables, so that Spark can split a hot key's partition.
+    keys = shared.write(keys, "keys")
     places = shared.write(all_segments.join(keys, "key"), "places")
-    shared.drop("segments")
+    shared.drop("segments", "keys")
     contents = shared.write(
         places.groupBy("key", "content").agg(
             F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")
