@@ -39,6 +39,7 @@ ARCHIVE_BYTES = 64 << 20
 MEMBER_BYTES = 8 << 20
 RANGE_BYTES = 4 << 20
 SMALL_GROUPS = 200_000
+MOST_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -262,15 +263,18 @@ def _record_task(payload: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def read(archives: DataFrame, payload: bool = False) -> DataFrame:
+def read(archives: DataFrame, shared: Shared, name: str, payload: bool = False) -> DataFrame:
     """The records of the archives listed in ``(folder, archive)``, with their payloads if asked for."""
     members = archives.select("folder", "archive").mapInArrow(_member_task, "folder string, archive string, at bigint, length bigint, index_at bigint, index_length bigint")
+    members = shared.write(members, f"{name}-members")
+    # A row stands for megabytes of records: a task for each member, however small the rows are.
+    tasks = min(max(members.count(), 1), MOST_TASKS)
     schema = "page_id bigint, url string, bytes bigint, digest string, type string, refers_to bigint" + ", payload binary" * payload
-    return members.repartition("archive", "at").mapInArrow(lambda b: _record_task(payload, b), schema)
+    return members.repartition(tasks, "archive", "at").mapInArrow(lambda b: _record_task(payload, b), schema)
 
 
 def report(pages: DataFrame, least: int = 0) -> DataFrame:
     """The columns of the registered query: what the archives written for ``pages`` give back."""
     shared = Shared(pages.sparkSession)
-    found = read(write(pages, shared, "pages", least))
+    found = read(write(pages, shared, "pages", least), shared, "pages")
     return found.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")

@@ -44,7 +44,8 @@ def test_round_trip(spark, monkeypatch, seed, least):
 def test_payloads_come_back(spark):
     pages = sample(3)
     table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
-    found = warc_zip.read(warc_zip.write(table, Shared(spark), "t"), payload=True).where("type = 'response'").collect()
+    shared = Shared(spark)
+    found = warc_zip.read(warc_zip.write(table, shared, "t"), shared, "t", payload=True).where("type = 'response'").collect()
     stored = {(r.page_id, bytes(r.payload)) for r in found}
     kinds = [(p, (h or "").encode()) for (p, _, h) in pages if (p, "response") in {(r[0], r[3]) for r in brute_force(pages)}]
     assert stored <= set(kinds) and {p for p, _ in stored} == {p for p, _ in kinds}
