@@ -210,6 +210,8 @@ RESULT_COLUMNS = RATED + ', round(u / (pn.np * pn.nn), 6) as "AUROC", round(a /
 )
 def levels(spark, folder):
     ranked = written(ranked_elements(spark, folder))
+    # A rank is a threshold at most up to the size of the training vocabulary.
+    known = inputs.counts_by_part(spark, folder).filter(F.col("part") == "train").select("key").distinct().count()
     element = ranked.select(F.lit("element").alias("level"), F.col("el_label").alias("label"), F.col("rank").cast("double").alias("score"))
     within = ranked.filter(F.col("part") == "test_abnormal").select(
         F.lit("element_abnormal_only").alias("level"), F.col("el_label").alias("label"), F.col("rank").cast("double").alias("score")
@@ -221,7 +223,7 @@ def levels(spark, folder):
     ).select(F.lit("sequence").alias("level"), "label", "score"))
     parts = [
         evaluate.result_rows(scored, evaluate.best_threshold(scored, step, count, ["level"]), ["level"])
-        for scored, step, count in ((by_element, 1.0, 200), (by_sequence, 0.001, 1000))
+        for scored, step, count in ((by_element, 1.0, min(known, 200)), (by_sequence, 0.001, 1000))
     ]
     return _rounded(parts[0].unionByName(parts[1]))
 
@@ -299,18 +301,18 @@ def decision_by_flags(spark, folder):
     "best_f1",
     "with " + NEXT + """,
     s as (select seq_id, max(label) as label, sum(flag) as flags from fl group by 1),
-    g as (select th, count(*) filter (label = 1 and flags > th * 6) as tp, count(*) filter (label = 0 and flags > th * 6) as fp,
-                 count(*) filter (label = 0 and flags <= th * 6) as tn, count(*) filter (label = 1 and flags <= th * 6) as fn
+    g as (select th, count(*) filter (label = 1 and flags > th) as tp, count(*) filter (label = 0 and flags > th) as fp,
+                 count(*) filter (label = 0 and flags <= th) as tn, count(*) filter (label = 1 and flags <= th) as fn
           from s, (select unnest(generate_series(0, 9)) as th) group by 1),
     m as (select *, 100.0 * tp / (tp + fp) as p, 100.0 * tp / (tp + fn) as r from g where tp > 0)
     select cast(th as double) as thr, cast(tp as bigint) as "TP", cast(fp as bigint) as "FP", cast(tn as bigint) as "TN", cast(fn as bigint) as "FN",
            round(p, 6) as "P", round(r, 6) as "R", round(2 * p * r / (p + r), 6) as "F1" from m order by round(2 * p * r / (p + r), 12) desc, th limit 1""",
 )
 def best_f1(spark, folder):
-    """Thresholds 0..9 on flags counted in units of six, so that the grid spans the session lengths at hand."""
+    """Thresholds 0..9 on the number of flagged windows of a session."""
     flagged = flagged_windows(spark, folder)
     totals = flagged.groupBy("seq_id").agg(F.sum("flag").alias("flags"), F.max("label").alias("label"))
-    scored = totals.select("label", F.ceil(F.col("flags") / 6.0).cast("double").alias("score"))
+    scored = totals.select("label", F.col("flags").cast("double").alias("score"))
     return _rounded(evaluate.best_f1_threshold(scored))
 
 

@@ -192,7 +192,8 @@ def next_event_tail(spark, folder):
     from wel group by 1""",
 )
 def seq_encode(spark, folder):
-    arrays = sequences.to_arrays(inputs.windows(spark, folder).elements(), ["key", "el_label"])
+    # The windows themselves are cut to their documented max_len.
+    arrays = sequences.to_arrays(inputs.windows(spark, folder).elements(), ["key", "el_label"], sequences.MAX_LEN)
     return arrays.select("seq_id", codec.encode_sequence(["key", "el_label"]).alias("line"))
 
 
@@ -208,12 +209,11 @@ def seq_decode(spark, folder):
 @query(
     "seq_encode_legacy",
     "with " + ORDERS + """
-    select seq_id, string_agg(key || ',' || cast(pos as varchar) || ' ', '' order by pos) as line from oel where pos < 512 group by 1""",
+    select seq_id, string_agg(key || ',' || cast(pos as varchar) || ' ', '' order by pos) as line from oel group by 1""",
 )
 def seq_encode_legacy(spark, folder):
     ordered = inputs.orders(spark, folder).withColumn("at", F.col("pos"))
-    arrays = sequences.to_arrays(ordered, ["key", "at"])
-    return arrays.select("seq_id", codec.encode_sequence(["key", "at"], codec.LEGACY).alias("line"))
+    return codec.encode_elements(ordered, ["key", "at"], codec.LEGACY)
 
 
 @query("seq_lengths", "with " + SESSIONS + " select label, n, cast(count(*) as bigint) as sequences from seqs group by 1, 2")

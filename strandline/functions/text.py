@@ -82,10 +82,11 @@ def positional_parameters(message_tokens: Column, template_tokens: Column) -> Co
 
 def pattern_parameters(content: Column, template: Column) -> Column:
     """Text captured by the wildcards when the template is read as a pattern; empty when it does not match."""
-    escaped = F.regexp_replace(template, "([^A-Za-z0-9])", r"\\$1")
-    spaced = F.regexp_replace(escaped, r"(\\ )+", r"\\s+")
-    pattern = F.concat(F.lit("^"), F.replace(spaced, F.lit(r"\<\*\>"), F.lit("(.*?)")), F.lit("$"))
-    groups = F.regexp_count(template, F.lit(r"<\*>"))
+    # The constant pieces between wildcards are quoted as literals, word by word, with any white space between words.
+    pieces = F.split(template, r"<\*>", -1)
+    quoted = F.transform(pieces, lambda p: F.array_join(F.transform(F.split(p, " +", -1), lambda w: F.when(w == "", w).otherwise(F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))), r"\s+"))
+    pattern = F.concat(F.lit("^"), F.array_join(quoted, "(.*?)"), F.lit("$"))
+    groups = F.size(pieces) - 1
     captured = F.transform(F.sequence(F.lit(1), groups), lambda i: F.call_function("regexp_extract", content, pattern, i))
     usable = (groups > 0) & F.call_function("regexp_like", content, pattern)
     return F.when(usable, captured).otherwise(F.array().cast("array<string>"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.evaluate import exact_quantile
-from strandline.operators.vector_detectors import CountMatrix
+from strandline.operators.vector_detectors import CountMatrix, _dense
 from strandline.session import written
 
 
@@ -49,8 +49,9 @@ def logistic_regression(n: int, c: float = 100.0, tol: float = 0.01) -> Logistic
     return LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, tol=tol, maxIter=100)
 
 
-def decision_tree() -> DecisionTreeClassifier:
-    return DecisionTreeClassifier(impurity="gini", maxDepth=10, seed=7)
+def decision_tree(depth: int = 30) -> DecisionTreeClassifier:
+    """A tree of Gini splits; 30 is the largest depth Spark grows."""
+    return DecisionTreeClassifier(impurity="gini", maxDepth=depth, seed=7)
 
 
 def linear_svm(n: int, c: float = 1.0, tol: float = 0.1) -> LinearSVC:
@@ -79,19 +80,16 @@ class IsolationForest:
         self.n = rows.count()
         self.sample = min(sample, self.n)
         keep = min(1.0, 4.0 * self.sample / max(self.n, 1))
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-            "_h", F.xxhash64(F.lit(seed), "tree", "seq_id")
-        )
-        limit = int(-(1 << 63) + keep * ((1 << 64) - 1))
-        drawn = drawn.filter(F.col("_h") <= F.lit(min(limit, (1 << 63) - 1)))
+        limit = F.lit(min(int(-(1 << 63) + keep * ((1 << 64) - 1)), (1 << 63) - 1))
+        # A row is multiplied only by the trees whose hash threshold it passes.
+        hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.lit(seed), t, "seq_id") <= limit)
+        drawn = rows.withColumn("tree", F.explode(hits)).withColumn("_h", F.xxhash64(F.lit(seed), "tree", "seq_id"))
         smallest = Window.partitionBy("tree").orderBy("_h", "seq_id")
         bags = drawn.withColumn("_r", F.row_number().over(smallest)).filter(F.col("_r") <= self.sample)
         size, depth = self.matrix.size, int(np.ceil(np.log2(max(self.sample, 2))))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.zeros((len(pdf), size))
-            for r, (idx, val) in enumerate(zip(pdf["idx"], pdf["val"])):
-                x[r, idx] = val
+            _, x = next(_dense(pdf, size, len(pdf)))
             tree = int(pdf["tree"].iloc[0])
             return _grow(x, np.random.default_rng(seed * 100_003 + tree), depth).assign(tree=tree)
 
@@ -104,15 +102,13 @@ class IsolationForest:
 
     def _scores(self, rows: DataFrame) -> DataFrame:
         trees, size, sample = self.trees, self.matrix.size, self.sample
-        norm = _path(sample)
+        norm = _path(sample) or 1.0  # samples of one row have no paths to compare
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                x = np.zeros((len(batch), size))
-                for r, (idx, val) in enumerate(zip(batch["idx"], batch["val"])):
-                    x[r, idx] = val
-                depth = np.mean([_depths(x, t) for t in trees], axis=0)
-                yield pd.DataFrame({"seq_id": batch["seq_id"], "score": np.power(2.0, -depth / norm)})
+                for piece, x in _dense(batch, size):
+                    depth = np.mean([_depths(x, t) for t in trees], axis=0)
+                    yield pd.DataFrame({"seq_id": piece["seq_id"], "score": np.power(2.0, -depth / norm)})
 
         kind = rows.schema["seq_id"].dataType.simpleString()
         return rows.select("seq_id", "idx", "val").mapInPandas(score, f"seq_id {kind}, score double")
@@ -124,8 +120,8 @@ class IsolationForest:
 def _path(n: int) -> float:
     """Mean path length of an unsuccessful search in a tree of ``n`` rows."""
     if n <= 1:
-        return 1.0
-    return 2.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+        return 0.0
+    return 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> pd.DataFrame:
@@ -155,7 +151,7 @@ def _depths(x: np.ndarray, tree: pd.DataFrame) -> np.ndarray:
     """Path length of every row in one tree, all rows walking down together."""
     feature, cut = tree["feature"].to_numpy(), tree["cut"].to_numpy()
     low, high = tree["low"].to_numpy(), tree["high"].to_numpy()
-    tail = np.array([_path(s) if s > 1 else 0.0 for s in tree["size"]])
+    tail = np.array([_path(s) for s in tree["size"]])
     at, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
     rows = np.arange(len(x))
     while True:

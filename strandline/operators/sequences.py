@@ -82,7 +82,7 @@ class TimeWindows:
         self.first, self.last = first, last
         self.reach = window
         if stop == "last_event":
-            ended = lines.filter(F.col("epoch") < first + window).agg(F.max("epoch")).first()[0]
+            ended = self.lines.filter(F.col("clock") < first + window).agg(F.max("clock")).first()[0]
             self.reach = ended - first
         self._slots = None
         self.slot_size = math.gcd(math.gcd(window, step), self.reach) if self.reach else step
@@ -211,9 +211,13 @@ def leave_room_for_start(elements: DataFrame, seq_len: int) -> DataFrame:
     return elements.filter(F.col("pos") < seq_len - 1)
 
 
-def to_arrays(elements: DataFrame, columns: Sequence[str], max_len: int = MAX_LEN) -> DataFrame:
-    """One row per sequence with an array per column, cut to ``max_len`` elements (the bound of the array)."""
-    packed = cut(elements, max_len).groupBy("seq_id").agg(
+def to_arrays(elements: DataFrame, columns: Sequence[str], max_len: int | None) -> DataFrame:
+    """One row per sequence with an array per column.
+
+    ``max_len`` cuts the sequences to so many elements; ``None`` keeps all, for sequences known to fit in a row.
+    """
+    kept = elements if max_len is None else cut(elements, max_len)
+    packed = kept.groupBy("seq_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_e")
     )
     return packed.select("seq_id", *[F.col(f"_e.{c}").alias(c) for c in columns])

@@ -74,11 +74,62 @@ class FixedDepthTree:
         return token if len(node) + reserved < self.max_children else WILDCARD
 
 
+class ConstantPaths:
+    """Constant parts of the templates as paths from a root; a path's end names the first cluster that had it.
+
+    A step is shared by all templates that begin with it and goes when the last of them is taken out.
+    """
+
+    def __init__(self) -> None:
+        self.step: dict[tuple[int, str], int] = {}
+        self.users: dict[int, int] = {}
+        self.owner: dict[int, int] = {}
+        self.last = 0
+
+    def add(self, constants: list[str], cluster: int) -> None:
+        at = 0
+        for token in constants:
+            known = self.step.get((at, token))
+            if known is None:
+                self.last += 1
+                known = self.step[at, token] = self.last
+            self.users[known] = self.users.get(known, 0) + 1
+            at = known
+        self.owner.setdefault(at, cluster)
+
+    def take_out(self, constants: list[str]) -> None:
+        at = 0
+        for token in constants:
+            known = self.step.get((at, token))
+            if known is None:
+                return
+            if self.users[known] == 1:
+                del self.step[at, token]  # all below it is out of reach as well
+                return
+            self.users[known] -= 1
+            at = known
+
+    def find(self, message: list[str], enough) -> int | None:
+        """Follow the message's tokens that continue a path, skipping those that do not, to an end that is ``enough``."""
+        at = 0
+        for token in message:
+            known = self.step.get((at, token))
+            if known is None:
+                continue
+            cluster = self.owner.get(known)
+            if cluster is None:
+                at = known
+            elif enough(cluster):
+                return cluster
+        return None
+
+
 class CommonSubsequence:
     """Clusters of phrase lists that share a long common subsequence."""
 
     def __init__(self, tau: float = 0.5):
         self.tau = tau
+        self.paths = ConstantPaths()
         self.template: dict[int, list[str]] = {}
         self.sets: dict[int, set[str]] = {}
         self.changes = 0
@@ -90,7 +141,10 @@ class CommonSubsequence:
         return self.changes
 
     def decide(self, message: list[str]) -> tuple[int | None, list[str] | None]:
-        constants = [t for t in message if t != WILDCARD]
+        constants = _constants(message)
+        found = self.paths.find(constants, lambda c: len(_constants(self.template[c])) >= self.tau * len(constants))
+        if found is not None:
+            return found, None
         present = set(constants) | {WILDCARD}
         for cluster, template in self.template.items():
             if len(template) >= 0.5 * len(constants) and self.sets[cluster] <= present:
@@ -110,8 +164,15 @@ class CommonSubsequence:
 
     def learn(self, cluster: int, template: list[str]) -> None:
         self.changes += 1
+        if cluster in self.template:
+            self.paths.take_out(_constants(self.template[cluster]))
         self.template[cluster] = template
         self.sets[cluster] = set(template)
+        self.paths.add(_constants(template), cluster)
+
+
+def _constants(tokens: list[str]) -> list[str]:
+    return [t for t in tokens if t != WILDCARD]
 
 
 def longest_common(a: list[str], b: list[str]) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -25,10 +26,12 @@ SMALL = 1e-8
 def neighbour_error(elements: DataFrame, vectors: DataFrame, dims: int, reach: int) -> DataFrame:
     """Add ``error``: mean squared difference between a key's vector and the mean vector of its neighbours.
 
-    Works for keys never trained on, because a vector depends on the text of the key only.
+    Works for keys never trained on, because a vector depends on the text of the key only. A key without a vector fails.
     """
     names = [f"v{i}" for i in range(dims)]
-    placed = lookup_join(elements, vectors, ["key"], "inner", F.col("pos"))
+    found = lookup_join(elements, vectors.withColumn("_known", F.lit(True)), ["key"], "left", F.col("pos"))
+    missing = F.raise_error(F.concat(F.lit("no vector for key "), F.coalesce("key", F.lit("null"))))
+    placed = found.withColumn(names[0], F.when(F.col("_known"), F.col(names[0])).otherwise(missing.cast("double"))).drop("_known")
 
     def around(w):
         return w.rowsBetween(-reach, reach)
@@ -97,17 +100,20 @@ class CountSphere:
 class CountMatrix:
     """Training keys numbered in key order and sparse rows of indexes and values.
 
-    The detectors below decompose an E x E matrix, so the number of keys is checked against ``DENSE_KEYS``; a row never
-    holds more than E cells.
+    Detectors that decompose an E x E matrix pass ``key_limit``; those that work on sparse rows leave it out.
     """
 
-    def __init__(self, cells: DataFrame, key_limit: int = DENSE_KEYS):
+    def __init__(self, cells: DataFrame, key_limit: int | None = None):
         keys = numbered(cells.select("key").distinct(), ["key"], F.substring("key", 1, 2), "_n")
         self.keys = written(keys.select("key", (F.col("_n") - 1).cast("int").alias("idx")))
         self.size = self.keys.count()
-        if self.size > key_limit:
+        if key_limit is not None and self.size > key_limit:
             raise ValueError(f"{self.size} keys: a dense {self.size} x {self.size} decomposition is limited to {key_limit}")
-        self.key_names = {r["idx"]: r["key"] for r in self.keys.collect()}
+
+    @cached_property
+    def key_names(self) -> dict[int, str]:
+        """Names of the keys, for models small enough to be read."""
+        return {r["idx"]: r["key"] for r in self.keys.collect()}
 
     def rows(self, cells: DataFrame) -> DataFrame:
         """``seq_id, idx, val`` arrays; keys without a number are ignored, rows without any known key are kept empty."""
@@ -162,8 +168,8 @@ class ResidualModel:
     # Fixed value: normal quantile used by the Q-statistic.
     C_ALPHA = 3.2905
 
-    def __init__(self, cells: DataFrame, variance: float = 0.95, threshold: float | None = None):
-        self.matrix = CountMatrix(cells)
+    def __init__(self, cells: DataFrame, variance: float = 0.95, threshold: float | None = None, key_limit: int = DENSE_KEYS):
+        self.matrix = CountMatrix(cells, key_limit)
         rows = written(self.matrix.rows(cells))
         u, sigma, _ = np.linalg.svd(gramian_matrix(rows, self.matrix.size) / rows.count())
         share = np.cumsum(sigma) / sigma.sum()
@@ -203,8 +209,8 @@ class Invariants:
 
     SCALES = (1, 2, 3)
 
-    def __init__(self, cells: DataFrame, share: float = 0.98, epsilon: float = 0.5, longest: int = 3):
-        self.matrix = CountMatrix(cells)
+    def __init__(self, cells: DataFrame, share: float = 0.98, epsilon: float = 0.5, longest: int | None = None, key_limit: int = DENSE_KEYS):
+        self.matrix = CountMatrix(cells, key_limit)
         self.share, self.epsilon = share, epsilon
         self.rows = written(self.matrix.rows(cells))
         self.n = self.rows.count()
@@ -266,7 +272,7 @@ class Invariants:
                     valid[columns] = weights.tolist()
         return valid
 
-    def _search(self, longest: int) -> None:
+    def _search(self, longest: int | None) -> None:
         alive = {frozenset([i]) for i in range(self.matrix.size)}
         for i in range(self.matrix.size):
             if self.product[i, i] == 0:
@@ -274,7 +280,7 @@ class Invariants:
                 alive.discard(frozenset([i]))
         level = sorted(tuple(s) for s in alive)
         length = 2
-        while level and length <= longest and len(self.found) < max(self.dimension, 1):
+        while level and (longest is None or length <= longest) and len(self.found) < max(self.dimension, 1):
             joined = sorted({tuple(sorted(set(a) | set(b))) for a, b in combinations(level, 2) if len(set(a) | set(b)) == length})
             open_sets = [c for c in joined if all(frozenset(s) in alive for s in combinations(c, length - 1))]
             alive.update(frozenset(c) for c in open_sets)
@@ -383,6 +389,10 @@ class Clusters:
             points.extend(means.get(c, fresh[c]) for c in range(len(fresh)))
             far = placed.filter(F.col("distance") > max_distance)
             sampled = order.filter(F.col("_rank") <= sample).select("seq_id")
+            # A sampled row has had its round; one that ended up far from every mean becomes a group of its own, so that
+            # every round removes its sample and no row is lost.
+            alone = far.join(sampled, "seq_id", "left_semi").select(array_col).toPandas()
+            points.extend(np.asarray(v, float) for v in alone[array_col])
             left = written(far.join(sampled, "seq_id", "left_anti").drop("cluster", "distance"))
         self.points = np.vstack(points)
 
@@ -407,7 +417,7 @@ def group_means(rows: DataFrame, group: str, array_col: str, limit: int = 10_000
 def pair_relations(cells: DataFrame) -> DataFrame:
     """For every pair of keys that meet in a row: the integer weights of its smallest eigenvector (smallest entry 1) and
     the number of rows in which the weighted counts cancel."""
-    matrix = CountMatrix(cells)
+    matrix = CountMatrix(cells, DENSE_KEYS)
     rows = written(matrix.rows(cells))
     product = gramian_matrix(rows, matrix.size)
     pairs = [(i, j) for i, j in zip(*np.nonzero(np.triu(product, 1)))]
@@ -436,7 +446,9 @@ def count_cancelling(rows: DataFrame, size: int, pairs: list[tuple[int, int, flo
         hits = np.zeros(len(i), dtype=np.int64)
         for batch in batches:
             for _, x in _dense(batch, size):
-                hits += (np.abs(x[:, i] * a + x[:, j] * b) < SMALL).sum(axis=0)
+                for k in range(0, len(i), 512):
+                    part = slice(k, k + 512)
+                    hits[part] += (np.abs(x[:, i[part]] * a[part] + x[:, j[part]] * b[part]) < SMALL).sum(axis=0)
         yield pd.DataFrame({"c": np.arange(len(i)), "hits": hits})
 
     summed = rows.select("idx", "val").mapInPandas(partial, "c int, hits long").groupBy("c").agg(F.sum("hits").alias("hits"))

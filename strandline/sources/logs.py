@@ -87,11 +87,28 @@ def read_sequences(spark: SparkSession, folder: str, columns: list[str], marks:
     return codec.decode_sequence(lines, "line", columns, marks)
 
 
+def write_sequence_lines(lines: DataFrame, folder: str) -> None:
+    """``seq_id <tab> line``: sequence text that keeps its ids; an id holds no tab."""
+    lines.select(F.concat_ws("\t", F.col("seq_id").cast("string"), "line").alias("value")).write.mode("overwrite").text(folder)
+
+
+def read_sequence_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``seq_id, line`` of :func:`write_sequence_lines`; ids come back as text."""
+    at = F.instr("value", "\t")
+    return spark.read.text(folder).select(F.expr("substring(value, 1, instr(value, '\t') - 1)").alias("seq_id"), F.substr(F.col("value"), at + 1).alias("line"))
+
+
 def write_vocabulary(vocab: DataFrame, folder: str) -> None:
     """``key <tab> idx`` lines."""
     vocab.select(F.concat_ws("\t", "key", F.col("idx").cast("string")).alias("value")).write.mode("overwrite").text(folder)
 
 
+def read_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """``key, idx`` of :func:`write_vocabulary`; the number follows the last tab."""
+    pattern = "(?s)^(.*)\t([0-9]+)$"
+    return spark.read.text(folder).select(F.regexp_extract("value", pattern, 1).alias("key"), F.regexp_extract("value", pattern, 2).cast("long").alias("idx"))
+
+
 def append_result(result: DataFrame, folder: str, **parameters: object) -> None:
     """Append result rows; the parameters of the run become columns of the rows."""
     named = result.select("*", *[F.lit(str(v)).alias(f"param_{k}") for k, v in parameters.items()])

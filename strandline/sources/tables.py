@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the folder. Its times carry no zone and are read as UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """A table of the folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def epoch_seconds(column: str) -> Column:
+    """Seconds since 1970 of a time without zone, read as UTC whatever the session's zone is."""
+    time = F.col(column).cast("timestamp_ntz")
+    clock = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+    return F.unix_date(time.cast("date")).cast("long") * 86400 + clock
+
+
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as a structured log: dense ``line_id``, epoch seconds, session, key and element label."""
     k = F.get_json_object("props", "$.k")
     return table(spark, folder, "events").select(
         (F.col("event_id") + 1).alias("line_id"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"),
+        epoch_seconds("ts").alias("epoch"),
         F.col("user_id").cast("string").alias("session"),
         F.concat_ws("_", "event_type", k).alias("key"),
         F.when((F.col("event_type") == "error") & (k.cast("int") >= 97), 1).otherwise(0).alias("el_label"),
@@ -30,7 +35,7 @@ def event_text(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` rendered as raw log text, one line per event, in the shape of a console log."""
     k = F.get_json_object("props", "$.k")
     events = table(spark, folder, "events")
-    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    stamp = F.substring(F.col("ts").cast("timestamp_ntz").cast("string"), 1, 19)
     value = F.col("value").cast("decimal(18,2)").cast("string")
     content = (
         F.when(
@@ -73,7 +78,7 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     bucket = F.floor(F.col("l_quantity") / 10).cast("int")
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("seq_id"),
-        F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("epoch"),
+        epoch_seconds("l_shipdate").alias("epoch"),
         F.col("l_linenumber").alias("line_number"),
         F.concat(F.col("l_returnflag"), F.col("l_linestatus"), bucket.cast("string")).alias("key"),
     )
