@@ -303,23 +303,37 @@ def cluster_assign(spark, folder):
     )
 
 
-@query("cluster_fit")
+@query(
+    "cluster_fit",
+    """with w as (select l_orderkey as seq_id, l_orderkey % 3 as p, count(*)::double as a, (count(*) filter (l_quantity >= 45))::double as b from lineitem group by 1),
+    m as (select p, avg(a) as ma, avg(b) as mb from w group by 1),
+    d as (select p, 1 - (a * ma + b * mb) / (sqrt(a * a + b * b) * sqrt(ma * ma + mb * mb) + 1e-8::double) as raw from w join m using (p))
+    select cast(count(*) as bigint) as members, round(max(case when raw < 1e-8::double then 0 else raw end), 4) as widest, cast(0 as bigint) as anomalies
+    from d group by p""",
+)
 def cluster_fit(spark, folder):
-    """Orders clustered by their event counts."""
-    cells = written(flag_cells(spark, folder))
+    """Orders of three kinds, each with events of its own - its lines and its large lines - clustered by event counts."""
+    kind = F.concat(F.lit("kind"), (F.col("l_orderkey") % 3).cast("string"))
+    opened = tables.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("seq_id"),
+        F.explode(F.array_compact(F.array(F.concat(kind, F.lit("_line")), F.when(F.col("l_quantity") >= 45, F.concat(kind, F.lit("_large")))))).alias("key"),
+    )
+    cells = written(splits.sequence_key_counts(opened).withColumnRenamed("cnt", "value"))
     matrix = vd.CountMatrix(cells)
     rows = written(vd.dense_arrays(matrix.rows(cells), matrix.size))
     placed = vd.Clusters(rows, "counts", max_distance=0.3).predict(rows)
     return placed.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("members"), F.round(F.max("distance"), 4).alias("widest"), F.sum("pred").alias("anomalies")
-    )
+    ).drop("cluster")
 
 
-@query("isolation_forest")
+@query("isolation_forest", "select l_orderkey as seq_id, cast(case when l_orderkey % 40 = 0 then 1 else 0 end as bigint) as pred from lineitem group by 1")
 def isolation_forest(spark, folder):
-    train, test = (c.withColumnRenamed("cnt", "value") for c in _train_and_test(spark, folder))
-    scored = ml_detectors.IsolationForest(train).predict(test)
-    return scored.select("seq_id", F.round("score", 4).alias("score"), "pred")
+    """Orders by event counts; every fortieth is given counts far from all others and is to be found."""
+    far = F.col("seq_id") % 40 == 0
+    cells = written(flag_cells(spark, folder).withColumn("value", F.when(far, F.lit(1000)).otherwise(F.col("value")).cast("double")))
+    share = cells.select("seq_id", far.cast("int").alias("far")).distinct().agg(F.avg("far")).first()[0]
+    return ml_detectors.IsolationForest(cells, contamination=share or 0.0).predict(cells).select("seq_id", "pred")
 
 
 RETURNED = "with l as (select l_orderkey as seq_id, cast(max(case when l_returnflag = 'R' then 1 else 0 end) as bigint) as pred from lineitem group by 1) "
