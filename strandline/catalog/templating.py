@@ -263,7 +263,31 @@ def time_parse(spark, folder):
     return made.select("line_id", F.when((first == second) & (second == third), first).alias("epoch"))
 
 
-@query("template_mine_fixed_depth")
+# The distinct masked messages are folded in order of their first line; state: clusters with their templates.
+FOLD = EVENT_TEXT + r"""
+, d as (select string_split_regex(trim(message), '\s+') as t, min(line_no) as first, count(*) as lines from masked group by 1),
+o as (select *, row_number() over (order by first) as k from d),
+fold as (
+  select cast(0 as bigint) as k, cast([] as struct(c bigint, t varchar[])[]) as s, cast(0 as bigint) as hit, cast([] as varchar[]) as t
+  union all
+  select k, case when hit = k then list_append(s, {'c': k, 't': t})
+                 else list_transform(s, lambda x: case when x.c = hit then {'c': x.c, 't': list_transform(list_zip(x.t, t), lambda z: case when z[1] = z[2] then z[1] else '<*>' end)} else x end) end,
+         hit, t
+  from (select k, s, t, case when best is null or -best.q < 0.3 * len(t) then k else best.c end as hit
+        from (select o.k, f.s, o.t,
+                     list_sort(list_transform(list_filter(f.s, lambda x: len(x.t) = len(o.t)), lambda x: {
+                       'q': -len(list_filter(list_zip(x.t, o.t), lambda z: z[1] = z[2] and z[1] <> '<*>')),
+                       'w': -len(list_filter(x.t, lambda w: w = '<*>')), 'c': x.c}))[1] as best
+              from fold f join o on o.k = f.k + 1))),
+final as (select unnest(s, recursive := true) from fold where k = (select max(k) from fold))"""
+
+
+@query(
+    "template_mine_fixed_depth",
+    "with recursive " + FOLD.lstrip() + """
+    select left(md5(array_to_string(final.t, ' ')), 8) as "EventId", array_to_string(final.t, ' ') as "EventTemplate", cast(sum(lines) as bigint) as "Occurrences"
+    from fold join final on final.c = fold.hit join o on o.k = fold.k group by 1, 2""",
+)
 def template_mine_fixed_depth(spark, folder):
     lines = structured(spark, folder).select("line_id", "Content")
     mined = templates.mine_fixed_depth(lines, "Content", text.MASKS["supercomputer"], depth=3, similarity=0.3)
