@@ -6,8 +6,9 @@ come last by count; all others are in hash order. The order decides the work, ne
 overlap share an n-gram among their first ``size - needed + 1``, so only those prefixes are exchanged:
 
 1. prefix entries whose n-gram occurs in one class are dropped;
-2. *star rounds*: a group (classes that share a prefix n-gram) is joined against one chosen member through a tree of that
-   member; verified links collapse groups of near copies, and groups whose members are all connected are finished;
+2. *star rounds*, for groups (classes that share a prefix n-gram) of ``STAR_GROUP`` members or more: a group is joined
+   against one chosen member; verified links collapse groups of near copies, and groups whose members are all connected
+   are finished;
 3. *full round*: what is left of each group is stored in a tree of its remaining prefixes in global order. All members walk
    it together, level by level, sharing the overlap found so far on common paths, and leave a subtree once the overlap plus
    what remains of either set cannot reach the bound. A group of more than ``CELL`` members is cut in blocks, a task for
@@ -37,7 +38,10 @@ FREQUENT = 1 << 17
 CELL = 1000
 MATRIX = 1 << 22
 ENOUGH = 12
+TAIL = 96
+CELL_GRAMS = 1 << 21
 STAR_ROUNDS = 3
+STAR_GROUP = 50
 SMALL_IDS = 1_000_000
 
 
@@ -269,15 +273,50 @@ def _cell_task(percent: int, sent, batches: Iterator[pa.RecordBatch]) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _verify_task(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole sets (sorted hashes) with the partners to compare with, those of one cell side by side."""
+
+    def links(sets: dict[int, np.ndarray], partners: dict[int, list[int]]) -> Iterator[tuple[int, int]]:
+        for a, others in partners.items():
+            x = sets[a]
+            for b in others:
+                y = sets[b]
+                few, many = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.searchsorted(many, few)
+                common = int((many[np.minimum(at, len(many) - 1)] == few).sum())
+                if common >= needed(len(x) + len(y), percent):
+                    yield a, b
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        found = list(links(sets, partners))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    cell, sets, partners = None, {}, {}
+    for batch in batches:
+        tokens = batch.column("tokens")
+        flat, ends = tokens.flatten().to_numpy().view(np.uint64), tokens.offsets.to_numpy()
+        ends = ends - ends[0]
+        for k, (c, i, j, v, others) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("cell", "i", "j", "v", "partners")))):
+            if (c, i, j) != cell:
+                yield from flush()
+                cell, sets, partners = (c, i, j), {}, {}
+            sets[v] = flat[ends[k] : ends[k + 1]]
+            if others:
+                partners[v] = others
+    yield from flush()
+
+
 # ---- plan -------------------------------------------------------------------------------------------------------
 
 
 class Join:
     """One run of the join over a table of documents."""
 
-    def __init__(self, docs: DataFrame, n: int = 4, percent: int = 85, cell: int = CELL, star_rounds: int = STAR_ROUNDS) -> None:
+    def __init__(self, docs: DataFrame, n: int = 4, percent: int = 85, cell: int = CELL, star_rounds: int = STAR_ROUNDS, star_group: int = STAR_GROUP) -> None:
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        self.n, self.percent, self.cell, self.star_rounds = n, percent, cell, star_rounds
+        self.n, self.percent, self.cell, self.star_rounds, self.star_group = n, percent, cell, star_rounds, star_group
         self.spark = docs.sparkSession
         self.shared = Shared(self.spark)
         counted = self.docs.mapInArrow(lambda b: _frequent_task(n, b), "token bigint, times bigint")
@@ -293,8 +332,10 @@ class Join:
         """``(doc_id, size, component_id)`` of every document."""
         shared = self.shared
         sets = shared.write(self.sets(self.docs, whole=False), "sets")
+        members = shared.write(sets.select("doc_id", "size", "d1", "d2"), "members")
         classes = sets.where("size > 0 and doc_id is not null").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("one"), F.first("tokens").alias("tokens"))
         classes = shared.write(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+        shared.drop("sets")
         entries = classes.select("v", "size", F.posexplode("tokens").alias("at", "token"))
         # Of two sets, the smaller must share an n-gram of the part of its prefix that ends at "store".
         store = F.col("size") - F.ceil(2 * self.percent * F.col("size") / (100 + self.percent)) + 1
@@ -304,13 +345,12 @@ class Join:
         left = self.with_partners(entries.withColumn("root", F.col("v")))
         left = entries = shared.write(left, "open-0")
         shared.drop("entries")
-        self.full = None
         links, roots = [], None
         last, step = self.star_rounds == 0, -1
         while True:
             step += 1
             pairs = shared.write(self.pairs_by_tree(left, classes) if last else self.star_pairs(left, classes, step), f"pairs-{step}")
-            found = shared.write(self.verified(pairs, entries, classes), f"links-{step}")
+            found = shared.write(self.verified(pairs, classes), f"links-{step}")
             linked = found.count()
             if linked:
                 links.append(found)
@@ -328,7 +368,7 @@ class Join:
             rooted = rooted.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
             smallest = rooted.groupBy("root").agg(F.min("one").alias("component_id"))
             named = rooted.join(smallest, "root").select("size", "d1", "d2", "component_id")
-        return sets.select("doc_id", "size", "d1", "d2").join(named, ["size", "d1", "d2"], "left").select(
+        return members.join(named, ["size", "d1", "d2"], "left").select(
             "doc_id", "size", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
         )
 
@@ -343,7 +383,9 @@ class Join:
         return self._step
 
     def star_pairs(self, left: DataFrame, classes: DataFrame, step: int) -> DataFrame:
-        """Each class with the chosen member that it shares most groups with, where sizes and positions allow a link."""
+        """Each class with the chosen member that it shares most large groups with, where sizes and positions allow a link."""
+        large = left.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") >= self.star_group).select("token")
+        left = left.join(large, "token")
         pick = F.min(F.struct(F.xxhash64("v", F.lit(step)), "v", "size", "at", "root"))
         chosen = left.groupBy("token").agg(pick.alias("p")).select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("v", "size", "at", "root")])
         total = F.col("size") + F.col("p_size")
@@ -363,7 +405,8 @@ class Join:
         blocks = F.ceil(F.col("members") / cell).cast("int")
         rows = left.join(sizes, "token").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("v", "token"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        tail = F.slice("tokens", F.col("at") + 2, F.greatest(F.size("tokens") - F.col("at") - 1, F.lit(0)))
+        # Longer tails would seldom be walked further; a path that ends with a tail cut here ends in candidates.
+        tail = F.slice("tokens", F.col("at") + 2, F.least(F.greatest(F.size("tokens") - F.col("at") - 1, F.lit(0)), F.lit(TAIL)))
         rows = rows.join(classes.select("v", "tokens"), "v").select(
             "token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "v", "root", "size", F.col("at").cast("bigint").alias("at"), "side", tail.alias("tail"), "widest"
         )
@@ -389,25 +432,34 @@ class Join:
         good &= F.least(F.col("size") - F.col("at"), F.col("most")) >= overlap
         return asked.where(good).select(*left.columns).distinct()
 
-    def whole_sets(self, entries: DataFrame, classes: DataFrame) -> DataFrame:
-        """``(v, tokens)`` of the classes that share a prefix n-gram with another."""
-        if self.full is None:
-            named = classes.select("v", "one", "size", "d1", "d2").join(entries.select("v").distinct(), "v")
-            ids = named.select(F.col("one").alias("doc_id")).distinct()
-            docs = self.docs.join(small(ids, SMALL_IDS), "doc_id", "left_semi")
-            sets = self.sets(docs, whole=True).withColumnRenamed("doc_id", "one")
-            self.full = self.shared.write(sets.join(named, ["one", "size", "d1", "d2"]).select("v", "tokens"), "full")
-        return self.full
-
-    def verified(self, pairs: DataFrame, entries: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs whose whole sets have the needed overlap."""
-        full = self.whole_sets(entries, classes)
-        left = full.select(F.col("v").alias("a"), F.col("tokens").alias("a_tokens"))
-        right = full.select(F.col("v").alias("b"), F.col("tokens").alias("b_tokens"))
-        both = pairs.join(right, "b").join(left, "a")
-        overlap = F.size(F.array_intersect("a_tokens", "b_tokens"))
-        total = F.size("a_tokens") + F.size("b_tokens")
-        return both.where((100 + self.percent) * overlap >= self.percent * total).select("a", "b").distinct()
+    def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The pairs whose whole sets have the needed overlap.
+
+        A pair is checked in the cell of the smallest class that either end is paired with, so the pairs of a group of near
+        copies meet in one cell and each set travels to it once. A cell whose sets hold more than ``CELL_GRAMS`` n-grams is
+        cut in blocks of either end.
+        """
+        percent = self.percent
+        both = pairs.select("a", "b").union(pairs.select("b", "a"))
+        near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("near"))
+        celled = pairs.join(near.withColumnRenamed("near", "near_a"), "a").join(near.select(F.col("a").alias("b"), F.col("near").alias("near_b")), "b")
+        celled = celled.select("a", "b", F.least("near_a", "near_b").alias("cell"))
+        named = classes.select("v", "one", "size", "d1", "d2")
+        ends = celled.select("cell", F.col("a").alias("v")).union(celled.select("cell", F.col("b"))).distinct()
+        weights = ends.join(named.select("v", "size"), "v").groupBy("cell").agg(F.ceil(F.sum("size") / CELL_GRAMS).cast("int").alias("blocks"))
+        celled = celled.join(weights, "cell")
+        block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+        celled = celled.select("cell", block("a").alias("i"), block("b").alias("j"), "a", "b")
+        nothing = F.lit(None).cast("bigint")
+        wanted = celled.select("cell", "i", "j", F.col("a").alias("v"), F.col("b").alias("partner")).union(celled.select("cell", "i", "j", F.col("b"), nothing))
+        wanted = wanted.groupBy("cell", "i", "j", "v").agg(F.collect_list("partner").alias("partners")).join(named, "v")
+        wanted = self.shared.write(wanted, f"wanted-{self.shared_step()}")
+        ids = wanted.select(F.col("one").alias("doc_id")).distinct()
+        docs = self.docs.join(small(ids, SMALL_IDS), "doc_id", "left_semi")
+        sets = self.sets(docs, whole=True).withColumnRenamed("doc_id", "one")
+        rows = sets.join(wanted, ["one", "size", "d1", "d2"]).select("cell", "i", "j", "v", "partners", "tokens")
+        dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+        return dealt.mapInArrow(lambda b: _verify_task(percent, b), "a bigint, b bigint").distinct()
 
 
 def linked(docs: DataFrame, **options) -> DataFrame:

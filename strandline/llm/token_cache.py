@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import Shared, small
 
 STORED = "content string, tokenizer string, n_tokens bigint"
 SMALL_COPIES = 200_000
@@ -121,6 +121,8 @@ class Cache:
         made = one.select("content", "text").mapInArrow(lambda b: _count_task(vocabulary, digest, b), STORED)
         made.write.mode("append").parquet(self.path)
         counted = self.stored().where(F.col("tokenizer") == digest).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        # Written, so that the join reads tables on both sides and Spark can split the copies of one content.
+        counted = Shared(self.spark).write(counted, "counts")
         return docs.select("doc_id", "content", "n_bytes").join(counted, "content")
 
 

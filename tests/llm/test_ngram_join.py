@@ -52,7 +52,7 @@ def sample(seed, families=6, copies=14):
     return docs + [docs[3], (1000, "long " * 3 + " ".join(word() for _ in range(20000)))]
 
 
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"cell": 4}), (3, {"star_rounds": 0}), (4, {"star_rounds": 0, "cell": 5})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"cell": 4, "star_group": 3}), (3, {"star_rounds": 0}), (4, {"star_group": 2})])
 def test_equals_all_pairs(spark, documents, seed, options):
     docs = sample(seed)
     assert rows_of(ngram_join.linked(documents(docs), **options)) == brute_force(docs)
