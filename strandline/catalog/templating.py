@@ -8,6 +8,7 @@ from strandline.catalog import inputs
 from strandline.catalog.registry import EVENT_LINES, WINDOWS, Registry
 from strandline.functions import text
 from strandline.operators import templates
+from strandline.plans.lookup import lookup_join
 from strandline.session import written
 from strandline.sources import logs, tables
 
@@ -173,7 +174,7 @@ def template_assign(spark, folder):
 )
 def params_positional(spark, folder):
     messages, found = merged_templates(spark, folder)
-    joined = messages.join(found, ["Component", "n"])
+    joined = lookup_join(messages, found, ["Component", "n"], "inner", F.col("line_id"))
     return joined.select("line_id", F.array_join(text.positional_parameters(F.col("tokens"), F.col("template")), ",").alias("parameters"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.plans.lookup import lookup_join
-from strandline.plans.running import HASH_BLOCK_DIGITS, Blocks, numbered, running, shuffled
+from strandline.plans.running import HASH_BLOCK_DIGITS, Blocks, numbered, ranged, running, shuffled
 from strandline.session import written
 
 
@@ -161,7 +161,7 @@ def removal_order(counts: DataFrame) -> DataFrame:
     keys = pairs.groupBy("key").agg(
         F.count(F.lit(1)).alias("df"), F.max((F.col("part") == "train").cast("int")).alias("in_train")
     ).filter(F.col("in_train") == 1)
-    ranked = written(numbered(keys, ["df", "key"], F.least(F.col("df"), F.lit(4096)), "key_rank").select("key", "key_rank"))
+    ranked = written(numbered(ranged(keys, ["df", "key"]), ["df", "key"], F.col("_range"), "key_rank").select("key", "key_rank"))
     earliest = lookup_join(pairs, ranked, ["key"], "inner", F.col("seq_id")).groupBy("seq_id").agg(
         F.min("key_rank").alias("first_key"), F.max((F.col("part") == "test_normal").cast("int")).alias("_second")
     )
@@ -173,7 +173,7 @@ def removal_order(counts: DataFrame) -> DataFrame:
     hashed = earliest.withColumn("_hash", F.md5(F.col("seq_id").cast("string")))
     block = F.concat(F.col("_second").cast("string"), F.substring("_hash", 1, HASH_BLOCK_DIGITS))
     inside = numbered(hashed, ["_second", "_hash", "seq_id"], block, "_at", within=["first_key"])
-    return inside.join(reach, "first_key").select("seq_id", (F.col("_at") + F.col("_earlier")).alias("leaves_at"))
+    return lookup_join(inside, reach, ["first_key"], "inner", F.col("seq_id")).select("seq_id", (F.col("_at") + F.col("_earlier")).alias("leaves_at"))
 
 
 def instability_sweep(parts: DataFrame, counts: DataFrame, steps: int, seed: int = 42) -> DataFrame:
@@ -231,7 +231,7 @@ def by_length(summary: DataFrame) -> DataFrame:
     ).select("n", (F.col("_upto") - F.col("_c")).alias("_before"))
     hashed = summary.withColumn("_hash", F.md5(F.col("seq_id").cast("string")))
     same = numbered(hashed, ["_hash", "seq_id"], F.substring("_hash", 1, HASH_BLOCK_DIGITS), "_at", within=["n"])
-    return same.join(longer, "n").select("seq_id", "n", (F.col("_at") + F.col("_before")).alias("place"))
+    return lookup_join(same, longer, ["n"], "inner", F.col("seq_id")).select("seq_id", "n", (F.col("_at") + F.col("_before")).alias("place"))
 
 
 def vocabulary_overlap(counts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from strandline.functions import text
 from strandline.functions.text import WILDCARD
 from strandline.operators import replay
 from strandline.plans.lookup import lookup_join
-from strandline.plans.running import numbered
+from strandline.plans.running import numbered, ranged
 from strandline.session import written
 
 
@@ -252,9 +252,8 @@ def template_table(structured: DataFrame) -> DataFrame:
 
 def numbered_templates(templates: DataFrame) -> DataFrame:
     """Templates numbered 1..n, most frequent first, ties by id."""
-    falling = templates.withColumn("_less", -F.col("Occurrences"))
-    block = -F.floor(F.log2(F.col("Occurrences")))
-    return numbered(falling, ["_less", "EventId"], block, "number").drop("_less")
+    falling = ranged(templates.withColumn("_less", -F.col("Occurrences")), ["_less", "EventId"])
+    return numbered(falling, ["_less", "EventId"], F.col("_range"), "number").drop("_less", "_range")
 
 
 def merge_by_position(messages: DataFrame, group: list[str], tokens: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandline.operators.evaluate import exact_quantile
 from strandline.plans.lookup import lookup_join
 from strandline.plans.neighbours import over_neighbours
-from strandline.plans.running import numbered, shuffled
+from strandline.plans.running import numbered, ranged, shuffled
 from strandline.session import written
 
 DENSE_KEYS = 4096
@@ -104,7 +104,7 @@ class CountMatrix:
     """
 
     def __init__(self, cells: DataFrame, key_limit: int | None = None):
-        keys = numbered(cells.select("key").distinct(), ["key"], F.substring("key", 1, 2), "_n")
+        keys = numbered(ranged(cells.select("key").distinct(), ["key"]), ["key"], F.col("_range"), "_n")
         self.keys = written(keys.select("key", (F.col("_n") - 1).cast("int").alias("idx")))
         self.size = self.keys.count()
         if key_limit is not None and self.size > key_limit:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.plans.lookup import lookup_join
-from strandline.plans.running import Blocks, numbered, value_blocks
+from strandline.plans.running import numbered, ranged, value_blocks
 
 # Reserved entries of the dictionary and their indexes.
 SPECIALS = {"<pad>": 0, "<unk>": 1, "<eos>": 2, "<sos>": 3, "<mask>": 4}
@@ -39,13 +39,11 @@ def build_from_counts(counts: DataFrame, min_freq: int = 1, max_size: int | None
 def by_frequency(counted: DataFrame, out: str) -> DataFrame:
     """Number keys by frequency descending, then key.
 
-    A block is a frequency, written so that text order is falling frequency, and the first characters of the key: a
-    large dictionary has very many keys of the same low frequency.
+    The blocks are even ranges of that order: a large dictionary has very many keys of the same low frequency, and they may
+    begin alike.
     """
-    falling = counted.withColumn("_less", -F.col("freq"))
-    digits = F.lpad((F.lit(10**18) - F.col("freq")).cast("string"), 19, "0")
-    blocks = Blocks(F.concat(digits, F.substring("key", 1, 4)), lambda b: F.substring(b, 1, 20))
-    return numbered(falling, ["_less", "key"], blocks, out).drop("_less")
+    falling = ranged(counted.withColumn("_less", -F.col("freq")), ["_less", "key"])
+    return numbered(falling, ["_less", "key"], F.col("_range"), out).drop("_less", "_range")
 
 
 def special_rows(like: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import written
+
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
@@ -22,15 +24,18 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``facts`` to a dictionary that is unique on ``on``.
 
-    Up to ``broadcast_rows`` rows the dictionary is broadcast. A larger one is copied ``SALTS`` times and joined on
+    Up to ``broadcast_rows`` rows and ``BROADCAST_BYTES`` the dictionary is broadcast. A larger one is copied and joined on
     ``(on, salt)``: the salt comes from ``spread`` (a column that varies inside a hot key), so a key holding a third of
-    the facts is split over many tasks. Both ways give the same rows.
+    the facts is split over as many tasks as a shuffle has, and ``SALTS`` at least. Both ways give the same rows.
     """
-    kept = dictionary.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.count() <= broadcast_rows:
+    # Written, so that its size is taken and its rows are joined from one computation.
+    kept = written(dictionary)
+    size = kept.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    if size["rows"] <= broadcast_rows and (size["bytes"] or 0) <= BROADCAST_BYTES:
         return facts.join(F.broadcast(kept), list(on), how)
     if spread is None:
         return facts.join(kept, list(on), how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = max(SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

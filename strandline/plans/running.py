@@ -166,6 +166,13 @@ def numbered(
     )
 
 
+def ranged(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` written in ranges of ``order``, numbered by ``_range``: blocks for orders whose values say nothing about how
+    many rows share them, such as frequencies of rare keys. Spark samples the order for even ranges, and the table fixes
+    them for all later passes."""
+    return written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
 def hash_order(seed: int | str | Column, id_col: str) -> Column:
     """Reproducible shuffle key: md5 of seed and id."""
     return F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(id_col).cast("string")))
