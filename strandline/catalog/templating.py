@@ -33,10 +33,9 @@ masked as (
 
 
 def structured(spark, folder):
-    """Structured event log with dense line ids, parsed from a written text log."""
-    lines = written(tables.event_text(spark, folder))
-    made = logs.structure_table(lines, tables.EVENT_TEXT_FORMAT, "line_no")
-    return written(made.withColumnRenamed("LineId", "line_id"))
+    """Structured event log with dense line ids. Lazy: the lines are rendered and parsed in the scan that uses them."""
+    made = logs.structure_table(tables.event_text(spark, folder), tables.EVENT_TEXT_FORMAT, "line_no")
+    return made.withColumnRenamed("LineId", "line_id")
 
 
 def masked(spark, folder):
@@ -52,7 +51,7 @@ def masked(spark, folder):
 )
 def scan_header_regex(spark, folder):
     """Only lines of one level match this format; the others are dropped before numbering."""
-    lines = written(tables.event_text(spark, folder))
+    lines = tables.event_text(spark, folder)
     return logs.structure_table(lines, "<Date> <Time> INFO <Component>: <Content>", "line_no")
 
 

@@ -43,13 +43,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or named
 
 
+_tables: list[str] = []
+
+
+def written_tables() -> list[str]:
+    """Tables that :func:`written` made and :func:`release` has not removed."""
+    return list(_tables)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that :func:`written` made; call it when the results built on them have been used."""
+    jvm = spark._jvm
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a parquet table in the checkpoint folder and read it back.
 
-    For results that several branches of a job use: they are computed once, survive the loss of executors, and keep
+    For results that several branches of a job use (:func:`release` removes the tables afterwards): they are computed once, survive the loss of executors, and keep
     column pruning and size statistics, so small ones are broadcast by size.
     """
     folder = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{folder}/strandline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
