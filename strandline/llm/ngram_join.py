@@ -7,12 +7,13 @@ overlap share an n-gram among their first ``size - needed + 1``, so only those p
 
 1. prefix entries whose n-gram occurs in one class are dropped;
 2. *star rounds*, for groups (classes that share a prefix n-gram) of ``STAR_GROUP`` members or more: a group is joined
-   against one chosen member; verified links collapse groups of near copies, and groups whose members are all connected
+   against a few chosen members; verified links collapse groups of near copies, and groups whose members are all connected
    are finished;
 3. *full round*: what is left of each group is stored in a tree of its remaining prefixes in global order. All members walk
    it together, level by level, sharing the overlap found so far on common paths, and leave a subtree once the overlap plus
    what remains of either set cannot reach the bound. A group of more than ``CELL`` members is cut in blocks, a task for
    each pair of blocks, so no task holds a hot group;
+   Large groups have a round before in which a class takes a few partners of each other component only;
 4. candidate pairs between different components are verified on the whole sets.
 
 Defined cases: null and empty texts and texts without words have empty sets, link with nothing and are their own
@@ -38,9 +39,11 @@ FREQUENT = 1 << 17
 CELL = 1000
 MATRIX = 1 << 22
 ENOUGH = 12
-TAIL = 96
+TAIL = 64
+FEW = 3
 CELL_GRAMS = 1 << 21
-STAR_ROUNDS = 3
+STAR_ROUNDS = 6
+CENTRES = 4
 STAR_GROUP = 50
 SMALL_IDS = 1_000_000
 
@@ -264,10 +267,26 @@ def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
         yield from cut(left, True)[0]
 
 
-def _cell_task(percent: int, sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def first_few(rows: np.ndarray, roots: np.ndarray, few: int) -> np.ndarray:
+    """Marks of the first ``few`` entries of each pair of row and component."""
+    order = np.lexsort((roots, rows))
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[order][1:] != rows[order][:-1]) | (roots[order][1:] != roots[order][:-1])
+    heads = np.flatnonzero(new)
+    place = np.arange(len(rows)) - np.repeat(heads, np.diff(np.append(heads, len(rows))))
+    out = np.empty(len(rows), bool)
+    out[order] = place < few
+    return out
+
+
+def _cell_task(percent: int, sent, few: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``few``: of the pairs of a class with one other component, only so many, as a later round takes the rest."""
     order = Order(*sent.value)
     for cells in whole_cells(batches):
         for q, s in tree_pairs(cells, percent, order):
+            if few is not None:
+                kept = first_few(q, cells.root[s], few) & first_few(s, cells.root[q], few)
+                q, s = q[kept], s[kept]
             a, b = cells.vertex[q], cells.vertex[s]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -346,21 +365,25 @@ class Join:
         left = entries = shared.write(left, "open-0")
         shared.drop("entries")
         links, roots = [], None
-        last, step = self.star_rounds == 0, -1
-        while True:
-            step += 1
-            pairs = shared.write(self.pairs_by_tree(left, classes) if last else self.star_pairs(left, classes, step), f"pairs-{step}")
+        star, step = self.star_rounds > 0, 0
+        # Star rounds, then a tree round of a few pairs for the large groups, then the full round.
+        rounds = [("star", k) for k in range(self.star_rounds)] + ([("few", 0)] if star else []) + [("full", 0)]
+        while rounds:
+            (kind, k), step = rounds.pop(0), step + 1
+            if kind == "star":
+                pairs = self.star_pairs(left, k)
+            else:
+                pairs = self.pairs_by_tree(left, classes, FEW if kind == "few" else None)
+            pairs = shared.write(pairs, f"pairs-{step}")
             found = shared.write(self.verified(pairs, classes), f"links-{step}")
             linked = found.count()
             if linked:
                 links.append(found)
                 roots = components(reduce(DataFrame.union, links), shared, f"roots-{step}")
-            if last:
-                break
-            if linked:
-                left = self.unfinished(entries, roots)
-            # Another star round pays where most of the last one's pairs were links, so that groups are collapsing.
-            last = step + 1 >= self.star_rounds or 2 * linked < pairs.count()
+                left = self.unfinished(entries, roots) if rounds else left
+            if kind == "star" and 10 * linked < pairs.count():
+                # Another star round pays only while a good part of the last one's pairs were links.
+                rounds = [r for r in rounds if r[0] != "star"]
         rooted = classes.select("v", "one", "size", "d1", "d2")
         if roots is None:
             named = rooted.select("size", "d1", "d2", F.col("one").alias("component_id"))
@@ -382,25 +405,31 @@ class Join:
         self._step = getattr(self, "_step", 0) + 1
         return self._step
 
-    def star_pairs(self, left: DataFrame, classes: DataFrame, step: int) -> DataFrame:
-        """Each class with the chosen member that it shares most large groups with, where sizes and positions allow a link."""
+    def star_pairs(self, left: DataFrame, step: int) -> DataFrame:
+        """Each class with the ``CENTRES`` chosen members that it shares most large groups with, where sizes and positions
+        allow a link. A group's members of least hash are chosen, so groups of the same classes choose the same ones."""
         large = left.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") >= self.star_group).select("token")
         left = left.join(large, "token")
-        pick = F.min(F.struct(F.xxhash64("v", F.lit(step)), "v", "size", "at", "root"))
-        chosen = left.groupBy("token").agg(pick.alias("p")).select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("v", "size", "at", "root")])
+        fields = ("v", "size", "at", "root")
+        picks = [F.min(F.struct(F.xxhash64("v", F.lit(CENTRES * step + k)).alias("h"), *fields)) for k in range(CENTRES)]
+        chosen = left.groupBy("token").agg(F.array(*picks).alias("p"))
+        met = left.join(chosen, "token").withColumn("p", F.explode("p")).select(*fields, *[F.col(f"p.{c}").alias(f"p_{c}") for c in fields])
         total = F.col("size") + F.col("p_size")
         overlap = F.ceil(self.percent * total / (100 + self.percent))
-        met = left.join(chosen, "token").where("root <> p_root").where(
-            (F.col("size") - F.col("at") >= overlap) & (F.col("p_size") - F.col("p_at") >= overlap)
-        )
-        shared_groups = met.groupBy("v", "p_v").agg(F.count("*").alias("times"))
-        best = shared_groups.groupBy("v").agg(F.max_by("p_v", F.struct("times", "p_v")).alias("p_v"))
-        return best.select(F.col("v").alias("a"), F.col("p_v").alias("b"))
-
-    def pairs_by_tree(self, left: DataFrame, classes: DataFrame) -> DataFrame:
-        """Candidates among all members of the unfinished groups."""
+        met = met.where("root <> p_root").where((F.col("size") - F.col("at") >= overlap) & (F.col("p_size") - F.col("p_at") >= overlap))
+        times = met.groupBy("v", "p_v").agg(F.count("*").alias("times"))
+        best = times.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "p_v")), asc=False), 1, CENTRES).alias("best"))
+        pairs = best.select("v", F.explode("best.p_v").alias("p_v"))
+        return pairs.select(F.least("v", "p_v").alias("a"), F.greatest("v", "p_v").alias("b")).distinct()
+
+    def pairs_by_tree(self, left: DataFrame, classes: DataFrame, few: int | None = None) -> DataFrame:
+        """Candidates among all members of the unfinished groups; with ``few``, some of those of the large groups, as one
+        link is enough to join two components."""
         percent, sent, cell = self.percent, self.order, self.cell
-        left = self.shared.write(self.with_partners(left), "open-last")
+        left = self.with_partners(left)
+        if few is not None:
+            left = left.join(left.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") >= self.star_group).select("token"), "token")
+        left = self.shared.write(left, f"open-tree-{self.shared_step()}")
         sizes = left.groupBy("token").agg(F.count("*").alias("members"), F.max("size").alias("widest"))
         blocks = F.ceil(F.col("members") / cell).cast("int")
         rows = left.join(sizes, "token").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("v", "token"), F.col("blocks")).cast("int"))
@@ -412,7 +441,7 @@ class Join:
         )
         # Cells of sets of like sizes follow each other, so that trees walked together have like depths.
         dealt = rows.repartition("token", "i", "j").sortWithinPartitions("widest", "token", "i", "j").drop("widest")
-        return dealt.mapInArrow(lambda b: _cell_task(percent, sent, b), "a bigint, b bigint").distinct()
+        return dealt.mapInArrow(lambda b: _cell_task(percent, sent, few, b), "a bigint, b bigint").distinct()
 
     def with_partners(self, left: DataFrame) -> DataFrame:
         """Entries whose group has members of another component, of a size and position that allow a link.
@@ -451,6 +480,7 @@ class Join:
         block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
         celled = celled.select("cell", block("a").alias("i"), block("b").alias("j"), "a", "b")
         nothing = F.lit(None).cast("bigint")
+        celled = celled.repartition("cell", "i", "j")  # the blocks of a large cell go to different tasks from here on
         wanted = celled.select("cell", "i", "j", F.col("a").alias("v"), F.col("b").alias("partner")).union(celled.select("cell", "i", "j", F.col("b"), nothing))
         wanted = wanted.groupBy("cell", "i", "j", "v").agg(F.collect_list("partner").alias("partners")).join(named, "v")
         wanted = self.shared.write(wanted, f"wanted-{self.shared_step()}")

@@ -21,9 +21,9 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id"""
 
 REPEATS = """
-with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-p as (select r, unnest(generate_series(0, length(h) // 2 - 200)) as pos, h from d where length(h) >= 400),
-w as (select r, pos, md5(substr(h, 2 * pos + 1, 400)) as m from p),
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as h from documents),
+p as (select r, unnest(generate_series(0, octet_length(h) - 200)) as pos, h from d where octet_length(h) >= 200),
+w as (select r, pos, sha256(array_slice(h, pos + 1, pos + 200)) as m from p),
 again as (select r, pos from w join (select m from w group by m having count(*) > 1) using (m)),
 marked as (select r, pos, case when pos <= lag(pos) over (partition by r order by pos) + 200 then 0 else 1 end as new from again),
 runs as (select r, min(pos) as first, max(pos) + 200 as last
@@ -31,10 +31,10 @@ runs as (select r, min(pos) as first, max(pos) + 200 as last
 gaps as (
   select r, coalesce(lag(last) over (partition by r order by first), 0) as a, first as b from runs
   union all select r, max(last), 1000000000 from runs group by r),
-kept as (select r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by a) as k from gaps join d using (r) group by r),
+kept as (select r, string_agg(hex(array_slice(h, a + 1, b)), '' order by a) as k from gaps join d using (r) group by r),
 sums as (select r, sum(last - first) as removed, count(*) as spans from runs group by r)
-select doc_id, length(h) // 2 as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
-       sha256(unhex(coalesce(k, h))) as kept_sha256
+select doc_id, octet_length(h) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
+       sha256(case when k is null then h else unhex(k) end) as kept_sha256
 from d left join sums using (r) left join kept using (r)"""
 
 TOP_K = """
