@@ -77,6 +77,12 @@ class Vocabulary:
         for token in self.guesses:
             self.reach[token[:2]] = max(self.reach.get(token[:2], 1), len(token))
 
+    @classmethod
+    def of_parts(cls, parts: dict) -> Vocabulary:
+        made = cls.__new__(cls)
+        vars(made).update(parts)
+        return made
+
     def symbols(self, token: str) -> list[int]:
         """First symbols of a word, or of a token as it stands in a word."""
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -308,7 +314,7 @@ def groups(texts: list[str]) -> Iterator[list[str]]:
 
 
 def _task(sent, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    coder = Coder(sent.value)
+    coder = Coder(Vocabulary.of_parts(sent.value))
     for batch in batches:
         at = 0
         kept = [c for c in batch.schema.names if c != "text"]
@@ -330,7 +336,8 @@ def _task(sent, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def _run(docs: DataFrame, vocabulary: str, digests: bool, added: str, carried: Column | None) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
+    # Its plain parts, so that executors need no copy of this package to read the broadcast.
+    sent = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(vocabulary)))
     source = docs.select("doc_id", "text") if carried is None else docs.select("doc_id", "text", carried.alias("carried"))
     fields = [f for f in source.schema.fields if f.name != "text"]
     return source.mapInArrow(lambda b: _task(sent, digests, b), T.StructType(fields + T._parse_datatype_string(added).fields))

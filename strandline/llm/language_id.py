@@ -141,7 +141,7 @@ def fit(labelled: DataFrame, bits: int = BITS, orders: tuple[int, ...] = ORDERS,
 
 
 def _predict_task(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model: Model = sent.value
+    model = Model(**sent.value)
     grams = Grams(model.bits, model.orders)
     names = np.array([*model.languages, UNKNOWN], dtype=object)
     for batch in batches:
@@ -165,7 +165,8 @@ def predict(docs: DataFrame, model: Model, carried: Column | None = None) -> Dat
     """``doc_id``, the column ``carried`` if given, ``lang_pred`` and ``score`` of every document."""
     from pyspark.sql import types as T
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Its plain parts, so that executors need no copy of this package to read the broadcast.
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     source = docs.select("doc_id", "text") if carried is None else docs.select("doc_id", "text", carried.alias("carried"))
     fields = [f for f in source.schema.fields if f.name != "text"]
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
