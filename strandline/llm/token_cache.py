@@ -119,6 +119,8 @@ class Cache:
         missing = docs if known.isEmpty() else docs.join(known, "content", "left_anti")
         one = missing.join(small(copies, SMALL_COPIES), "content", "left").where(F.col("chosen").isNull() | (F.col("chosen") == number))
         made = one.select("content", "text").mapInArrow(lambda b: _count_task(vocabulary, digest, b), STORED)
+        # Rows that are equal in id and content are both encoded; the table gets one of them.
+        made = made.groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
         made.write.mode("append").parquet(self.path)
         counted = self.stored().where(F.col("tokenizer") == digest).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
         # Written, so that the join reads tables on both sides and Spark can split the copies of one content.
