@@ -7,6 +7,7 @@ document and not the partition.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +42,12 @@ class Shared:
     def read(self, df: DataFrame, name: str) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def settle(self) -> None:
+        """Let Spark remove the shuffle files of finished jobs now. It does so once the driver has collected their plans,
+        which on a quiet driver may be long after the tables made from them were written."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

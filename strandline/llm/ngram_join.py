@@ -364,6 +364,7 @@ class Join:
         left = self.with_partners(entries.withColumn("root", F.col("v")))
         left = entries = shared.write(left, "open-0")
         shared.drop("entries")
+        shared.settle()
         links, roots = [], None
         star, step = self.star_rounds > 0, 0
         # Star rounds, then a tree round of a few pairs for the large groups, then the full round.
@@ -377,6 +378,7 @@ class Join:
             pairs = shared.write(pairs, f"pairs-{step}")
             found = shared.write(self.verified(pairs, classes), f"links-{step}")
             linked = found.count()
+            shared.settle()
             if linked:
                 links.append(found)
                 roots = components(reduce(DataFrame.union, links), shared, f"roots-{step}")
@@ -484,6 +486,7 @@ class Join:
         wanted = celled.select("cell", "i", "j", F.col("a").alias("v"), F.col("b").alias("partner")).union(celled.select("cell", "i", "j", F.col("b"), nothing))
         wanted = wanted.groupBy("cell", "i", "j", "v").agg(F.collect_list("partner").alias("partners")).join(named, "v")
         wanted = self.shared.write(wanted, f"wanted-{self.shared_step()}")
+        self.shared.settle()
         ids = wanted.select(F.col("one").alias("doc_id")).distinct()
         docs = self.docs.join(small(ids, SMALL_IDS), "doc_id", "left_semi")
         sets = self.sets(docs, whole=True).withColumnRenamed("doc_id", "one")
