@@ -155,7 +155,8 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
     The forest is the sorted matrix of ranked tails: a node is a range of rows with a common path. Above a cell's tails it
     branches by size (so that sizes in a subtree are within the ratio) and by the share of the set that lies behind. A path
     ends where the bound fails, at the end of a tail, or where ``ENOUGH`` n-grams are common: such pairs are near enough to
-    be verified, and meet in many cells.
+    be verified, and meet in many cells. It also ends at a stored n-gram behind the end of the query's tail: it and all
+    after it may or may not be in the unsent rest of the query, so they count as what remains.
     """
     size, at, g = cells.size, cells.at, len(cells.size)
     every, flat = np.unique(cells.flat, return_inverse=True)
@@ -179,14 +180,16 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
         heads = np.flatnonzero(new)
         return heads, np.append(heads[1:], g), np.minimum.reduceat(stored_size, heads), np.maximum.reduceat(stored_size, heads), np.maximum.reduceat(stored_left, heads)
 
-    def leave(query: np.ndarray, low: np.ndarray, high: np.ndarray):
-        """The pairs of queries with the rows of a node, as far as sizes, positions and components allow."""
+    def leave(query: np.ndarray, low: np.ndarray, high: np.ndarray, overlap: np.ndarray, rest: np.ndarray, walked: int):
+        """The pairs of queries with the rows of a node, as far as sizes, components and the bound of each row allow:
+        ``rest`` n-grams of the query and all but ``walked`` of the stored tail may still be common."""
         counts = high - low
+        at_most = np.repeat(overlap, counts) + np.minimum(np.repeat(rest, counts), stored_left[grouped_ranges(low, counts)] - walked)
         stored, q = rows[grouped_ranges(low, counts)], np.repeat(query, counts)
         fine = (cells.root[q] != cells.root[stored]) & (100 * size[stored] >= percent * size[q])
         fine &= ~cells.cross[q] | (cells.side[q] != cells.side[stored])
         fine &= (size[q] > size[stored]) | ((size[q] == size[stored]) & (q > stored))
-        fine &= np.minimum(size[q] - at[q], size[stored] - at[stored]) >= needed(size[q] + size[stored], percent)
+        fine &= at_most >= needed(size[q] + size[stored], percent)
         if fine.any():
             yield q[fine], stored[fine]
 
@@ -201,7 +204,7 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
     fine = (100 * np.minimum(size[query], most[child]) >= percent * np.maximum(size[query], least[child])) & (size[query] >= least[child])
     fine &= 1 + np.minimum((size - at - 1)[query], left[child]) >= needed(size[query] + least[child], percent)
     query, low, high = query[fine], heads[child[fine]], stops[child[fine]]
-    overlap = np.ones(len(query), np.int64)
+    overlap, rest = np.ones(len(query), np.int64), (size - at - 1)[query]
     for depth in range(width + 1):
         if not len(query):
             return
@@ -209,26 +212,27 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
         heads, stops, least, _, left = bounds(new)
         a, b = np.searchsorted(heads, low), np.searchsorted(heads, high)
         child = grouped_ranges(a, b - a)
-        query, overlap = np.repeat(query, b - a), np.repeat(overlap, b - a)
+        query, overlap, rest = (np.repeat(x, b - a) for x in (query, overlap, rest))
         token = matrix[heads[child], depth].astype(np.int64)
-        ended = token < 0
+        spot = np.searchsorted(held, query * scale + token)
+        behind_tail = spot == begin[query] + lengths[query]
+        rest = np.where(behind_tail, size[query] - at[query] - 1 - lengths[query], rest)
+        ended = (token < 0) | behind_tail
         if ended.any():
-            yield from leave(query[ended], heads[child[ended]], stops[child[ended]])
+            yield from leave(query[ended], heads[child[ended]], stops[child[ended]], overlap[ended], rest[ended], depth)
         going = ~ended
-        query, child, overlap, token = query[going], child[going], overlap[going], token[going]
+        query, child, overlap, token, spot = query[going], child[going], overlap[going], token[going], spot[going]
         if not len(query):
             return
-        spot = np.searchsorted(held, query * scale + token)
-        matched = held[np.minimum(spot, len(held) - 1)] == query * scale + token
+        matched = held[spot] == query * scale + token
         overlap = overlap + matched
-        query_left = size[query] - at[query] - 1 - (spot - begin[query]) - matched
-        bound = overlap + np.minimum(query_left, left[child] - depth - 1)
-        fine = bound >= needed(size[query] + least[child], percent)
-        query, overlap, low, high = query[fine], overlap[fine], heads[child[fine]], stops[child[fine]]
+        rest = size[query] - at[query] - 1 - (spot - begin[query]) - matched
+        fine = overlap + np.minimum(rest, left[child] - depth - 1) >= needed(size[query] + least[child], percent)
+        query, overlap, rest, low, high = query[fine], overlap[fine], rest[fine], heads[child[fine]], stops[child[fine]]
         sure = overlap >= ENOUGH
         if sure.any():
-            yield from leave(query[sure], low[sure], high[sure])
-            query, overlap, low, high = (x[~sure] for x in (query, overlap, low, high))
+            yield from leave(query[sure], low[sure], high[sure], overlap[sure], rest[sure], depth + 1)
+            query, overlap, rest, low, high = (x[~sure] for x in (query, overlap, rest, low, high))
 
 
 def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:

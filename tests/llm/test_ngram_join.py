@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from conftest import rows_of
 
@@ -75,3 +76,59 @@ def test_one_of_each(spark, documents):
     assert kept.columns == table.columns
     expected = sorted({(d, t or "") for (d, t) in docs if d in {r[2] for r in brute_force(docs)}})
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == expected
+
+
+def changed_lengths(seed, pairs=40):
+    """Pairs of near copies of which one has more words: appended, put in at one place or spread over the text, also few."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    docs = []
+    for k in range(pairs):
+        for length, extra in ((13, 1), (23, 2), (43, 4), (63, 3)):
+            base = [word() for _ in range(length)]
+            more = list(base)
+            where = [length, rng.randrange(length + 1)][k % 2]
+            more[where:where] = [word() for _ in range(extra)]
+            docs += [base, more] if k % 3 else [more, base]
+    # Copies make the n-grams of a base frequent, so all that is added to it comes first in the order.
+    for length, extra in ((43, 5), (63, 6), (103, 14), (403, 40)):
+        base = [word() for _ in range(length)]
+        docs += [base] * 30 + [base + [word() for _ in range(extra)] for _ in range(3)]
+        docs += [[word() for _ in range(extra)] + base]
+    return [(i, " ".join(words)) for i, words in enumerate(docs)]
+
+
+@pytest.mark.parametrize("n,percent,options", [(4, 85, {"star_rounds": 0}), (4, 85, {}), (5, 80, {"star_rounds": 0, "cell": 5})])
+def test_copies_with_added_words(spark, documents, n, percent, options):
+    docs = changed_lengths(n)
+    table = documents(docs, parts=1)
+    assert rows_of(ngram_join.linked(table, n=n, percent=percent, **options)) == brute_force(docs, n, percent)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("universe", [40, 400])
+def test_tree_keeps_every_link(percent, universe):
+    """All pairs of cells of random ordered sets, against the overlaps of the whole sets."""
+    rng = np.random.default_rng(percent + universe)
+    order = ngram_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for _ in range(60):
+        base = rng.permutation(universe)[: rng.integers(4, universe // 2)]
+        sets = []
+        for _ in range(12):
+            kept = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.1])]
+            sets.append(np.unique(np.append(kept, rng.integers(0, universe, rng.integers(0, 1 + len(base) // 6)))).astype(np.uint64))
+        sets = [s for s in {tuple(s): s for s in sets}.values() if len(s)]
+        rows = []
+        for v, s in enumerate(sets):
+            prefix = s[: len(s) - -(-percent * len(s) // 100) + 1]
+            rows += [(int(t), v, len(s), at, prefix[at + 1 : at + 1 + ngram_join.TAIL]) for at, t in enumerate(prefix)]
+        rows.sort(key=lambda r: r[:2])
+        cell, vertex, size, at = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        tails = [r[4] for r in rows]
+        none = np.zeros(len(rows), np.int64)
+        cells = ngram_join.Cells(cell, vertex, vertex, size, at, none, none.astype(bool), np.concatenate(tails), np.array([len(t) for t in tails], np.int64))
+        found = {tuple(sorted(p)) for q, s in ngram_join.tree_pairs(cells, percent, order) for p in zip(vertex[q].tolist(), vertex[s].tolist())}
+        for b, y in enumerate(sets):
+            for a, x in enumerate(sets[:b]):
+                if len(np.intersect1d(x, y)) >= ngram_join.needed(len(x) + len(y), percent):
+                    assert (a, b) in found
