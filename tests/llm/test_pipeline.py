@@ -99,3 +99,25 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert 0 < made.count() <= table.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_other_lengths(spark):
+    """Copies with words added at an end or inside or left out, and additions to texts that have many copies."""
+    docs, _ = sample(3)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for k, words in enumerate(1 + rng.randrange(15, 80) for _ in range(60)):
+        base = [word() for _ in range(words)]
+        few = max(1, (words - 4) // 12)
+        where = [words, 0, rng.randrange(words)][k % 3]
+        texts += [base, base[:where] + [word() for _ in range(few)] + base[where:], base[few // 2 : words - (few + 1) // 2]]
+    for words, few in ((44, 5), (64, 6), (104, 14)):
+        base = [word() for _ in range(words)]
+        texts += [base] * 40 + [base + [word() for _ in range(few)]]
+    docs += [(200 + k, t, "en", "s", len(t)) for k, t in enumerate(map(" ".join, texts))]
+    roots = {r[2] for r in test_ngram_join.brute_force([r[:2] for r in docs], 5, 80)}
+    table = spark.createDataFrame(docs, COLUMNS).repartition(2)
+    kept = corpus_pipeline.without_near_copies(spark, table, "")
+    assert {r.doc_id for r in kept.collect()} == roots
+    assert len(roots) < len(docs) // 2
