@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, kd_search, language_id, ngram_join, oracle, suffix_dedup, token_cache, url_rules, warc_zip
+from . import bpe, chat, decontaminate, kd_search, language_id, merkle, ngram_join, oracle, suffix_dedup, token_cache, url_rules, warc_zip, whitening
 from .common import Shared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts on every page's URL."""
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic"))
     return url_rules.judged(table(spark, folder, "pages"), labels)
+
+
+@query("op12_merkle_manifest", oracle.MERKLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents, and the check of a copy that was tampered with."""
+    return merkle.report(table(spark, folder, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector in the whitened first four components."""
+    return whitening.report(table(spark, folder, "embeddings"))

@@ -128,3 +128,63 @@ bad as (select distinct r from t join rules on list_has_all(tokens, a))
 select page_id, host, path, rule,
        case {' '.join(f"when rule = '{x}' then '{RULES[x]}'" for x in _CASES)} when r in (select r from bad) then 'block' else 'allow' end as verdict
 from t"""
+
+
+# Checksums of texts: the table of the reflected polynomial 0xEDB88320, and a step for each byte.
+CRC_TABLE = """select list(v order by i) as crc from (
+  select i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+  from range(256) r(i))"""
+
+
+def crc32(text: str) -> str:
+    """SQL for the checksum of a text's UTF-8 bytes; ``crc`` is the list of ``CRC_TABLE``."""
+    codes = f"list_transform(generate_series(1, octet_length(encode({text}))), lambda k: cast('0x' || substr(hex(encode({text})), 2 * k - 1, 2) as bigint))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(cast({value} as varchar))) || ':' || cast({value} as varchar), '-')"
+
+
+def _tree(prefix: str, start: str, levels: int) -> str:
+    """Levels of ternary trees: ``g, i, c, h`` (group, index, nodes of the group, digest), with ``l`` and ``r`` beside each node."""
+    out = []
+    for k in range(levels + 1):
+        below = f"{prefix}{k - 1}"
+        rows = start if k == 0 else (
+            f"select g, i // 3 as i, (any_value(c) + 2) // 3 as c, case when any_value(c) > 1 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from {below} group by g, i // 3"
+        )
+        run = "partition by g, i // 3 order by i rows between unbounded preceding and 1 preceding", "partition by g, i // 3 order by i rows between 1 following and unbounded following"
+        out.append(
+            f"{prefix}{k} as materialized (select *, case when c > 1 then coalesce(string_agg(h, '') over ({run[0]}), '') else '' end as l, "
+            f"case when c > 1 then coalesce(string_agg(h, '') over ({run[1]}), '') else '' end as r from ({rows}))"
+        )
+    return ",\n".join(out)
+
+
+_HIGH, _WIDE = 13, 7
+
+MERKLE = f"""
+with t as ({CRC_TABLE}),
+d as (
+  select row_number() over () as row, doc_id, source, coalesce('=' || source, '') as g,
+         sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) as leaf,
+         case when {crc32('cast(doc_id as varchar)')} % 2 = 0
+              then sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', "replace(text, chr(10), '')"))}) end as other
+  from documents, t),
+p as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as c from d),
+{_tree('a', 'select g, i, c, leaf as h from p', _HIGH)},
+subs as (select '' as g, row_number() over (order by g) - 1 as i, count(*) over () as c, h, g as name from a{_HIGH}),
+{_tree('b', 'select g, i, c, h from subs', _WIDE)},
+full_paths as (
+  select p.row, p.doc_id, p.source, p.leaf, coalesce(p.other, p.leaf) as start, subs.h as subroot, b{_WIDE}.h as root,
+         [{', '.join([f"{{'m': a{k}.c > 1, 'l': a{k}.l, 'r': a{k}.r}}" for k in range(_HIGH)] + [f"{{'m': b{k}.c > 1, 'l': b{k}.l, 'r': b{k}.r}}" for k in range(_WIDE)])}] as steps
+  from p {' '.join(f'join a{k} on a{k}.g = p.g and a{k}.i = p.i // {3 ** k}' for k in range(_HIGH))}
+  join subs on subs.name = p.g {' '.join(f'join b{k} on b{k}.i = subs.i // {3 ** k}' for k in range(_WIDE + 1))}),
+folded as (
+  select *, list_reduce(list_prepend({{'m': true, 'l': start, 'r': ''}}, steps),
+                        lambda x, s: case when s.m then {{'m': true, 'l': sha256(s.l || x.l || s.r), 'r': ''}} else x end).l as folded_root
+  from full_paths)
+select doc_id, source, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.l || s.r), '')) as proof_sha256,
+       folded_root, folded_root = root as verified
+from folded"""
