@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, kd_search, language_id, merkle, ngram_join, oracle, suffix_dedup, token_cache, url_rules, warc_zip, whitening
+from . import bpe, chat, decontaminate, kd_search, language_id, merkle, ngram_join, oracle, simhash, suffix_dedup, token_cache, url_rules, warc_zip, whitening
 from .common import Shared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judged(table(spark, folder, "pages"), labels)
 
 
+@query("op11_document_fingerprints", oracle.FINGERPRINTS)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edits, and classes of documents with fingerprints within 5 of 120 bits."""
+    return simhash.report(table(spark, folder, "documents"))
+
+
 @query("op12_merkle_manifest", oracle.MERKLE)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest of all documents, and the check of a copy that was tampered with."""

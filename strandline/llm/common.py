@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.session import ensure_checkpoint_dir
@@ -60,6 +60,23 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def placed(rows: DataFrame, order: Sequence[Column], shared: Shared, name: str) -> DataFrame:
+    """``rows`` with ``pos``, dense from 0 within their group ``g`` (not null), and ``n``, the group's size.
+
+    The order is cut in ranges by Spark's own samples; a window never holds more than a range of a group, or the counts of a
+    group's ranges.
+    """
+    ranges = shared.write(rows.repartitionByRange(F.col("g"), *order).withColumn("_part", F.spark_partition_id()), f"{name}-ranges")
+    group = Window.partitionBy("g")
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("g", "_part").agg(F.count("*").alias("_size")).select(
+        "g", "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"), F.sum("_size").over(group).alias("n")
+    )
+    inside = F.row_number().over(Window.partitionBy("g", "_part").orderBy(*order))
+    numbered = ranges.withColumn("_row", inside).join(starts, ["g", "_part"])
+    return numbered.withColumn("pos", F.col("_start") + F.col("_row") - 1).drop("_part", "_row", "_start")
+
+
 # ---- kernels that run inside tasks ------------------------------------------------------------------------------
 
 

@@ -22,7 +22,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import Shared, placed
 
 FAN, LEVELS = 3, 7
 BLOCK = FAN**LEVELS
@@ -53,19 +53,6 @@ def siblings_digest(path: Column) -> Column:
     return F.sha2(F.array_join(F.transform(path, lambda step: F.concat(step["before"], step["after"])), ""), 256)
 
 
-def placed(rows: DataFrame, order: Sequence[Column], shared: Shared, name: str) -> DataFrame:
-    """``rows`` with ``pos``, dense from 0 within their group ``g``, and ``n``, the group's size."""
-    ranges = shared.write(rows.repartitionByRange(F.col("g"), *order).withColumn("_part", F.spark_partition_id()), f"{name}-ranges")
-    group = Window.partitionBy("g")
-    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.groupBy("g", "_part").agg(F.count("*").alias("_size")).select(
-        "g", "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"), F.sum("_size").over(group).alias("n")
-    )
-    inside = F.row_number().over(Window.partitionBy("g", "_part").orderBy(*order))
-    numbered = ranges.withColumn("_row", inside).join(starts, ["g", "_part"])
-    return numbered.withColumn("pos", F.col("_start") + F.col("_row") - 1).drop("_part", "_row", "_start")
-
-
 def _levels(nodes: DataFrame) -> DataFrame:
     """The levels inside the blocks: adds ``block``, ``path`` and, in ``h`` of a block's first row, the block's root."""
     order = Window.partitionBy("g", "block").orderBy("pos")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import simhash
 from .chat import CONTROL_SQL
 from .url_rules import CONFIDENCE, RULES, SUPPORT
 
@@ -188,3 +189,48 @@ folded as (
 select doc_id, source, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.l || s.r), '')) as proof_sha256,
        folded_root, folded_root = root as verified
 from folded"""
+
+
+def _half(k: int) -> str:
+    """SQL for a half of a fingerprint from the votes of its two parts."""
+    bits = [f"case when 2 * v{2 * k + j}_{i} > n then {1 << (i + j * simhash.PART_BITS)} else 0 end" for j in range(2) for i in range(simhash.PART_BITS)]
+    return " + ".join(bits)
+
+
+_LINEAR = [" + ".join(f"coalesce(c[i + {j}], 0) * {simhash.factor(p, j)}" for j in range(simhash.WORDS)) for p in range(simhash.PARTS)]
+
+FINGERPRINTS = f"""
+with recursive t as ({CRC_TABLE}),
+ids as (select distinct doc_id, coalesce(text, '') as text, md5(coalesce(text, '')) as m from documents),
+d as (select *, row_number() over (order by doc_id nulls first, m) - 1 as pos, count(*) over () as total, length(text) as n_chars from ids),
+e as (
+  select d.pos, d.text, left(d.text, d.n_chars - d.n_chars // 4) || left(x.text, d.n_chars // 4) as edited
+  from d join d x on x.pos = (d.pos + 1) % d.total),
+bodies as (select pos, 0 as kind, text as body from e union all select pos, 1, edited from e),
+lists as (select pos, kind, list_filter(string_split_regex(body, '[ ' || chr(92) || 't-' || chr(92) || 'r]+'), lambda x: x <> '') as w from bodies),
+words as (select pos, kind, generate_subscripts(w, 1) as place, unnest(w) as word from lists),
+sums as (select word, {crc32('word')} as c from (select distinct word from words), t),
+coded as (select pos, kind, list(sums.c order by place) as c from words join sums using (word) group by pos, kind),
+terms as (select pos, kind, c, unnest(generate_series(1, greatest(len(c) - {simhash.WORDS - 1}, 1))) as i from coded),
+linear as (select pos, kind, {', '.join(f'({x}) % {simhash.PRIME} as h{p}' for p, x in enumerate(_LINEAR))} from terms),
+parts as (select pos, kind, {', '.join(f'(((h{p} + {simhash.factor(p, -1)}) * h{p}) % {simhash.PRIME}) & {simhash.PART} as p{p}' for p in range(simhash.PARTS))} from linear),
+votes as (
+  select pos, kind, count(*) as n, {', '.join(f'sum((p{p} >> {i}) & 1) as v{p}_{i}' for p in range(simhash.PARTS) for i in range(simhash.PART_BITS))}
+  from parts group by pos, kind),
+halves as (select pos, kind, cast({_half(0)} as bigint) as f0, cast({_half(1)} as bigint) as f1 from votes),
+marks as (select lists.pos, lists.kind, coalesce(f0, 0) as f0, coalesce(f1, 0) as f1 from lists left join halves using (pos, kind)),
+own as (select f0, f1, min(pos) as id from marks where kind = 0 group by f0, f1),
+links as (select a.id as a, b.id as b from own a join own b on bit_count(xor(a.f0, b.f0)) + bit_count(xor(a.f1, b.f1)) <= {simhash.RADIUS} and a.id <> b.id),
+reach as (select id as a, id as b from own union select reach.a, links.b from reach join links on reach.b = links.a),
+members as (select own.id, d.doc_id from own join marks o on o.kind = 0 and o.f0 = own.f0 and o.f1 = own.f1 join d on d.pos = o.pos),
+named as (select reach.a as id, min(members.doc_id) as class_id from reach join members on members.id = reach.b group by reach.a)
+select d.doc_id, d.n_chars, sha256(e.edited) as edited_sha256,
+       printf('%015x', o.f0) || printf('%015x', o.f1) as fingerprint, printf('%015x', k.f0) || printf('%015x', k.f1) as edited_fingerprint,
+       1.0::double - (bit_count(xor(o.f0, k.f0)) + bit_count(xor(o.f1, k.f1))) / {float(simhash.BITS)}::double as near_edited,
+       1.0::double - (bit_count(xor(o.f0, x.f0)) + bit_count(xor(o.f1, x.f1))) / {float(simhash.BITS)}::double as near_next,
+       named.class_id
+from documents q join d on q.doc_id is not distinct from d.doc_id and md5(coalesce(q.text, '')) = d.m
+join e on e.pos = d.pos
+join marks o on o.pos = d.pos and o.kind = 0 join marks k on k.pos = d.pos and k.kind = 1
+join marks x on x.pos = (d.pos + 1) % d.total and x.kind = 0
+join own on own.f0 = o.f0 and own.f1 = o.f1 join named on named.id = own.id"""

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Shared
 
 SCALE = 256.0
-SHIFT, CLOSE, FLAT = 1e-12, 1e-9, 1e-13
+SHIFT, CLOSE, FLAT = 1e-12, 1e-9, 1e-18
 PASSES = 8
 CELLS = 1 << 20
 
