@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.catalog import inputs
 from strandline.catalog.registry import EVENT_LINES, WINDOWS, Registry
 from strandline.functions import text
-from strandline.operators import templates
+from strandline.operators import overlaps, segments, templates
 from strandline.plans.lookup import lookup_join
 from strandline.session import written
 from strandline.sources import logs, tables
@@ -137,9 +137,10 @@ tm as (select component, n, string_agg(t, ' ' order by p) as template, list(t or
 
 
 def merged_templates(spark, folder):
-    """Templates from agreement by position over the raw messages of a component and length."""
+    """Templates from agreement by position over the raw messages of a component and length. The messages are written, as
+    merging and assigning both read them."""
     made = structured(spark, folder).select("line_id", "Component", text.tokens(F.col("Content")).alias("tokens"))
-    made = made.withColumn("n", F.size("tokens"))
+    made = written(made.withColumn("n", F.size("tokens")))
     return made, templates.merge_by_position(made, ["Component", "n"], "tokens")
 
 
@@ -159,7 +160,7 @@ def template_merge(spark, folder):
 )
 def template_assign(spark, folder):
     messages, found = merged_templates(spark, folder)
-    assigned = templates.assign_known(messages, found, "tokens", F.col("line_id"))
+    assigned = templates.assign_known(messages, found, "tokens")
     return assigned.select(
         "line_id", F.array_join("template", " ").alias("template"), F.round(F.col("equal") / F.size("template"), 6).alias("similarity")
     )
@@ -307,3 +308,55 @@ def template_mine_lcs(spark, folder):
     lines = structured(spark, folder).select("line_id", "Content")
     mined = templates.mine_common_subsequence(lines, "Content", text.MASKS["supercomputer"], tau=0.55)
     return templates.template_table(mined)
+
+
+# Families of raw messages that the fast miners must find: two components differ in their first word only.
+FAMILIES = EVENT_TEXT + r""",
+tk as (select line_no, case when component in ('click', 'signup') then 'from' else component end as family, string_split_regex(content, '\s+') as toks from texts),
+ps as (select family, unnest(toks) as t, unnest(generate_series(1, len(toks))) as p from tk),
+ag as (select family, p, case when min(t) = max(t) then min(t) else '<*>' end as t from ps group by 1, 2),
+tm as (select family, string_agg(t, ' ' order by p) as template from ag group by 1)
+select line_no as line_id, template as "EventTemplate", substr(md5(template), 1, 8) as "EventId" from tk join tm using (family)"""
+
+
+@query("template_mine_segments", "with " + FAMILIES)
+def template_mine_segments(spark, folder):
+    """Fast mining of the raw messages by the segment join; nothing is masked, so nearly every message is distinct."""
+    made = segments.mine_segments(structured(spark, folder), "Content", [], 0.45)
+    return made.select("line_id", "EventTemplate", "EventId")
+
+
+@query("template_mine_subsequences", "with " + FAMILIES)
+def template_mine_subsequences(spark, folder):
+    """Fast mining of the raw messages by common subsequences."""
+    made = overlaps.mine_subsequences(structured(spark, folder), text.tokens(F.col("Content")), 0.5)
+    return made.select("line_id", "EventTemplate", "EventId")
+
+
+@query(
+    "overlap_alignments",
+    "with " + EVENT_TEXT + r""",
+    m as (select distinct content, string_split_regex(content, '\s+') as a from texts),
+    l as (select min(content) as leader from texts group by component, length(content)),
+    lt as (select distinct leader, string_split_regex(leader, '\s+') as b from l),
+    pairs as (select content, leader, a, b from m join lt on len(list_intersect(a, b)) >= greatest(ceil(0.5 * len(a)), 1)),
+    lcs as (
+      select content, leader, len(b) as size,
+             list_reduce(a, lambda row, y: list_reduce(range(1, len(b) + 1), lambda acc, i: list_append(acc, case when b[i] = y then row[i] + 1 else greatest(acc[i], row[i + 1]) end), [0]),
+                         list_transform(range(0, len(b) + 1), lambda z: 0))[-1] as length
+      from pairs),
+    ranked as (select *, count(*) over (partition by content) as leaders, row_number() over (partition by content order by length desc, size, leader) as r from lcs)
+    select content as message, cast(leaders as bigint) as leaders, leader, cast(length as int) as length from ranked where r = 1""",
+)
+def overlap_alignments(spark, folder):
+    """Every distinct message with the representatives that share half of its constants, and the longest common subsequence."""
+    made = structured(spark, folder).select("Component", F.col("Content").alias("message"))
+    split = lambda df: written(df.distinct().withColumn("tokens", text.tokens(F.col("message"))))
+    messages = split(made.select("message"))
+    leaders = split(made.groupBy("Component", F.length("message")).agg(F.min("message").alias("message")).select("message"))
+    found = overlaps.aligned(overlaps.overlapping(messages, leaders))
+    sized = found.join(F.broadcast(leaders.select(F.col("message").alias("leader"), F.size("tokens").alias("size"))), "leader")
+    best = sized.groupBy("message").agg(
+        F.count(F.lit(1)).alias("leaders"), F.min(F.struct((-F.col("length")).alias("less"), "size", "leader")).alias("_b")
+    )
+    return best.select("message", "leaders", "_b.leader", (-F.col("_b.less")).alias("length"))

@@ -120,14 +120,19 @@ class NextEventModel:
         orders = counted.select(
             "next_key", "cnt", F.explode(self._suffixes(F.col("context"))).alias("_s")
         ).groupBy("_s.order", "_s.suffix", "next_key").agg(F.sum("cnt").alias("cnt"))
+        self.candidates = written(self.best_of(orders, g))
+
+    @staticmethod
+    def best_of(orders: DataFrame, g: int) -> DataFrame:
+        """``order, suffix, top``: the ``g`` most frequent next keys of every context (``order, suffix, next_key, cnt``)."""
         # The empty context holds the whole vocabulary: the best of each hash part are taken first.
         parted = Window.partitionBy("order", "suffix", F.pmod(F.xxhash64("next_key"), F.lit(256))).orderBy(F.desc("cnt"), "next_key")
         best = Window.partitionBy("order", "suffix").orderBy(F.desc("cnt"), "next_key")
         part_best = orders.withColumn("_r", F.row_number().over(parted)).filter(F.col("_r") <= g)
         top = part_best.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= g)
-        self.candidates = written(top.groupBy("order", "suffix").agg(
+        return top.groupBy("order", "suffix").agg(
             F.array_sort(F.collect_list(F.struct("_r", "next_key"))).getField("next_key").alias("top")
-        ))
+        )
 
     def _suffixes(self, context: Column) -> Column:
         return F.array(*[

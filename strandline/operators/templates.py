@@ -264,23 +264,35 @@ def merge_by_position(messages: DataFrame, group: list[str], tokens: str) -> Dat
     return kept.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).getField("token").alias("template"))
 
 
-def assign_known(messages: DataFrame, templates: DataFrame, tokens: str, spread: Column) -> DataFrame:
-    """Best known template of every message: equally long, all constants equal, most equal tokens, then most wildcards.
+def rarest_constants(templates: DataFrame) -> DataFrame:
+    """``_n, _p, _k, template``: every distinct template under its length and its rarest constant, the position and token that the fewest
+    templates of its length have; under position -1 where it has none. Adds ``_wild``, its number of wildcards."""
+    each = written(templates.select("template").distinct().withColumn("_n", F.size("template")))
+    opened = each.select("_n", "template", F.posexplode("template").alias("_p", "_k")).where(F.col("_k") != WILDCARD)
+    shared = opened.groupBy("_n", "_p", "_k").agg(F.count(F.lit(1)).alias("_held"))
+    rarest = opened.join(shared, ["_n", "_p", "_k"]).groupBy("template").agg(F.min(F.struct("_held", "_p", "_k")).alias("_r"))
+    wild = F.size(F.filter("template", lambda t: t == WILDCARD))
+    return each.join(rarest, "template", "left").select(
+        "_n", F.coalesce("_r._p", F.lit(-1)).alias("_p"), F.coalesce("_r._k", F.lit("")).alias("_k"), "template", wild.alias("_wild")
+    )
+
 
-    The templates of a length travel as one array next to the message, so no message-template pairs are shuffled.
+def assign_known(messages: DataFrame, templates: DataFrame, tokens: str) -> DataFrame:
+    """Best known template of every message: equally long, all constants equal, most equal tokens, then the last by its tokens.
+
+    An inverted index leads from ``(length, position, constant)`` to the templates whose rarest constant that is, so a message of ``n``
+    tokens meets ``n + 1`` short lists and not all templates of its length. Distinct token lists are asked once.
     """
-    n = F.size(F.col("template"))
-    packed = templates.select(n.alias("_n"), "template").groupBy("_n").agg(F.array_sort(F.collect_set("template")).alias("_t"))
-    placed = lookup_join(messages.withColumn("_n", F.size(tokens)), packed, ["_n"], "left", spread)
-
-    def fit(template: Column) -> Column:
-        agree = F.zip_with(template, F.col(tokens), lambda t, m: F.when(t == WILDCARD, 0).when(t == m, 1).otherwise(-1_000_000))
-        equal = F.aggregate(agree, F.lit(0), lambda acc, x: acc + x)
-        wild = F.size(F.filter(template, lambda t: t == WILDCARD))
-        return F.struct(equal.alias("equal"), wild.alias("wild"), template.alias("template"))
-
-    covering = F.filter(F.transform("_t", fit), lambda f: f["equal"] >= 0)
-    return placed.withColumn("_best", F.array_max(covering)).select(
+    distinct = messages.select(F.col(tokens).alias("_m")).where(F.col(tokens).isNotNull()).distinct()
+    keys = F.concat(
+        F.array(F.struct(F.lit(-1).alias("_p"), F.lit("").alias("_k"))), F.transform("_m", lambda t, i: F.struct(i.alias("_p"), t.alias("_k")))
+    )
+    asked = distinct.select("_m", F.size("_m").alias("_n"), F.explode(keys).alias("_e")).select("_m", "_n", "_e._p", "_e._k")
+    met = lookup_join(asked, rarest_constants(templates), ["_n", "_p", "_k"], "inner", F.xxhash64("_m"))
+    covering = met.where(F.forall(F.zip_with("template", "_m", lambda t, m: (t == WILDCARD) | (t == m)), lambda same: same))
+    found = F.struct((F.col("_n") - F.col("_wild")).alias("equal"), F.col("_wild").alias("wild"), F.col("template").alias("template"))
+    best = covering.groupBy("_m").agg(F.max(found).alias("_best"))
+    return messages.join(best, F.col(tokens) == F.col("_m"), "left").select(
         *messages.columns, F.col("_best.template").alias("template"), F.col("_best.equal").alias("equal"), F.col("_best.wild").alias("wild")
     )
 

@@ -51,6 +51,11 @@ def written_tables() -> list[str]:
     return list(_tables)
 
 
+def remember_folder(path: str) -> None:
+    """Let :func:`release` remove a folder as well."""
+    _tables.append(path)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the tables that :func:`written` made; call it when the results built on them have been used."""
     jvm = spark._jvm

@@ -99,5 +99,5 @@ def test_merge_and_assign(spark):
     assert merged == ["open", "<*>", "ok"]
     known = spark.createDataFrame([(["connect", "<*>", "failed"],), (["<*>", "<*>", "<*>"],)], "template array<string>")
     asked = spark.createDataFrame([(1, ["connect", "5", "failed"]), (2, ["a", "b"])], "i long, tokens array<string>")
-    got = {r.i: (r.template, r.equal, r.wild) for r in templates.assign_known(asked, known, "tokens", F.col("i")).collect()}
+    got = {r.i: (r.template, r.equal, r.wild) for r in templates.assign_known(asked, known, "tokens").collect()}
     assert got == {1: (["connect", "<*>", "failed"], 2, 1), 2: (None, None, None)}
