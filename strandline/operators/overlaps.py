@@ -196,23 +196,24 @@ def subsequence_leaders(messages: DataFrame, tau: float, share: float = 0.5, dra
     """Messages to which every message (``message, tokens``, distinct) has a long common subsequence, itself where nothing else has.
 
     A round draws a bounded number of undecided messages by hash and keeps as leaders those that no leader of the draw is near to;
-    what is near to a leader is decided.
+    what is near to a leader is decided. Draws grow up to eight times ``drawn``, for logs in which few messages are alike.
     """
     left = written(messages.where(F.size("tokens") > 0))
-    found: DataFrame | None = None
+    found, wanted = None, drawn
     while True:
         rows = left.count()
         if not rows:
             break
         coded = left.withColumn("code", F.xxhash64("message"))
         # A limit on the hash leaves a few times what is drawn; the rest is cut by a top list, which holds `drawn` rows a task.
-        limit = int(min(1.0, 4.0 * drawn / rows) * (1 << 30))
-        draw = coded.where(F.pmod("code", F.lit(1 << 30)) < limit).orderBy("code", "message").limit(drawn)
+        limit = int(min(1.0, (4.0 * wanted + 64) / rows) * (1 << 30))
+        draw = coded.where(F.pmod("code", F.lit(1 << 30)) < limit).orderBy("code", "message").limit(wanted)
         chosen = draw.select(F.lit(0).alias("_g"), "code", "message", "tokens").groupBy("_g").applyInPandas(_apart(tau, share), "message string")
         fresh = written(left.join(chosen, "message", "left_semi"))
         found = fresh if found is None else found.unionByName(fresh)
         near = best_aligned(left, fresh, tau, share).select("message")
         left = written(left.join(fresh.select("message").unionByName(near).distinct(), "message", "left_anti"))
+        wanted = min(2 * wanted, 8 * drawn)
     return written(found) if found is not None else messages.limit(0)
 
 

@@ -92,22 +92,23 @@ def _first_of(similarity: float):
 def leaders(messages: DataFrame, similarity: float, drawn: int = DRAWN) -> DataFrame:
     """``message, tokens`` of the leaders of distinct ``messages`` (``message, tokens``)."""
     left = written(messages.where(F.size("tokens") > 0).withColumn("n", F.size("tokens")))
-    found: DataFrame | None = None
+    found, wanted = None, drawn
     while True:
         counts = left.groupBy("n").agg(F.count(F.lit(1)).alias("_rows"))
         if counts.isEmpty():
             break
         # A draw by hash: a limit on the hash first leaves a few times what is wanted, so no task sorts a whole length.
-        share = F.least(F.lit(1.0), F.lit(4.0 * drawn) / F.col("_rows"))
+        share = F.least(F.lit(1.0), F.lit(4.0 * wanted + 64) / F.col("_rows"))
         coded = lookup_join(left, counts, ["n"], "inner", F.col("message")).withColumn("code", F.xxhash64("message"))
         thinned = coded.where(F.pmod("code", F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
         first = F.row_number().over(Window.partitionBy("n").orderBy("code", "message"))
-        draw = thinned.withColumn("_r", first).where(F.col("_r") <= drawn)
+        draw = thinned.withColumn("_r", first).where(F.col("_r") <= wanted)
         chosen = draw.select("n", "code", "message", "tokens").groupBy("n").applyInPandas(_first_of(similarity), "message string")
         fresh = written(left.join(chosen, "message", "left_semi"))
         found = fresh if found is None else found.unionByName(fresh)
         near = best_leaders(left.select("message", "tokens"), fresh.select("message", "tokens"), similarity).select("message")
         left = written(left.join(fresh.select("message").unionByName(near).distinct(), "message", "left_anti"))
+        wanted = min(2 * wanted, 16 * drawn)  # for logs in which few messages are alike
     if found is None:
         return messages.select("message", "tokens").limit(0)
     return written(found.select("message", "tokens"))
