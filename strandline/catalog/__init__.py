@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["sequencing", "splitting", "detecting", "vectors", "templating", "sampling", "files"]
+AREAS = ["sequencing", "splitting", "detecting", "vectors", "templating", "sampling", "files", "modelling"]
 
 
 def all_registries():

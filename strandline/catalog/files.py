@@ -14,6 +14,7 @@ from strandline.functions import codec, text
 from strandline.operators import templates
 from strandline.session import ensure_checkpoint_dir
 from strandline.sources import logs, tables
+from strandline.sources.sessions import SessionTable
 
 registry = Registry()
 query = registry.query
@@ -78,21 +79,54 @@ def sequence_text_round_trip(spark, folder):
     return codec.decode_sequence(logs.read_sequence_lines(spark, path), "line", ["key", "el_label"])
 
 
+PIECE = 4096
+
+
 @query(
     "session_table_round_trip",
-    "with " + SESSIONS + """
-    select seq_id, cast(max(el_label) as int) as label, cast(count(*) as bigint) as n, string_agg(key, ' ' order by pos) as keys from el group by 1""",
+    "with " + SESSIONS + f"""
+    select seq_id, pos // {PIECE} as piece, cast(max(el_label) as int) as label, cast(count(*) as bigint) as n, string_agg(key, ' ' order by pos) as keys from el group by 1, 2""",
 )
 def session_table_round_trip(spark, folder):
-    """Sessions as a csv table with their keys as a JSON list."""
-    elements = inputs.sessions(spark, folder)
-    # A table row holds a whole session by its format.
-    packed = elements.groupBy("seq_id").agg(F.max("el_label").alias("label"), F.array_sort(F.collect_list(F.struct("pos", "key")))["key"].alias("keys"))
+    """Sessions as a csv table with their keys as JSON lists, a row for each run of at most ``PIECE`` elements."""
+    elements = inputs.sessions(spark, folder).withColumn("piece", F.expr(f"pos div {PIECE}"))
+    packed = elements.groupBy("seq_id", "piece").agg(F.max("el_label").alias("label"), F.array_sort(F.collect_list(F.struct("pos", "key")))["key"].alias("keys"))
     path = place(spark, "sessions")
     packed.withColumn("keys", F.to_json("keys")).write.csv(path, header=True, escape="~")
-    back = logs.read_structured_csv(spark, path, "seq_id string, label int, keys string")
+    back = logs.read_structured_csv(spark, path, "seq_id string, piece bigint, label int, keys string")
     keys = F.from_json("keys", "array<string>")
-    return back.select("seq_id", "label", F.size(keys).cast("long").alias("n"), F.array_join(keys, " ").alias("keys"))
+    return back.select("seq_id", "piece", "label", F.size(keys).cast("long").alias("n"), F.array_join(keys, " ").alias("keys"))
+
+
+def session_buckets(spark, folder):
+    return SessionTable.write(inputs.sessions(spark, folder), ["line_id", "key", "el_label"], buckets=8)
+
+
+@query("session_buckets_elements", "with " + SESSIONS + " select seq_id, pos, line_id, key, el_label from el")
+def session_buckets_elements(spark, folder):
+    """Elements read back from the bucketed table."""
+    return session_buckets(spark, folder).elements()
+
+
+@query(
+    "session_buckets_summary",
+    "with " + SESSIONS + " select seq_id, cast(count(*) as bigint) as n, cast(max(el_label) as int) as label, max(line_id) - min(line_id) as reach from el group by 1",
+)
+def session_buckets_summary(spark, folder):
+    """Summaries by session from the buckets, without an exchange."""
+    table = session_buckets(spark, folder)
+    return table.by_session(F.count(F.lit(1)).alias("n"), F.max("el_label").alias("label"), (F.max("line_id") - F.min("line_id")).alias("reach"))
+
+
+@query(
+    "session_buckets_unseen",
+    "with " + VOCAB + """, trained as (select key from vocab where freq > 0)
+    select seq_id, round(count(*) filter (key not in (select key from trained)) / count(*), 6) as score from el group by 1""",
+)
+def session_buckets_unseen(spark, folder):
+    """Share of each session's elements that the training vocabulary does not know, from the buckets."""
+    scored = session_buckets(spark, folder).shares(train_vocabulary(spark, folder).where("freq > 0").select("key"))
+    return scored.select("seq_id", F.round("score", 6).alias("score"))
 
 
 @query("vocabulary_text", "with " + VOCAB + " select key, cast(idx as bigint) as idx from vocab")

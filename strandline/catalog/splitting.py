@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.catalog import inputs
 from strandline.catalog.registry import EVENT_LINES, ORDERS, SESSIONS, SPLIT, Registry
-from strandline.operators import sequences, splits, vocabulary
+from strandline.operators import sequences, sketches, splits, vocabulary
 from strandline.plans.running import line_block
 from strandline.session import written
 from strandline.sources import tables
@@ -328,3 +328,42 @@ def vocabulary_overlap(spark, folder):
     return splits.vocabulary_overlap(counts)
 
 
+
+
+@query(
+    "instability_sweep_sketched",
+    "with " + SWEEP + """, sc as (select s.step, c.key, s.part from sweep s join cnts c using (seq_id)),
+    vk as (select step, key, max(case when part = 'train' then 1 else 0 end) as tr, max(case when part = 'test_normal' then 1 else 0 end) as tn,
+                  max(case when part = 'test_abnormal' then 1 else 0 end) as ta from sc group by step, key)
+    select step, cast(sum(tr) as bigint) as train_vocab, cast(sum(tn) as bigint) as test_normal_vocab, cast(sum(ta) as bigint) as test_abnormal_vocab, cast(count(*) as bigint) as total_vocab,
+           round(1 - sum(tr * tn) / sum(tn), 6) as ratio_unseen_normal, round(1 - sum(tr * ta) / sum(ta), 6) as ratio_unseen_abnormal,
+           round(1 - sum(tr * greatest(tn, ta)) / sum(greatest(tn, ta)), 6) as ratio_unseen_total
+    from vk group by step""",
+)
+def instability_sweep_sketched(spark, folder):
+    """Key statistics of all steps of the sweep from set sketches, in one aggregation; exact up to 16 384 keys a part."""
+    counts, stepped = sweep_parts(spark, folder)
+    pairs = counts.select("seq_id", "key").join(written(stepped), "seq_id")
+    return _rounded(sketches.unseen_key_statistics(pairs, ["step"]))
+
+
+@query(
+    "daily_value_quantiles",
+    """with d as (select strftime(ts, '%Y-%m-%d') as day, value from events)
+    select day, share, cast(count(*) as bigint) as n, true as within from d, (values (0.5::double), (0.95::double), (0.99::double)) q(share) group by 1, 2
+    union all select 'all' as day, share, cast(count(*) as bigint), true from d, (values (0.5::double), (0.95::double), (0.99::double)) q(share) group by 2""",
+)
+def daily_value_quantiles(spark, folder):
+    """Quantiles of each day and of all days from merged sketches; ``within``: the value's true rank is inside the stated error."""
+    values = tables.table(spark, folder, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    daily = written(sketches.quantile_sketches(values, "value", ["day"]))
+    whole = sketches.merged(daily).select(F.lit("all").alias("day"), "sketch")
+    found = written(sketches.quantiles(daily.select("day", "sketch").unionByName(whole), [0.5, 0.95, 0.99]))
+    both = values.unionByName(values.withColumn("day", F.lit("all")))
+    ranked = both.join(F.broadcast(found.select("day", "share", F.col("value").alias("estimate"))), "day").groupBy("day", "share").agg(
+        F.count(F.when(F.col("value") < F.col("estimate"), 1)).alias("below"), F.count(F.when(F.col("value") <= F.col("estimate"), 1)).alias("upto"), F.count("value").alias("n")
+    )
+    # The ranks of equal values are a range; one row is the least step.
+    error = F.lit(sketches.rank_error(1024)) * F.col("n") + 1
+    at = F.col("share") * F.col("n")
+    return ranked.select("day", "share", "n", ((F.col("below") <= at + error) & (F.col("upto") >= at - error)).alias("within"))

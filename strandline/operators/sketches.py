@@ -69,5 +69,6 @@ def merged(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def quantiles(sketches: DataFrame, shares: Sequence[float]) -> DataFrame:
     """The other columns, ``n``, ``share`` and the value below which that share of the rows lies."""
     kept = [c for c in sketches.columns if c != "sketch"]
-    opened = sketches.select(*kept, "sketch", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
-    return opened.select(*kept, F.kll_sketch_get_n_double("sketch").alias("n"), "share", F.kll_sketch_get_quantile_double("sketch", F.col("share")).alias("value"))
+    found = [F.struct(F.lit(float(s)).alias("share"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(s))).alias("value")) for s in shares]
+    opened = sketches.select(*kept, F.kll_sketch_get_n_double("sketch").alias("n"), F.explode(F.array(*found)).alias("_q"))
+    return opened.select(*kept, "n", "_q.share", "_q.value")

@@ -40,7 +40,7 @@ def plain(x, y, c, rounds=60_000):
     return w
 
 
-@pytest.mark.parametrize("c,working", [(1.0, 512), (0.05, 512), (1.0, 3)])
+@pytest.mark.parametrize("c,working", [(1.0, 512), (0.05, 512), (1.0, 8)])
 def test_sparse_margin_reaches_the_optimum(spark, c, working):
     rng = np.random.default_rng(3)
     x = rng.poisson(1.0, (120, 15)).astype(float)
