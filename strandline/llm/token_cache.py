@@ -4,7 +4,7 @@ Counting joins the digests of the documents with the stored ones; of the content
 the new counts are appended to the table. Contents with several copies are found by their digests alone; only those few
 are joined with the texts, so texts are not shuffled unless most contents have copies.
 
-Defined cases: a null text is empty and has no tokens; repeated rows get the same count; an empty table leaves the cache as
+Defined cases: a null text is empty and has no tokens; a text of any length, also one long run of white space, is counted whole; repeated rows get the same count; an empty table leaves the cache as
 it is; other columns are ignored. A cache that holds a key twice (two jobs at once) gives it once.
 """
 
@@ -43,9 +43,13 @@ class Counter:
 
     For a byte-level ``.json`` the merges run in tiktoken on ranks made from that file, with its added tokens as special
     strings, which is several times faster; texts with characters outside long-settled Unicode blocks, whose
-    classes could differ between the libraries, go to the library itself.
+    classes could differ between the libraries, go to the library itself, as do texts with a run of white space of ``LONG_RUN``
+    characters, on which the other's splitting pattern runs out of stack.
     """
 
+    LONG_RUN = 10_000
+    LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
+
     SETTLED = re.compile("[^\x00-ʯͰ-ͳ΄-ϿЀ-ҁҊ-ӿ‐-‧‰-⁞₠-₵]")
     SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -67,6 +71,10 @@ class Counter:
         plain = made.get("normalizer") is None and splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
         plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "end_of_word_suffix", "continuing_subword_prefix", "ignore_merges"))
         plain = plain and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"])
+        if plain:
+            # Ranks are read off the ids, so each merge must make a later id than the one before.
+            merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+            plain = None not in merged and all(a < b for a, b in zip(merged, merged[1:]))
         if plain:
             import tiktoken
 
@@ -80,8 +88,11 @@ class Counter:
             return [len(ids) for ids in self.pieces.encode(texts, num_threads=1)]
         if self.ranks is None:
             return [len(self.library.encode(t, add_special_tokens=False).ids) for t in texts]
-        encode, odd = self.ranks.encode, self.SETTLED.search
-        return [len(self.library.encode(t, add_special_tokens=False).ids if odd(t) else encode(t, allowed_special="all")) for t in texts]
+        encode = self.ranks.encode
+        return [len(self.library.encode(t, add_special_tokens=False).ids if self._odd(t) else encode(t, allowed_special="all")) for t in texts]
+
+    def _odd(self, text: str) -> bool:
+        return self.SETTLED.search(text) is not None or len(text) >= self.LONG_RUN and self.LONG_SPACE.search(text) is not None
 
 
 def _count_task(path: str, digest: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,3 +86,10 @@ def test_other_vocabularies(name):
         assert got == [len(library.encode(t)) for t in texts]
     else:
         assert got == [len(Tokenizer.from_file(vocabulary(name)).encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+@pytest.mark.parametrize("n", [9_999, 10_000, 1_000_000])
+def test_long_white_space_is_counted(n):
+    texts = [" " * n + "a", "b" + "\n" * n, "c" + " \t" * (n // 2) + "d"]
+    counter = token_cache.Counter(BYTES)
+    assert counter.count(texts) == [len(counter.library.encode(t, add_special_tokens=False).ids) for t in texts]
