@@ -76,6 +76,7 @@ class Vocabulary:
         self.reach: dict[str, int] = {}
         for token in self.guesses:
             self.reach[token[:2]] = max(self.reach.get(token[:2], 1), len(token))
+        self.longest = max(map(len, self.guesses), default=0)
 
     @classmethod
     def of_parts(cls, parts: dict) -> Vocabulary:
@@ -138,8 +139,10 @@ class Vocabulary:
     def guess(self, word: str) -> list[int] | None:
         """Longest tokens from the left; ``None`` where one is missing."""
         guesses, reach, out, at, n = self.guesses, self.reach, [], 0, len(word)
+        whole = self.longest - len(self.end)
         while at < n:
-            found = guesses.get(word[at:] + self.end)
+            # The rest is looked up only where it may be a token, so a word of any length is read once.
+            found = guesses.get(word[at:] + self.end) if n - at <= whole else None
             if found is not None:
                 out.append(found)
                 return out

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -93,3 +94,16 @@ def test_long_white_space_is_counted(n):
     texts = [" " * n + "a", "b" + "\n" * n, "c" + " \t" * (n // 2) + "d"]
     counter = token_cache.Counter(BYTES)
     assert counter.count(texts) == [len(counter.library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_long_word_in_linear_time():
+    """A guess reads a word once: ten times the letters take about ten times as long, not a hundred."""
+    known, rng = bpe.Vocabulary(WORDS), random.Random(5)
+    word = "".join(rng.choice("abcdefghijklmnop") for _ in range(400_000))
+    took = []
+    for n in (40_000, 400_000):
+        begin = time.process_time()
+        guess = known.guess(word[:n])
+        took.append(time.process_time() - begin)
+        assert guess is not None and "".join(known.names[t] for t in guess) == word[:n] + known.end
+    assert took[1] < 40 * max(took[0], 0.05)
