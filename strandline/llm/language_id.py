@@ -125,12 +125,14 @@ class Model:
 def fit(labelled: DataFrame, bits: int = BITS, orders: tuple[int, ...] = ORDERS, smoothing: float = 0.5) -> Model:
     """Learn from columns ``text`` and ``language``; at most ``MAX_LANGUAGES`` languages."""
     rows = labelled.select("text", "language").where("text is not null and language is not null")
+    # Known before anything is counted, so that no counts of too many languages come to the driver.
+    languages = rows.select("language").distinct().limit(MAX_LANGUAGES + 1).count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the model is limited to them")
     counted = rows.mapInArrow(lambda b: _count_task(bits, orders, b), "language string, bucket bigint, times bigint")
     counted = counted.groupBy("language", "bucket").agg(F.sum("times").alias("times"))
     counted = counted.repartition(1).toArrow() if counted.isEmpty() else counted.toArrow()
     names, index = np.unique(np.array(counted.column("language").to_pylist(), dtype=str), return_inverse=True)
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages: the model is limited to {MAX_LANGUAGES}")
     bucket, times = counted.column("bucket").to_numpy(), counted.column("times").to_numpy()
     counts, documents = np.zeros((1 << bits, len(names))), np.zeros(len(names))
     grams = bucket >= 0

@@ -87,3 +87,9 @@ def test_accepted_keeps_columns(spark):
     assert kept.columns == table.columns
     ids = {r.doc_id for r in kept.collect()}
     assert not ids & {0, 1, 2} and len(ids) > 100
+
+
+def test_too_many_languages_are_found_before_counting(spark):
+    rows = spark.range(language_id.MAX_LANGUAGES + 1).selectExpr("'text' as text", "concat('l', id) as language")
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(rows)
