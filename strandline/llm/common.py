@@ -8,6 +8,7 @@ document and not the partition.
 from __future__ import annotations
 
 import gc
+import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -141,6 +142,18 @@ class Hasher:
             return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+LONG_WORD = 64
+
+
+def word_hashes(hasher: Hasher, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words that stand for them. The running sum is one modulo 2^64, in which long texts can be made to
+    collide whatever the seed, so words of more than ``LONG_WORD`` bytes are digested."""
+    out = hasher.pieces(data, starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Hasher, Shared, byte_class, chained, grouped_ranges, lists, mixed, slabs, small, text_bytes, word_bounds
+from .common import FOLD, Hasher, Shared, byte_class, chained, grouped_ranges, lists, mixed, slabs, small, text_bytes, word_bounds, word_hashes
 from .components import components
 
 WORD = ~byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -58,7 +58,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int, hasher: Hasher) -> t
     starts, ends, bounds = word_bounds(data, offsets, WORD)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    words = hasher.pieces(FOLD[data], starts, ends)
+    words = word_hashes(hasher, FOLD[data], starts, ends)
     counts = np.diff(bounds)
     full = np.flatnonzero(counts >= n)
     owner = np.repeat(full, counts[full] - n + 1)

@@ -132,3 +132,13 @@ def test_tree_keeps_every_link(percent, universe):
             for a, x in enumerate(sets[:b]):
                 if len(np.intersect1d(x, y)) >= ngram_join.needed(len(x) + len(y), percent):
                     assert (a, b) in found
+
+
+def test_words_made_to_collide_are_told_apart(spark, documents):
+    """A Thue-Morse word and its complement have equal sums modulo 2^64 for every base."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = documents([(1, f"x y z {word}"), (2, f"x y z {other}"), (3, f"x y z {word}")])
+    assert rows_of(ngram_join.linked(docs)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
