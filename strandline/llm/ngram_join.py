@@ -42,8 +42,10 @@ ENOUGH = 12
 TAIL = 64
 FEW = 3
 CELL_GRAMS = 1 << 21
+CELL_PAIRS = 1024
 STAR_ROUNDS = 6
-CENTRES = 4
+CENTRES = 2
+ASKED = 4
 STAR_GROUP = 50
 SMALL_IDS = 1_000_000
 
@@ -342,6 +344,8 @@ class Join:
         self.n, self.percent, self.cell, self.star_rounds, self.star_group = n, percent, cell, star_rounds, star_group
         self.spark = docs.sparkSession
         self.shared = Shared(self.spark)
+        self.scratch: list[str] = []
+        self.steps = 0
         counted = self.docs.mapInArrow(lambda b: _frequent_task(n, b), "token bigint, times bigint")
         counted = counted.groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
         frequent = np.array([(r[0], r[1]) for r in counted], np.int64).reshape(-1, 2)
@@ -366,11 +370,11 @@ class Join:
         several = several.where("members > 1 and stored = 1").select("token")
         entries = shared.write(entries.join(several, "token"), "entries")
         left = self.with_partners(entries.withColumn("root", F.col("v")))
-        left = entries = shared.write(left, "open-0")
+        left = shared.write(left, "open-0")
         shared.drop("entries")
         shared.settle()
         links, roots = [], None
-        star, step = self.star_rounds > 0, 0
+        star, step, current = self.star_rounds > 0, 0, "open-0"
         # Star rounds, then a tree round of a few pairs for the large groups, then the full round.
         rounds = [("star", k) for k in range(self.star_rounds)] + ([("few", 0)] if star else []) + [("full", 0)]
         while rounds:
@@ -381,15 +385,21 @@ class Join:
                 pairs = self.pairs_by_tree(left, classes, FEW if kind == "few" else None)
             pairs = shared.write(pairs, f"pairs-{step}")
             found = shared.write(self.verified(pairs, classes), f"links-{step}")
-            linked = found.count()
+            linked, tried = found.count(), pairs.count()
+            shared.drop(f"pairs-{step}", *self.scratch)
+            self.scratch.clear()
             shared.settle()
             if linked:
                 links.append(found)
                 roots = components(reduce(DataFrame.union, links), shared, f"roots-{step}")
-                left = self.unfinished(entries, roots) if rounds else left
-            if kind == "star" and 10 * linked < pairs.count():
+                if rounds:
+                    # Components only merge, so a group that is finished stays so.
+                    left, before, current = self.unfinished(left, roots, f"open-{step}"), current, f"open-{step}"
+                    shared.drop(before)
+            if kind == "star" and 10 * linked < tried:
                 # Another star round pays only while a good part of the last one's pairs were links.
                 rounds = [r for r in rounds if r[0] != "star"]
+        shared.drop(current)
         rooted = classes.select("v", "one", "size", "d1", "d2")
         if roots is None:
             named = rooted.select("size", "d1", "d2", F.col("one").alias("component_id"))
@@ -401,15 +411,17 @@ class Join:
             "doc_id", "size", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
         )
 
-    def unfinished(self, entries: DataFrame, roots: DataFrame) -> DataFrame:
-        """Entries with their component, of groups that still join several components."""
+    def unfinished(self, entries: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """Entries with their component, of groups that still join several components; written."""
         marked = entries.drop("root").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
         open_ = marked.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-        return self.shared.write(marked.join(open_, "token"), f"open-{self.shared_step()}")
+        return self.shared.write(marked.select(*entries.columns).join(open_, "token"), name)
 
-    def shared_step(self) -> int:
-        self._step = getattr(self, "_step", 0) + 1
-        return self._step
+    def kept_for_round(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written until the end of the round."""
+        self.steps += 1
+        self.scratch.append(f"{name}-{self.steps}")
+        return self.shared.write(df, self.scratch[-1])
 
     def star_pairs(self, left: DataFrame, step: int) -> DataFrame:
         """Each class with the ``CENTRES`` chosen members that it shares most large groups with, where sizes and positions
@@ -419,7 +431,12 @@ class Join:
         fields = ("v", "size", "at", "root")
         picks = [F.min(F.struct(F.xxhash64("v", F.lit(CENTRES * step + k)).alias("h"), *fields)) for k in range(CENTRES)]
         chosen = left.groupBy("token").agg(F.array(*picks).alias("p"))
-        met = left.join(chosen, "token").withColumn("p", F.explode("p")).select(*fields, *[F.col(f"p.{c}").alias(f"p_{c}") for c in fields])
+        # A class asks the centres of its first large groups only, others of them in the next round; what they miss, the
+        # full round finds.
+        places = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("token", F.lit(step)).alias("h"), "token", "at"))), 1, ASKED)
+        own = left.groupBy("v", "size", "root").agg(places.alias("_t")).select("v", "size", "root", F.explode("_t").alias("_t"))
+        own = own.select("v", "size", "root", "_t.token", "_t.at")
+        met = own.join(chosen, "token").withColumn("p", F.explode("p")).select(*fields, *[F.col(f"p.{c}").alias(f"p_{c}") for c in fields])
         total = F.col("size") + F.col("p_size")
         overlap = F.ceil(self.percent * total / (100 + self.percent))
         met = met.where("root <> p_root").where((F.col("size") - F.col("at") >= overlap) & (F.col("p_size") - F.col("p_at") >= overlap))
@@ -435,7 +452,7 @@ class Join:
         left = self.with_partners(left)
         if few is not None:
             left = left.join(left.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") >= self.star_group).select("token"), "token")
-        left = self.shared.write(left, f"open-tree-{self.shared_step()}")
+        left = self.kept_for_round(left, "open-tree")
         sizes = left.groupBy("token").agg(F.count("*").alias("members"), F.max("size").alias("widest"))
         blocks = F.ceil(F.col("members") / cell).cast("int")
         rows = left.join(sizes, "token").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("v", "token"), F.col("blocks")).cast("int"))
@@ -471,8 +488,8 @@ class Join:
         """The pairs whose whole sets have the needed overlap.
 
         A pair is checked in the cell of the smallest class that either end is paired with, so the pairs of a group of near
-        copies meet in one cell and each set travels to it once. A cell whose sets hold more than ``CELL_GRAMS`` n-grams is
-        cut in blocks of either end.
+        copies meet in one cell and each set travels to it once. A cell whose sets hold more than ``CELL_GRAMS`` n-grams,
+        or with many times ``CELL_PAIRS`` pairs, is cut in blocks of either end.
         """
         percent = self.percent
         both = pairs.select("a", "b").union(pairs.select("b", "a"))
@@ -482,14 +499,15 @@ class Join:
         named = classes.select("v", "one", "size", "d1", "d2")
         ends = celled.select("cell", F.col("a").alias("v")).union(celled.select("cell", F.col("b"))).distinct()
         weights = ends.join(named.select("v", "size"), "v").groupBy("cell").agg(F.ceil(F.sum("size") / CELL_GRAMS).cast("int").alias("blocks"))
-        celled = celled.join(weights, "cell")
+        busy = celled.groupBy("cell").agg(F.ceil(F.sqrt(F.count("*") / CELL_PAIRS)).cast("int").alias("busy"))
+        celled = celled.join(weights.join(busy, "cell").select("cell", F.greatest("blocks", "busy").alias("blocks")), "cell")
         block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
         celled = celled.select("cell", block("a").alias("i"), block("b").alias("j"), "a", "b")
         nothing = F.lit(None).cast("bigint")
         celled = celled.repartition("cell", "i", "j")  # the blocks of a large cell go to different tasks from here on
         wanted = celled.select("cell", "i", "j", F.col("a").alias("v"), F.col("b").alias("partner")).union(celled.select("cell", "i", "j", F.col("b"), nothing))
         wanted = wanted.groupBy("cell", "i", "j", "v").agg(F.collect_list("partner").alias("partners")).join(named, "v")
-        wanted = self.shared.write(wanted, f"wanted-{self.shared_step()}")
+        wanted = self.kept_for_round(wanted, "wanted")
         self.shared.settle()
         ids = wanted.select(F.col("one").alias("doc_id")).distinct()
         docs = self.docs.join(small(ids, SMALL_IDS), "doc_id", "left_semi")
