@@ -9,8 +9,10 @@ segment. Equal windows therefore meet under one key:
 3. the distinct contents of a key that has several are fetched, one copy each, and a suffix array is built over chunks of
    them. Two-stage sorting: suffixes smaller than their successor are sorted directly, the others are induced by scanning
    the buckets of the first byte in order. Neighbours with a common prefix of ``length`` bytes are repeated windows;
-4. a key with more than ``GROUP`` distinct contents is dealt to several chunks; there, one hash per distinct window and
-   chunk is counted over all chunks, so no task holds a whole hot group and no repetition is missed;
+4. the contents of a hot key, one with more than ``GROUP`` of them, are cut once more, where the window's smallest grams in ``ORDERS``
+   other orders of the hashes change: equal windows agree in them too, and windows that only touch a common passage do so rarely.
+   These cuts go through 2 and 3 under their new keys. A key that is hot still is dealt to several chunks; there, one hash per
+   distinct window and chunk is counted over all chunks, so no task holds a whole hot group and no repetition is missed;
 5. the windows found are turned into byte ranges per document and cut out.
 
 Defined cases: null and empty texts have no bytes; a document shorter than ``length`` loses nothing; rows repeated with
@@ -35,6 +37,7 @@ from .common import Hasher, Shared, grouped_ranges, mixed, slabs, small, text_by
 LENGTH = 200
 GRAM = 32
 GROUP = 4000
+ORDERS = 3
 CHUNK = 1 << 20
 SMALL_IDS = 1_000_000
 POSITION_BITS = 24
@@ -121,6 +124,47 @@ def _segment_task(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["k1", "k2", "start", "n", "key", "content"])
 
 
+def finer_keys(piece: np.ndarray, key: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, windows, key)`` of the runs of windows of a segment whose smallest grams in all ``ORDERS`` orders stand in the same places."""
+    grams = gram_hashes(piece)
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    place = np.arange(len(grams), dtype=np.uint64) & low
+    windows = len(piece) - length + 1
+    new = np.zeros(windows, bool)
+    new[0] = True
+    keys = np.full(windows, np.uint64(key))
+    with np.errstate(over="ignore"):
+        for k in range(ORDERS):
+            turned = mixed(grams ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+            least = sliding_min((turned & ~low) | place, length - GRAM + 1)
+            new[1:] |= least[1:] != least[:-1]
+            keys = mixed(keys * np.uint64(0xC2B2AE3D27D4EB4F) + turned[(least & low).astype(np.int64)])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, windows)), keys[first]
+
+
+FINER = "k1 bigint, k2 bigint, start bigint, n int, key bigint, content bigint, offset int, key2 bigint, content2 bigint"
+
+
+def _finer_task(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the wanted segments of hot keys by their finer keys."""
+    schema = pa.schema([(f.split()[0], {"bigint": pa.int64(), "int": pa.int32()}[f.split()[1]]) for f in FINER.split(", ")])
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        k1, k2, wanted = (batch.column(c).to_pylist() for c in ("k1", "k2", "wanted"))
+        rows: list[tuple] = []
+        for i, ws in enumerate(wanted):
+            for w in ws:
+                begin = int(offsets[i]) + w["start"]
+                piece = data[begin : begin + w["n"] + length - 1]
+                for first, n, key in zip(*(x.tolist() for x in finer_keys(piece, w["key"] & 0xFFFFFFFFFFFFFFFF, length))):
+                    content = xxhash.xxh3_64_intdigest(piece[first : first + n + length - 1].tobytes())
+                    signed = [x - (1 << 64) if x >> 63 else x for x in (key, content)]
+                    rows.append((k1[i], k2[i], w["start"] + first, n, w["key"], w["content"], first, *signed))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
 # ---- suffix array -----------------------------------------------------------------------------------------------
 
 
@@ -283,6 +327,14 @@ def _fetch_task(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             )
 
 
+def _with_texts(keyed: DataFrame, asked: DataFrame, fields: tuple[str, ...], shared: Shared, name: str) -> DataFrame:
+    """The documents that ``asked`` names by ``k1, k2``, with the list ``wanted`` of its ``fields``."""
+    wanted = shared.write(asked.groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields)).alias("wanted")), name)
+    ids = small(wanted.select("k1", "k2"), SMALL_IDS)
+    # Equal rows give the same segments twice; one of each is enough.
+    return keyed.join(ids, ["k1", "k2"], "left_semi").join(wanted, ["k1", "k2"])
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``(k1, k2, ranges)``: for each row key with repeated strings, the byte ranges ``[first, last)`` they cover."""
     if length < GRAM + 8:
@@ -304,24 +356,38 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     )
     whole = contents.where("times > 1").select("key", "content", F.lit(0).alias("first"), F.col("one.n").alias("last"))
     several = contents.groupBy("key").agg(F.count("*").alias("contents")).where("contents > 1")
-    parts = F.ceil(F.col("contents") / group).cast("int")
-    wanted = contents.join(several, "key").select(
-        "one.*", "key", "content", (parts > 1).alias("hot"), F.pmod(F.xxhash64("content"), parts).cast("int").alias("part")
+    several = shared.write(several, "several")
+    asked = contents.join(several.where(F.col("contents") <= group).select("key"), "key").select(
+        "one.*", "key", "content", F.lit(False).alias("hot"), F.lit(0).alias("part")
     )
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "part", "content", "hot", "start", "n")).alias("wanted"))
-    wanted = shared.write(wanted, "wanted")
-    ids = small(wanted.select("k1", "k2"), SMALL_IDS)
-    # Equal rows give the same segments twice; one of each is enough.
-    rows = keyed.join(ids, ["k1", "k2"], "left_semi").join(wanted, ["k1", "k2"])
+    hot = contents.join(several.where(F.col("contents") > group).select("key"), "key").select("one.*", "key", "content")
+    finer = None
+    if several.where(F.col("contents") > group).limit(1).count():
+        rows = _with_texts(keyed, hot, ("key", "content", "start", "n"), shared, "hot")
+        finer = shared.write(rows.mapInArrow(lambda b: _finer_task(length, b), FINER), "finer")
+        cuts = finer.groupBy("key2", "content2").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
+        cuts = shared.write(cuts.withColumnsRenamed({"key2": "key", "content2": "content"}), "cuts")
+        again = cuts.groupBy("key").agg(F.count("*").alias("contents")).where("contents > 1")
+        parts = F.ceil(F.col("contents") / group).cast("int")
+        asked = asked.unionByName(cuts.join(again, "key").select(
+            "one.*", "key", "content", (parts > 1).alias("hot"), F.pmod(F.xxhash64("content"), parts).cast("int").alias("part")
+        ))
+    rows = _with_texts(keyed, asked, ("key", "part", "content", "hot", "start", "n"), shared, "wanted")
     pieces = rows.mapInArrow(lambda b: _fetch_task(length, b), "key bigint, part int, content bigint, hot boolean, piece binary")
     dealt = pieces.repartition("key", "part").sortWithinPartitions("key", "part")
     found = shared.write(dealt.mapInArrow(lambda b: _suffix_task(length, b), FOUND), "found")
-    shared.drop("wanted")
+    shared.drop("wanted", "hot")
     ranges = whole.unionByName(found.where("w1 is null").select("key", "content", "first", "last"))
     windows = found.where("w1 is not null")
     shared_windows = windows.groupBy("w1", "w2").agg(F.count("*").alias("chunks")).where("chunks > 1")
     late = windows.where("lone").join(shared_windows, ["w1", "w2"]).select("key", "content", "first", "last")
     ranges = ranges.unionByName(late)
+    if finer is not None:
+        # Ranges of the cuts belong to the contents they were cut from; a cut found twice is repeated as a whole.
+        twice = cuts.where("times > 1").select("key", "content", F.lit(0).alias("first"), F.col("one.n").alias("last"))
+        cut_from = finer.select("key", "content", "offset", "key2", "content2")
+        of_cuts = ranges.unionByName(twice).withColumnsRenamed({"key": "key2", "content": "content2"}).join(cut_from, ["key2", "content2"])
+        ranges = ranges.unionByName(of_cuts.select("key", "content", (F.col("offset") + F.col("first")).alias("first"), (F.col("offset") + F.col("last")).alias("last")))
     bytes_ = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + length - 1).alias("last"))
     return places.join(ranges, ["key", "content"]).groupBy("k1", "k2").agg(F.collect_set(bytes_).alias("ranges"))
 

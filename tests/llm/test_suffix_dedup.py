@@ -81,3 +81,26 @@ def test_whole_characters():
     data = np.frombuffer("aéb€c".encode(), np.uint8)
     first, last = suffix_dedup.whole_characters(data, np.array([2]), np.array([5]))
     assert (first.tolist(), last.tolist()) == ([3], [4])
+
+
+def test_rows_of_a_hot_key_follow_the_documents(spark, documents, monkeypatch):
+    """One passage in ever more documents: its keys get hot, and the rows made stay in proportion, far below one a window."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, seen = text(230), {}
+
+    class Watched(suffix_dedup.Shared):
+        def write(self, df, name):
+            made = super().write(df, name)
+            seen[name] = made.count()
+            return made
+
+    monkeypatch.setattr(suffix_dedup, "Shared", Watched)
+    rows = {}
+    for n in (40, 160):
+        docs = [(i, text(250) + passage + text(250)) for i in range(n)]
+        seen.clear()
+        assert rows_of(suffix_dedup.report(documents(docs), group=20)) == brute_force(docs, 200)
+        assert "cuts" in seen
+        rows[n] = seen["found"] + seen["finer"]
+    assert rows[160] < 6 * rows[40] and rows[160] < 160 * 2 * 168 / 3
