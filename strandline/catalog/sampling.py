@@ -9,6 +9,7 @@ from strandline.catalog.detecting import RANKS, TOP_RANK, ranked_elements
 from strandline.catalog.registry import ORDERS, SESSIONS, Registry
 from strandline.catalog.splitting import STATS_SQL, SWEEP, VOCAB, instability_sweep_stats, train_vocabulary
 from strandline.operators import count_detectors, evaluate, reports, samples, sequences, vocabulary
+from strandline.plans.lookup import lookup_join
 from strandline.session import written
 from strandline.sources import tables
 
@@ -182,6 +183,45 @@ def premade_sessions(spark, folder):
     return found.select("seq_id", F.col("pos").cast("long").alias("pos"), "idx", F.coalesce("vector", F.lit(-1.0)).alias("vector"))
 
 
+@query(
+    "premade_sessions_vectors",
+    "with " + ORDER_VOCAB + """,
+    ln as (select seq_id from oe group by 1),
+    f as (select ln.seq_id, i, coalesce(oe.idx, 0) as idx from ln cross join (select unnest(generate_series(0, 9)) as i) t left join oe on oe.seq_id = ln.seq_id and oe.pos = i),
+    c as (select seq_id, idx, count(*) as times from f group by 1, 2)
+    select f.seq_id, cast(f.i as bigint) as pos, cast(f.idx as bigint) as idx, cast(c.times as bigint) as times,
+           case when f.idx = 0 then -1 else e.embedding[1] end as first_value, case when f.idx = 0 then -1 else e.embedding[len(e.embedding)] end as last_value
+    from f join c using (seq_id, idx) left join embeddings e on e.vec_id = f.idx - 1""",
+)
+def premade_sessions_vectors(spark, folder):
+    """Sequences of ten numbers, each with its count in the sequence and its vector of the vector table; -1 for the padding."""
+    _, encoded = encoded_orders(spark, folder)
+    packed = sequences.to_arrays(encoded, ["idx"], 10).select("seq_id", F.array_join("idx", " ").alias("text"))
+    numbers = sequences.truncate_or_pad(F.split("text", " ").cast("array<bigint>"), 10, F.lit(0).cast("long"))
+    fitted = packed.select("seq_id", numbers.alias("_n"))
+    opened = fitted.select("seq_id", "_n", F.posexplode("_n").alias("pos", "idx"))
+    counted = opened.withColumn("times", F.size(F.filter("_n", lambda x: x == F.col("idx"))).cast("long")).drop("_n")
+    vectors = tables.table(spark, folder, "embeddings").select((F.col("vec_id") + 1).alias("idx"), "embedding")
+    found = lookup_join(counted, vectors, ["idx"], "left", F.col("seq_id"))
+    value = lambda x: F.when(F.col("idx") == 0, F.lit(-1.0).cast("float")).otherwise(x)
+    return found.select(
+        "seq_id", F.col("pos").cast("long").alias("pos"), "idx", "times", value(F.col("embedding")[0]).alias("first_value"), value(F.element_at("embedding", -1)).alias("last_value")
+    )
+
+
+@query(
+    "decode_without_pads",
+    "with " + ORDER_VOCAB + """, f as (select * from oe where pos < 5) select seq_id, pos, key from f join (select seq_id, pos, key from oel) k using (seq_id, pos)""",
+)
+def decode_without_pads(spark, folder):
+    """Padded numbers back to keys; the padding is skipped."""
+    _, encoded = encoded_orders(spark, folder)
+    vocab = written(vocabulary.build_vocabulary(inputs.orders(spark, folder).select("seq_id", "pos", "key")))
+    framed = vocabulary.frame_sequences(encoded, 5).select("seq_id", F.posexplode("ids").alias("pos", "idx"))
+    decoded = vocabulary.decode(framed.withColumn("pos", F.col("pos").cast("long")), vocab, skip_pad=True)
+    return decoded.select("seq_id", "pos", "key")
+
+
 RESULTS = """
 base as (select l_orderkey, l_linestatus as dataset, (year(l_shipdate) - 1992) / 100.0::double as ratio, case when l_orderkey % 2 = 0 then 'valid' else 'test' end as phase,
                 case when l_returnflag = 'R' then 1 else 0 end as label, case when l_discount >= 0.05 then 1 else 0 end as p1, case when l_quantity >= 25 then 1 else 0 end as p2 from lineitem),

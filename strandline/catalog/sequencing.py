@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from strandline.catalog import inputs
 from strandline.catalog.registry import EVENT_LINES, ORDERS, SESSIONS, STEP_SECONDS, WINDOW_SECONDS, WINDOWS, Registry
-from strandline.functions import codec
+from strandline.functions import codec, text
 from strandline.operators import sequences
+from strandline.plans.neighbours import over_neighbours
 from strandline.sources import tables
 
 registry = Registry()
@@ -286,3 +287,62 @@ def contains_key(spark, folder):
     return inputs.session_counts(spark, folder).groupBy("key").agg(
         F.count(F.lit(1)).alias("sequences"), F.sum("cnt").alias("elements")
     )
+
+
+@query("seq_decode_legacy", "with " + ORDERS + " select seq_id, pos, key, cast(pos as varchar) as at from oel")
+def seq_decode_legacy(spark, folder):
+    """The space-separated text form read back."""
+    return codec.decode_sequence(seq_encode_legacy(spark, folder), "line", ["key", "at"], codec.LEGACY)
+
+
+@query("dash_labels", "select event_id + 1 as line_id, case when event_type = 'error' then 1 else 0 end as label from events")
+def dash_labels(spark, folder):
+    """Labels of the form that marks normal lines with a dash and others with the name of the alert."""
+    mark = F.when(F.col("event_type") == "error", F.upper("event_type")).otherwise("-")
+    return tables.table(spark, folder, "events").select((F.col("event_id") + 1).alias("line_id"), text.binary_label(mark).alias("label"))
+
+
+@query(
+    "session_label_required",
+    """with ln as (select doc_id, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) from documents) group by 1)
+    select doc_id as seq_id, cast(n as bigint) as n, cast(toxic as bigint) as label from ln join labels using (doc_id) where toxic is not null""",
+)
+def session_label_required(spark, folder):
+    """Documents that the labels name, joined so that a missing label would be an error."""
+    labels = tables.table(spark, folder, "labels").where("toxic is not null").select(F.col("doc_id").alias("seq_id"), F.col("toxic").cast("long").alias("label"))
+    lengths = tables.document_lines(spark, folder).groupBy(F.col("doc_id").alias("seq_id")).agg(F.count(F.lit(1)).alias("n"))
+    return sequences.labelled_strictly(lengths.join(labels.select("seq_id"), "seq_id", "left_semi"), labels)
+
+
+@query(
+    "arrays_round_trip",
+    "with " + ORDERS + " select seq_id, pos, key, epoch from oel where pos < 5",
+)
+def arrays_round_trip(spark, folder):
+    """Elements to arrays of at most five entries and back."""
+    arrays = sequences.to_arrays(inputs.orders(spark, folder), ["key", "epoch"], 5)
+    return sequences.to_elements(arrays, ["key", "epoch"])
+
+
+@query(
+    "training_windows",
+    "with " + ORDERS + """,
+    d as (select *, coalesce(epoch - lag(epoch) over (partition by seq_id order by pos), 0) as dt from oel),
+    lens as (select seq_id, count(*) as n from oel group by 1),
+    starts as (select seq_id, unnest(generate_series(0, greatest(n - 3, 0))) as start from lens),
+    w as (select s.seq_id, s.start, i, coalesce(d.key, '#Pad') as key, coalesce(d.dt, 0) as dt
+          from starts s cross join (values (0), (1), (2), (3)) t(i) left join d on d.seq_id = s.seq_id and d.pos = s.start + i)
+    select seq_id, start, string_agg(key, ' ' order by i) filter (i < 3) as context, string_agg(cast(dt as varchar), ' ' order by i) filter (i < 3) as durations,
+           max(key) filter (i = 3) as next_key, cast(count(distinct key) filter (i < 3) as bigint) as kinds
+    from w group by 1, 2""",
+)
+def training_windows(spark, folder):
+    """Windows of three keys with the seconds since the key before, the number of distinct keys, and the key that follows."""
+    ordered = inputs.orders(spark, folder)
+    spaced = over_neighbours(ordered, ["seq_id"], "pos", 1, 0, {"_before": lambda w: F.lag("epoch").over(w)})
+    spaced = spaced.withColumn("dt", F.coalesce(F.col("epoch") - F.col("_before"), F.lit(0)).cast("long")).drop("_before")
+    made = sequences.training_windows(spaced, 3, F.lit(sequences.PAD_TEXT), "dt", F.lit(0).cast("long"))
+    return made.select(
+        "seq_id", "start", F.array_join("context", " ").alias("context"), F.array_join("values", " ").alias("durations"), "next_key",
+        F.size(F.array_distinct("context")).cast("long").alias("kinds"),
+    )

@@ -264,6 +264,34 @@ def next_event_windows(elements: DataFrame, width: int, pad: Column) -> DataFram
     )
 
 
+def training_windows(elements: DataFrame, width: int, pad: Column, value: str, value_pad: Column) -> DataFrame:
+    """:func:`next_event_windows` with a number of each element, such as the seconds since the one before, in step with the context:
+    ``seq_id, start, context, values, next_key``. The pad has the value ``value_pad``."""
+    def context(w):
+        return F.collect_list(F.struct("pos", "key", value)).over(w.rowsBetween(1 - width, 0))
+
+    seen = over_neighbours(
+        elements.select("seq_id", "pos", "key", value), ["seq_id"], "pos", width - 1, 1, {"_ctx": context, "_next": lambda w: F.lead("key").over(w)}
+    )
+    kept = seen.filter((F.size("_ctx") == width) | F.col("_next").isNull())
+    return kept.select(
+        "seq_id", F.greatest(F.col("pos") - (width - 1), F.lit(0)).cast("long").alias("start"),
+        truncate_or_pad(F.col("_ctx.key"), width, pad).alias("context"), truncate_or_pad(F.col(f"_ctx.{value}"), width, value_pad).alias("values"),
+        F.coalesce("_next", pad).alias("next_key"),
+    )
+
+
+def required(found: Column, what: str, name: Column) -> Column:
+    """``found``, or an error that names what was looked up without success."""
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit(f"no {what} for "), F.coalesce(name.cast("string"), F.lit("null")))))
+
+
+def labelled_strictly(sessions: DataFrame, labels: DataFrame, by: str = "seq_id") -> DataFrame:
+    """Sessions with their ``label`` from a table that must know all of them; an unknown session is an error."""
+    found = sessions.join(labels.select(by, F.col("label").alias("_label")), by, "left")
+    return found.withColumn("label", required(F.col("_label"), "label", F.col(by))).drop("_label")
+
+
 def truncate_or_pad(values: Column, n: int | Column, fill: Column) -> Column:
     """Array cut or right-padded to exactly ``n`` entries."""
     return F.slice(F.concat(values, F.array_repeat(fill, n)), 1, n)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text
 from strandline.functions.text import WILDCARD
 from strandline.operators import replay
+from strandline.operators.sequences import required
 from strandline.plans.lookup import lookup_join
 from strandline.plans.running import numbered, ranged
 from strandline.session import written
@@ -298,8 +299,10 @@ def assign_known(messages: DataFrame, templates: DataFrame, tokens: str) -> Data
 
 
 def decode_templates(elements: DataFrame, templates: DataFrame) -> DataFrame:
-    """Replace event ids by their templates; an unknown id is an error, found as a null."""
-    return lookup_join(elements, templates.select("EventId", "EventTemplate"), ["EventId"], "left", F.col("pos"))
+    """Replace event ids by their templates; an unknown id is an error."""
+    known = templates.select("EventId", F.col("EventTemplate").alias("_known"))
+    found = lookup_join(elements, known, ["EventId"], "left", F.col("pos"))
+    return found.withColumn("EventTemplate", required(F.col("_known"), "template", F.col("EventId"))).drop("_known")
 
 
 def decode_lines(elements: DataFrame, lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import codec, text
-from strandline.operators import sequences
+from strandline.operators import sequences, templates
 from strandline.sources import logs
 
 
@@ -122,3 +122,16 @@ def test_sessions_and_chunks(spark):
     got = {r.chunk: r.key for r in sequences.chunks(elements, 3, ["key"], seq_len=5).collect()}
     assert got == {0: ["k0", "k1", "k2"], 1: ["k3", "k4"]}
     assert sequences.at_least(elements, 8).count() == 0 and sequences.at_least(elements, 7).count() == 7
+
+
+def test_unknown_ids_are_rejected(spark):
+    sessions = spark.createDataFrame([(1,), (2,)], "seq_id long")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "seq_id long, label long")
+    assert {(r.seq_id, r.label) for r in sequences.labelled_strictly(sessions, labels).collect()} == {(1, 0), (2, 1)}
+    with pytest.raises(Exception, match="no label for 2"):
+        sequences.labelled_strictly(sessions, labels.where("seq_id = 1")).collect()
+    elements = spark.createDataFrame([(0, "e1"), (1, "e2")], "pos long, EventId string")
+    known = spark.createDataFrame([("e1", "a <*>")], "EventId string, EventTemplate string")
+    with pytest.raises(Exception, match="no template for e2"):
+        templates.decode_templates(elements, known).collect()
+    assert templates.decode_templates(elements.where("pos = 0"), known).first()["EventTemplate"] == "a <*>"
