@@ -136,10 +136,41 @@ def _dense(batch: pd.DataFrame, size: int, rows: int = 1024) -> Iterator[tuple[p
         yield piece, x
 
 
+PAIRS = 1 << 21
+
+
+def _add_up(codes: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with the sums of their values."""
+    if not codes:
+        return np.zeros(0, np.int64), np.zeros(0)
+    found, place = np.unique(np.concatenate(codes), return_inverse=True)
+    return found, np.bincount(place, np.concatenate(values), len(found))
+
+
+def _pair_sums(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Products of the pairs of keys that meet in a row, summed by pair; memory follows the pairs that occur."""
+    codes, values, held, limit = [], [], 0, PAIRS
+    for batch in batches:
+        for idx, val in zip(batch["idx"], batch["val"]):
+            order = np.argsort(idx)
+            i, x = np.asarray(idx, np.int64)[order], np.asarray(val, float)[order]
+            a, b = np.triu_indices(len(i))
+            codes.append(i[a] * size + i[b])
+            values.append(x[a] * x[b])
+            held += len(a)
+            if held > limit:
+                made = _add_up(codes, values)
+                codes, values, held, limit = [made[0]], [made[1]], 0, max(PAIRS, len(made[0]))
+    found, sums = _add_up(codes, values)
+    kept = sums != 0
+    yield pd.DataFrame({"i": found[kept] // size, "j": found[kept] % size, "value": sums[kept]})
+
+
 def gramian(rows: DataFrame, size: int) -> DataFrame:
     """``i, j, value`` of the uncentred product of the matrix with itself (``i <= j``, non-zero cells).
 
-    Every task adds up its own rows and emits one partial matrix; pairs of keys are never emitted per sequence.
+    Every task adds up its own rows, in a dense block up to ``DENSE_KEYS`` keys and by pair beyond; pairs of keys are never
+    shuffled per sequence.
     """
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size, size))
@@ -149,7 +180,8 @@ def gramian(rows: DataFrame, size: int) -> DataFrame:
         i, j = np.nonzero(np.triu(total))
         yield pd.DataFrame({"i": i, "j": j, "value": total[i, j]})
 
-    return rows.select("idx", "val").mapInPandas(partial, "i int, j int, value double").groupBy("i", "j").agg(
+    run = partial if size <= DENSE_KEYS else (lambda batches: _pair_sums(batches, size))
+    return rows.select("idx", "val").mapInPandas(run, "i int, j int, value double").groupBy("i", "j").agg(
         F.sum("value").alias("value")
     )
 

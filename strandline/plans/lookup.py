@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.session import written
 
@@ -14,6 +15,20 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: text by its length, numbers by their width, nested values by their JSON form."""
+    total = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.length(F.to_json(F.struct(field.name))), F.lit(0))
+        else:
+            total = total + F.lit(8)
+    return total
+
+
 def lookup_join(
     facts: DataFrame,
     dictionary: DataFrame,
@@ -30,7 +45,7 @@ def lookup_join(
     """
     # Written, so that its size is taken and its rows are joined from one computation.
     kept = written(dictionary)
-    size = kept.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    size = kept.agg(F.count(F.lit(1)).alias("rows"), F.sum(_bytes(kept)).alias("bytes")).first()
     if size["rows"] <= broadcast_rows and (size["bytes"] or 0) <= BROADCAST_BYTES:
         return facts.join(F.broadcast(kept), list(on), how)
     if spread is None:

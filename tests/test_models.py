@@ -187,3 +187,15 @@ def test_tfidf_fixture(spark):
     df = spark.createDataFrame([(0, "a", 2), (0, "b", 1), (1, "a", 1), (1, "c", 1)], "seq_id long, key string, cnt long")
     got = {(r.seq_id, r.key): round(r.value, 6) + 0.0 for r in features.CountFeatures(df, idf=True).transform(df).collect()}
     assert got[(0, "b")] == got[(1, "c")] == 0.693147 and abs(got[(0, "a")]) == 0
+
+
+def test_gramian_of_many_keys_is_summed_by_pair(spark, monkeypatch):
+    rng = random.Random(11)
+    cells = [(s, f"k{k:02d}", float(rng.randrange(1, 4))) for s in range(60) for k in rng.sample(range(30), 6)]
+    df = spark.createDataFrame(cells, "seq_id long, key string, value double").repartition(3)
+    matrix = vd.CountMatrix(df)
+    rows = matrix.rows(df)
+    dense = {(r.i, r.j): r.value for r in vd.gramian(rows, matrix.size).collect()}
+    monkeypatch.setattr(vd, "DENSE_KEYS", 4)
+    monkeypatch.setattr(vd, "PAIRS", 100)
+    assert {(r.i, r.j): r.value for r in vd.gramian(rows, matrix.size).collect()} == dense
