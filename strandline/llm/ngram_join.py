@@ -48,6 +48,7 @@ CENTRES = 2
 ASKED = 4
 STAR_GROUP = 50
 SMALL_IDS = 1_000_000
+SMALL_WANTED = 300_000
 
 
 def needed(total, percent: int):
@@ -512,6 +513,11 @@ class Join:
         ids = wanted.select(F.col("one").alias("doc_id")).distinct()
         docs = self.docs.join(small(ids, SMALL_IDS), "doc_id", "left_semi")
         sets = self.sets(docs, whole=True).withColumnRenamed("doc_id", "one")
+        # The list of who is wanted where is far smaller than the sets: up to a counted size it goes to them, and the sets are
+        # exchanged once, by cell; beyond, they are joined by shuffle before.
+        held = wanted.agg(F.count("*").alias("rows"), F.sum(F.size("partners")).alias("partners")).first()
+        if held["rows"] <= SMALL_WANTED and (held["partners"] or 0) <= 8 * SMALL_WANTED:
+            wanted = F.broadcast(wanted)
         rows = sets.join(wanted, ["one", "size", "d1", "d2"]).select("cell", "i", "j", "v", "partners", "tokens")
         dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
         return dealt.mapInArrow(lambda b: _verify_task(percent, b), "a bigint, b bigint").distinct()
