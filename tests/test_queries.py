@@ -41,3 +41,16 @@ def test_split_extremes_keep_ties(spark):
     assert got == [("max", 0.3, "train", 7, 3), ("min", 0.1, "train", 5, 1), ("min", 0.1, "train", 6, 2)]
     alone = reports.split_extremes(stats.where("n = 7"), "r", parts).collect()
     assert sorted(x["extreme"] for x in alone) == ["max", "min"]
+
+
+def test_session_table_holds_whole_sessions(spark, tmp_path):
+    """A session longer than 4 096 elements is still one row."""
+    folder, n = str(tmp_path), 5000
+    rows = spark.range(n + 3).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as ts", f"if(id < {n}, 1L, 2L) as user_id",
+        "'view' as event_type", "cast(id as double) as value", "concat('{\"k\": ', id % 90, '}') as props",
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    got = {r["seq_id"]: r for r in entry_module.queries()["session_table_round_trip"](spark, folder).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {"1": n, "2": 3}
+    assert got["1"]["keys"] == " ".join(f"view_{i % 90}" for i in range(n))
