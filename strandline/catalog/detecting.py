@@ -250,7 +250,7 @@ def flagged_windows(spark, folder):
     """Next-event verdict of every window of the test sessions."""
     parts = inputs.session_parts(spark, folder)
     windows = written(
-        sequences.next_event_windows(inputs.sessions(spark, folder), NEXT_WIDTH, F.lit(sequences.PAD_TEXT)).join(parts, "seq_id")
+        sequences.next_event_windows(inputs.sessions(spark, folder), NEXT_WIDTH, F.lit(sequences.PAD_TEXT)).join(parts.hint("merge"), "seq_id")
     )
     model = detect.NextEventModel(windows.filter(F.col("part") == "train"), NEXT_WIDTH, TOP_NEXT)
     return model.flag(windows.filter(F.col("part").isin(*TESTED)))

@@ -47,7 +47,7 @@ def counts_by_part(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def elements_by_part(spark: SparkSession, folder: str) -> DataFrame:
-    return sessions(spark, folder).join(session_parts(spark, folder), "seq_id")
+    return sessions(spark, folder).join(session_parts(spark, folder).hint("merge"), "seq_id")
 
 
 def windows(spark: SparkSession, folder: str, **options) -> sequences.TimeWindows:

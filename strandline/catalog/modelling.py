@@ -41,7 +41,7 @@ kfl as (select klv.seq_id, klv.start, cast(case when t.next_key is null then 1 e
 
 def _tree(spark, folder):
     parts = inputs.session_parts(spark, folder)
-    windows = written(sequences.next_event_windows(inputs.sessions(spark, folder), NEXT_WIDTH, F.lit(sequences.PAD_TEXT)).join(parts, "seq_id"))
+    windows = written(sequences.next_event_windows(inputs.sessions(spark, folder), NEXT_WIDTH, F.lit(sequences.PAD_TEXT)).join(parts.hint("merge"), "seq_id"))
     return windows, ContextTree(windows.filter(F.col("part") == "train"), NEXT_WIDTH, TOP_NEXT, LEAST, WORTH)
 
 
@@ -169,12 +169,12 @@ def session_records(spark, folder):
     errors = vd.neighbour_error(elements, vectors, DIMS, REACH)
     train, test = _cells(spark, folder)
     flags = vd.CountSphere(train, 0.25).predict(test).select("seq_id", F.col("pred").alias("sphere_flag"))
-    records = errors.join(flags, "seq_id").select(
+    records = errors.join(flags.hint("merge"), "seq_id").select(
         "seq_id", "pos", F.col("error").alias("num_error"), (F.col("rank") >= TOP_RANK).cast("long").alias("undetected_tokens"),
         F.lit(1).cast("long").alias("masked_tokens"), (F.col("pos") + 2).alias("total_logkey"), "sphere_flag", F.col("rank").cast("double").alias("element_anomaly_score"), "label",
     )
     labels = records.groupBy("seq_id").agg(F.max("label").alias("label"))
-    return detect.roll_up_elements(records).join(labels, "seq_id")
+    return detect.roll_up_elements(records).join(labels.hint("merge"), "seq_id")
 
 
 @query(

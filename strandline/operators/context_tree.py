@@ -44,7 +44,7 @@ class ContextTree(NextEventModel):
         kept = self.nodes.select("order", "suffix")
         rows = None
         for n, level in enumerate(levels):
-            found = level.join(kept.where(F.col("order") == n).select("suffix"), "suffix", "left_semi").select("order", "suffix", "next_key", "cnt")
+            found = level.join(kept.where(F.col("order") == n).select("suffix").hint("merge"), "suffix", "left_semi").select("order", "suffix", "next_key", "cnt")
             rows = found if rows is None else rows.unionByName(found)
         self.width, self.g = width, g
         self.candidates = written(self.best_of(rows, g))
@@ -64,7 +64,7 @@ class ContextTree(NextEventModel):
             wanted = F.col("gain") >= worth
             if kept is not None:
                 carried = kept.where(F.col("order") == n + 1).select(F.col("shorter").alias("suffix")).distinct().withColumn("_held", F.lit(True))
-                nodes = nodes.join(carried, "suffix", "left")
+                nodes = nodes.join(carried.hint("merge"), "suffix", "left")
                 wanted = wanted | F.coalesce("_held", F.lit(False))
             nodes = written(nodes.where(wanted).select("order", "suffix", "shorter", "total", "gain"))
             kept = nodes if kept is None else kept.unionByName(nodes)

@@ -48,25 +48,26 @@ class ContextRankModel:
         singles = pairs.groupBy("key").agg(F.sum("c2").alias("freq"))
         self.overall = written(by_frequency(singles, "overall_rank").select("key", "overall_rank"))
         after_left = Window.partitionBy("left_key").orderBy(F.desc("c2"), "overall_rank")
-        self.followers = written(pairs.join(self.overall, "key").select(
+        # Joined by shuffles: the compressed tables hold far more rows than their files tell.
+        self.followers = written(pairs.join(self.overall.hint("merge"), "key").select(
             "left_key", "key", "overall_rank", F.row_number().over(after_left).alias("left_rank")
         ))
         between = Window.partitionBy("left_key", "right_key").orderBy(F.desc("c3"), "left_rank")
-        self.fillers = written(triples.join(self.followers, ["left_key", "key"]).select(
+        self.fillers = written(triples.join(self.followers.hint("merge"), ["left_key", "key"]).select(
             "left_key", "right_key", "key", "left_rank", F.row_number().over(between).alias("fill_rank")
         ))
 
     def ranks(self, contexts: DataFrame) -> DataFrame:
         """0-based rank of every distinct ``(left_key, right_key, key)``; a key never trained on ranks after all."""
         asked = contexts.select("left_key", "right_key", "key").distinct()
-        known = written(asked.join(self.fillers.drop("left_rank"), ["left_key", "right_key", "key"], "left").join(
-            self.followers.select("left_key", "key", "left_rank"), ["left_key", "key"], "left"
-        ).join(self.overall, "key", "left"))
+        known = written(asked.join(self.fillers.drop("left_rank").hint("merge"), ["left_key", "right_key", "key"], "left").join(
+            self.followers.select("left_key", "key", "left_rank").hint("merge"), ["left_key", "key"], "left"
+        ).join(self.overall.hint("merge"), "key", "left"))
         middle = known.filter(F.col("fill_rank").isNull() & F.col("left_rank").isNotNull())
         ahead = _worse_placed(middle, self.fillers, ["left_key", "right_key"], "left_rank")
         outer = known.filter(F.col("left_rank").isNull() & F.col("overall_rank").isNotNull())
         beside = outer.join(
-            _worse_placed(outer, self.followers, ["left_key"], "overall_rank").drop("overall_rank"), ["left_key", "key"]
+            _worse_placed(outer, self.followers, ["left_key"], "overall_rank").drop("overall_rank").hint("merge"), ["left_key", "key"]
         )
         size = self.overall.agg(F.max("overall_rank")).first()[0] or 0
         columns = ["left_key", "right_key", "key"]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text
 from strandline.functions.text import WILDCARD
-from strandline.plans.lookup import lookup_join
+from strandline.plans.lookup import by_size, lookup_join
 from strandline.session import written
 
 DRAWN = 256
@@ -46,7 +46,7 @@ def overlapping(messages: DataFrame, leaders: DataFrame, share: float = 0.5) ->
     asked = messages.select("message", "tokens", constants(F.col("tokens")).alias("own"), least.alias("least")).where(F.size("own") >= F.col("least"))
     opened = lookup_join(asked.select("message", F.explode("own").alias("token")), held, ["token"], "left", F.col("message"))
     ranked = opened.groupBy("message").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "token"))).alias("_t"))
-    ordered = asked.join(ranked, "message").withColumn("prefix", F.slice("_t", 1, F.size("own") - F.col("least") + 1))
+    ordered = asked.join(ranked.hint("merge"), "message").withColumn("prefix", F.slice("_t", 1, F.size("own") - F.col("least") + 1))
     # Constants without a leader have no row in the index.
     first = F.filter("prefix", lambda t: t["freq"] > 0).getField("token")
     spread = ordered.select("message", "tokens", "own", "least", first.alias("prefix")).select("*", F.explode("prefix").alias("token"))
@@ -159,8 +159,9 @@ def aligned(pairs: DataFrame) -> DataFrame:
 def best_aligned(messages: DataFrame, leaders: DataFrame, tau: float, share: float = 0.5) -> DataFrame:
     """``message, leader, length, places`` of the leader with the longest subsequence of ``tau`` of the message or more; among equals the
     shorter leader, then the first by name."""
-    found = aligned(overlapping(messages, leaders, share)).join(messages.select("message", F.size("tokens").alias("n")), "message").join(
-        leaders.select(F.col("message").alias("leader"), F.size("tokens").alias("size")), "leader"
+    # The messages are joined by a shuffle: nearly every line may be one of its own, and their compressed file is small.
+    found = aligned(overlapping(messages, leaders, share)).join(messages.select("message", F.size("tokens").alias("n")).hint("merge"), "message").join(
+        by_size(leaders.select(F.col("message").alias("leader"), F.size("tokens").alias("size"))), "leader"
     )
     enough = found.where(F.col("length") >= F.greatest(F.ceil(F.col("n") * F.lit(tau) - F.lit(1e-9)), F.lit(1)))
     best = enough.groupBy("message").agg(F.min(F.struct((-F.col("length")).alias("less"), "size", "leader", "places")).alias("_b"))
@@ -212,7 +213,7 @@ def subsequence_leaders(messages: DataFrame, tau: float, share: float = 0.5, dra
         fresh = written(left.join(chosen, "message", "left_semi"))
         found = fresh if found is None else found.unionByName(fresh)
         near = best_aligned(left, fresh, tau, share).select("message")
-        left = written(left.join(fresh.select("message").unionByName(near).distinct(), "message", "left_anti"))
+        left = written(left.join(fresh.select("message").unionByName(near).distinct().hint("merge"), "message", "left_anti"))
         wanted = min(2 * wanted, 8 * drawn)
     return written(found) if found is not None else messages.limit(0)
 
@@ -225,7 +226,7 @@ def mine_subsequences(lines: DataFrame, split: Column, tau: float = 0.5, share:
     messages = written(distinct.select("message", F.when(F.col("message") == "", F.array().cast("array<string>")).otherwise(F.split("message", separator)).alias("tokens")))
     chosen = subsequence_leaders(messages, tau, share, drawn)
     own = chosen.select("message", F.col("message").alias("leader"), F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1)).alias("places"))
-    near = best_aligned(messages.join(chosen.select("message"), "message", "left_anti"), chosen, tau, share).select("message", "leader", "places")
+    near = best_aligned(messages.join(by_size(chosen.select("message")), "message", "left_anti"), chosen, tau, share).select("message", "leader", "places")
     placed = written(own.unionByName(near))
     members = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
     agreed = placed.select("leader", F.explode("places").alias("place")).groupBy("leader", "place").agg(F.count(F.lit(1)).alias("seen"))
@@ -234,7 +235,7 @@ def mine_subsequences(lines: DataFrame, split: Column, tau: float = 0.5, share:
     last = F.coalesce(F.array_max("kept"), F.lit(-1)) + 1
     filled = F.transform("tokens", lambda t, i: F.when(F.array_contains("kept", i), t).otherwise(WILDCARD))
     template = F.concat(F.slice(filled, 1, last), F.when(last < F.size("tokens"), F.array(F.lit(WILDCARD))).otherwise(F.array().cast("array<string>")))
-    templates = placed.select("message", "leader").join(shapes.select("leader", F.array_join(template, " ").alias("EventTemplate")), "leader")
+    templates = lookup_join(placed.select("message", "leader"), shapes.select("leader", F.array_join(template, " ").alias("EventTemplate")), ["leader"], "inner", F.col("message"))
     made = lookup_join(named, templates.select(F.col("message").alias("_message"), "EventTemplate"), ["_message"], "left", F.col("line_id")).drop("_message")
     made = made.withColumn("EventTemplate", F.coalesce("EventTemplate", F.lit("")))
     return made.withColumn("EventId", text.event_id(F.col("EventTemplate")))

@@ -107,7 +107,7 @@ def leaders(messages: DataFrame, similarity: float, drawn: int = DRAWN) -> DataF
         fresh = written(left.join(chosen, "message", "left_semi"))
         found = fresh if found is None else found.unionByName(fresh)
         near = best_leaders(left.select("message", "tokens"), fresh.select("message", "tokens"), similarity).select("message")
-        left = written(left.join(fresh.select("message").unionByName(near).distinct(), "message", "left_anti"))
+        left = written(left.join(fresh.select("message").unionByName(near).distinct().hint("merge"), "message", "left_anti"))
         wanted = min(2 * wanted, 16 * drawn)  # for logs in which few messages are alike
     if found is None:
         return messages.select("message", "tokens").limit(0)
@@ -123,10 +123,11 @@ def mine_segments(lines: DataFrame, content: str, rules: list[str], similarity:
     chosen = leaders(messages, similarity, drawn)
     placed = best_leaders(messages, chosen, similarity).select("message", "leader")
     # A leader is its own, also where only its wildcards could agree.
-    placed = messages.join(placed, "message", "left").join(chosen.select("message", F.lit(True).alias("_own")), "message", "left")
+    # Joined by shuffles: nearly every line may be a message of its own, and its compressed file is small.
+    placed = messages.join(placed.hint("merge"), "message", "left").join(chosen.select("message", F.lit(True).alias("_own")).hint("merge"), "message", "left")
     placed = written(placed.select("message", "tokens", F.when(F.col("_own"), F.col("message")).otherwise(F.col("leader")).alias("leader")))
     merged = merge_by_position(placed.where(F.size("tokens") > 0).select("leader", "tokens"), ["leader"], "tokens")
-    templates = placed.select("message", "leader").join(merged.select("leader", F.array_join("template", " ").alias("EventTemplate")), "leader", "left")
+    templates = lookup_join(placed.select("message", "leader"), merged.select("leader", F.array_join("template", " ").alias("EventTemplate")), ["leader"], "left", F.col("message"))
     dictionary = templates.select(F.col("message").alias("_message"), F.coalesce("EventTemplate", F.lit("")).alias("EventTemplate"))
     made = lookup_join(named, dictionary, ["_message"], "left", F.col("line_id")).drop("_message")
     made = made.withColumn("EventTemplate", F.coalesce("EventTemplate", F.lit("")))

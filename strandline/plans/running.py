@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.plans.lookup import by_size
 from strandline.session import written
 
 LINES_PER_BLOCK = 1 << 14
@@ -100,7 +101,9 @@ def _by_block(
     per_block = tagged.groupBy(*keys).agg(
         *[_REDUCE[kind](f"_in_{name}").alias(f"_blk_{name}") for name, (kind, _) in measures.items()]
     )
+    # By their compressed files the rows may look smaller than the blocks. A table has few blocks; those of hot groups are counted.
     carried = _carry(per_block, blocks, measures, within, totals)
+    carried = by_size(written(carried)) if within else F.broadcast(carried)
     local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = tagged.select(
         "*", *[_REDUCE[kind](f"_in_{name}").over(local).alias(f"_local_{name}") for name, (kind, _) in measures.items()]

@@ -82,3 +82,32 @@ def test_lookup_join_salted_equals_broadcast(spark):
     small = lookup.lookup_join(facts, words, ["key"], "left", F.col("i"))
     large = lookup.lookup_join(facts, words, ["key"], "left", F.col("i"), broadcast_rows=1)
     assert sorted(map(tuple, small.select("i", "key", "idx").collect()), key=str) == sorted(map(tuple, large.select("i", "key", "idx").collect()), key=str)
+
+
+def test_lookup_join_keeps_hot_and_keyless_facts(spark):
+    """Only hot keys are copied; facts without a key, and entries without one, meet nothing."""
+    facts = spark.createDataFrame([(i, None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 7}") for i in range(300)], "i long, key string")
+    words = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), (None, 9)], "key string, idx long")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        plain = sorted(facts.join(words, "key", how).select("i").collect())
+        for hot in (20, 1000):
+            made = lookup.lookup_join(facts, words, ["key"], how, F.col("i"), broadcast_rows=1, hot_facts=hot)
+            assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+            assert sorted(made.select("i").collect()) == plain
+
+
+def test_driver_gets_no_large_table(spark):
+    """Compressed files look small: a dictionary, or a log, of many rows must not be broadcast for that."""
+    many = spark.range(200_000).selectExpr("id", "concat('key_', id) as key", "id + 1 as line_id", "1L as v")
+    plans = [
+        lookup.lookup_join(many, many.selectExpr("key", "id as idx"), ["key"], "left", F.col("id")),
+        running.running(many, ["line_id"], running.line_block(), {"total": ("sum", F.col("v"))}),
+    ]
+    for made in plans:
+        assert made.count() == 200_000
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        broadcast = [line for line in plan.splitlines() if "BroadcastExchange" in line]
+        assert "BroadcastHashJoin" in plan or not broadcast
+    first = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in first and "SortMergeJoin" in first
+    assert "BuildLeft" not in plans[1]._jdf.queryExecution().executedPlan().toString()
