@@ -90,9 +90,10 @@ def min_max(elements: DataFrame, column: str) -> DataFrame:
 
 
 def window_counts(windows: DataFrame) -> DataFrame:
-    """Count per key inside every context window; the pad counts as a key."""
-    opened = windows.select("seq_id", "start", F.explode("context").alias("key"))
-    return opened.groupBy("seq_id", "start", "key").agg(F.count(F.lit(1)).alias("cnt"))
+    """Count per key inside every context window; the pad counts as a key. A window is one row, so it is counted in its row."""
+    opened = windows.select("seq_id", "start", "context", F.explode(F.array_distinct("context")).alias("key"))
+    times = F.size(F.filter("context", lambda x: x.eqNullSafe(F.col("key")))).cast("long")
+    return opened.select("seq_id", "start", "key", times.alias("cnt"))
 
 
 def hashed_vectors(keys: DataFrame, tokens: Column, digits: int = 1) -> DataFrame:

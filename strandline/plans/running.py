@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandline.plans.lookup import by_size
@@ -22,6 +22,7 @@ LINES_PER_BLOCK = 1 << 14
 BLOCKS_PER_STRETCH = 1 << 12
 HASH_BLOCK_DIGITS = 3
 HOT_ROWS = 1 << 20
+ROWS_PER_TASK = 1 << 19
 
 Measures = dict[str, tuple[str, Column]]
 
@@ -48,6 +49,7 @@ def running(
     within: Sequence[str] = (),
     totals: dict[str, str] | None = None,
     hot_rows: int = HOT_ROWS,
+    task_rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add running measures along ``order`` inside each ``within`` group.
 
@@ -58,13 +60,16 @@ def running(
     blocks = block if isinstance(block, Blocks) else Blocks(block)
     if not within:
         return _by_block(df, order, blocks, measures, within, totals)
-    hot = written(df.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*within))
+    seen = Observation()
+    counted = df.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.sum("_n").alias("rows"))
+    hot = written(counted.filter(F.col("_n") > hot_rows).select(*within))
+    parts = -(-(seen.get["rows"] or 0) // task_rows)
     if hot.isEmpty():
-        return _by_group(df, order, measures, within, totals)
+        return _by_group(_spread(df, parts, within), order, measures, within, totals)
     # At most rows / hot_rows groups can be hot.
     match = _same(within, "_hot_")
     named = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in within]))
-    cold_rows = _by_group(df.join(named, match, "left_anti"), order, measures, within, totals)
+    cold_rows = _by_group(_spread(df.join(named, match, "left_anti"), parts, within), order, measures, within, totals)
     hot_part = _by_block(df.join(named, match, "left_semi"), order, blocks, measures, within, totals)
     return cold_rows.unionByName(hot_part)
 
@@ -79,6 +84,11 @@ def _same(keys: Sequence[str], prefix: str) -> Column:
     return condition
 
 
+def _spread(df: DataFrame, parts: int, within: list[str]) -> DataFrame:
+    """Groups dealt to more tasks than a shuffle has by its setting, where these would hold too many rows each."""
+    return df.repartition(parts, *within) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _by_group(
     df: DataFrame, order: Sequence[Column | str], measures: Measures, within: list[str], totals: dict[str, str]
 ) -> DataFrame:

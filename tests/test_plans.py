@@ -111,3 +111,23 @@ def test_driver_gets_no_large_table(spark):
     first = plans[0]._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in first and "SortMergeJoin" in first
     assert "BuildLeft" not in plans[1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_are_dealt_by_their_rows(spark):
+    """More rows than the shuffle's tasks should hold are numbered in more tasks, with the same numbers."""
+    rows = spark.range(2000).selectExpr("id as line_id", "if(id % 50 = 0, null, concat('g', id % 97)) as grp", "1L as x")
+    measures = {"at": ("sum", F.col("x"))}
+    plain = running.running(rows, ["line_id"], running.line_block(), measures, ["grp"])
+    spread = running.running(rows, ["line_id"], running.line_block(), measures, ["grp"], task_rows=100)
+    assert spread.rdd.getNumPartitions() == 20
+    assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_window_counts_need_no_exchange(spark):
+    from strandline.operators import features
+
+    windows = spark.createDataFrame([("a", 0, ["x", "x", "y"]), ("a", 1, ["x", None, None]), (None, 0, ["<pad>"])], "seq_id string, start long, context array<string>")
+    made = features.window_counts(windows)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, (tuple(r) for r in made.collect())))
+    assert got == sorted(map(str, [("a", 0, "x", 2), ("a", 0, "y", 1), ("a", 1, "x", 1), ("a", 1, None, 2), (None, 0, "<pad>", 1)]))
