@@ -201,11 +201,13 @@ def premade_sessions_vectors(spark, folder):
     fitted = packed.select("seq_id", numbers.alias("_n"))
     opened = fitted.select("seq_id", "_n", F.posexplode("_n").alias("pos", "idx"))
     counted = opened.withColumn("times", F.size(F.filter("_n", lambda x: x == F.col("idx"))).cast("long")).drop("_n")
-    vectors = tables.table(spark, folder, "embeddings").select((F.col("vec_id") + 1).alias("idx"), "embedding")
+    # Only what is shown of a vector is shuffled.
+    ends = [F.try_element_at("embedding", F.lit(i)).alias(name) for i, name in ((1, "first_value"), (-1, "last_value"))]
+    vectors = tables.table(spark, folder, "embeddings").select((F.col("vec_id") + 1).alias("idx"), *ends)
     found = lookup_join(counted, vectors, ["idx"], "left", F.col("seq_id"))
     value = lambda x: F.when(F.col("idx") == 0, F.lit(-1.0).cast("float")).otherwise(x)
     return found.select(
-        "seq_id", F.col("pos").cast("long").alias("pos"), "idx", "times", value(F.col("embedding")[0]).alias("first_value"), value(F.element_at("embedding", -1)).alias("last_value")
+        "seq_id", F.col("pos").cast("long").alias("pos"), "idx", "times", value(F.col("first_value")).alias("first_value"), value(F.col("last_value")).alias("last_value")
     )
 
 
