@@ -239,26 +239,33 @@ res as (select method, dataset, ratio, phase, level, case when p + r > 0 then 2
 
 def result_table(spark, folder):
     """Result rows of two rules that predict returned lines, per ship year, line status, pass and level."""
-    base = tables.table(spark, folder, "lineitem").select(
+    lines = tables.table(spark, folder, "lineitem").select(
         "l_orderkey", F.col("l_linestatus").alias("dataset"), ((F.year("l_shipdate") - 1992) / 100.0).alias("ratio"),
         F.when(F.col("l_orderkey") % 2 == 0, "valid").otherwise("test").alias("phase"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
-        F.explode(F.array(
-            F.struct(F.lit("discount").alias("method"), (F.col("l_discount") >= 0.05).cast("int").alias("pred")),
-            F.struct(F.lit("quantity").alias("method"), (F.col("l_quantity") >= 25).cast("int").alias("pred")),
-        )).alias("m"),
-    ).select("*", "m.*").drop("m")
-    keys = ["method", "dataset", "ratio", "phase"]
-    element = base.select(*keys, F.lit("element").alias("level"), "label", "pred")
-    sequence = base.groupBy(*keys, "l_orderkey").agg(F.max("label").alias("label"), F.max("pred").alias("pred")).select(
-        *keys, F.lit("sequence").alias("level"), "label", "pred"
+        (F.col("l_discount") >= 0.05).cast("int").alias("discount"), (F.col("l_quantity") >= 25).cast("int").alias("quantity"),
     )
-    counts = element.unionByName(sequence).groupBy(*keys, "level").agg(*[
-        F.count(F.when((F.col("label") == y) & (F.col("pred") == p), 1)).alias(name)
-        for name, y, p in (("TP", 1, 1), ("FP", 0, 1), ("FN", 1, 0), ("TN", 0, 0))
-    ])
+    keys, methods = ["dataset", "ratio", "phase"], ["discount", "quantity"]
+    cells = [("TP", 1, 1), ("FP", 0, 1), ("FN", 1, 0), ("TN", 0, 0)]
+
+    def hits(m, y, p):
+        return F.count(F.when((F.col("label") == y) & (F.col(m) == p), 1))
+
+    # Both rules and both levels from one pass: a row per order and group holds its counts, a row per group all of them.
+    by_order = lines.groupBy(*keys, "l_orderkey").agg(
+        F.max("label").alias("label"), *[F.max(m).alias(m) for m in methods],
+        *[hits(m, y, p).alias(f"{m}_{name}") for m in methods for name, y, p in cells],
+    )
+    wide = by_order.groupBy(*keys).agg(
+        *[F.sum(f"{m}_{name}").alias(f"{m}_element_{name}") for m in methods for name, _, _ in cells],
+        *[hits(m, y, p).alias(f"{m}_sequence_{name}") for m in methods for name, y, p in cells],
+    )
+    counts = wide.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("method"), F.lit(level).alias("level"), *[F.col(f"{m}_{level}_{name}").alias(name) for name, _, _ in cells])
+        for m in methods for level in ("element", "sequence")
+    ])).alias("c")).select(*keys, "c.*")
     measures = evaluate.rates(F.col("TP"), F.col("FP"), F.col("TN"), F.col("FN"))
-    return counts.select(*keys, "level", measures["F1"].alias("f1"), measures["MCC"].alias("mcc"))
+    return counts.select("method", *keys, "level", measures["F1"].alias("f1"), measures["MCC"].alias("mcc"))
 
 
 def rounded(df):
