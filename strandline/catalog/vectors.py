@@ -342,8 +342,8 @@ RETURNED = "with l as (select l_orderkey as seq_id, cast(max(case when l_returnf
 def _supervised(spark, folder, estimator):
     """Orders by the counts of their line events; label: the order has a returned line, which the counts decide. Four
     fifths of the orders are learned from, the rest is judged."""
-    cells = flag_cells(spark, folder).withColumn("learned", F.col("seq_id") % 5 < 4)
-    train = written(cells.filter("learned"))
+    cells = written(flag_cells(spark, folder).withColumn("learned", F.col("seq_id") % 5 < 4))
+    train = cells.filter("learned")
     labels = train.groupBy("seq_id").agg(F.max((F.col("key") == "flag_R").cast("int")).alias("label"))
     model = ml_detectors.Classifier(estimator(labels.count()), train.select("seq_id", "key", "value"), labels)
     return model.predict(cells.filter("not learned").select("seq_id", "key", "value"))

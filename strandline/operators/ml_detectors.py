@@ -8,24 +8,28 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strandline.operators.evaluate import exact_quantile
 from strandline.operators.vector_detectors import CountMatrix, _dense
 from strandline.session import written
 
 
-def feature_vectors(matrix: CountMatrix, cells: DataFrame) -> DataFrame:
-    """``seq_id, features``: Spark ML sparse vectors of count rows."""
-    size = matrix.size
-
-    @F.udf(VectorUDT())
-    def sparse(idx, val):
-        return SparseVector(size, idx, val)
-
-    return matrix.rows(cells).select("seq_id", sparse("idx", "val").alias("features"))
+def feature_vectors(matrix: CountMatrix, cells: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``seq_id, features`` (``label``): Spark ML sparse vectors of count rows, written once, so that no pass over them counts again."""
+    rows = matrix.rows(cells)
+    if labels is not None:
+        rows = rows.join(labels.select("seq_id", F.col("label").cast("double")), "seq_id")
+    # A sparse vector is stored as this structure, so the table is read back as vectors and no row goes through Python.
+    stored = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(matrix.size).alias("size"), F.col("idx").alias("indices"),
+        F.transform("val", lambda x: F.coalesce(x, F.lit(float("nan")))).alias("values"),
+    )
+    made = rows.select("seq_id", stored.alias("features"), *rows.columns[3:])
+    return written(made, StructType([StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in made.schema]))
 
 
 class Classifier:
@@ -33,8 +37,7 @@ class Classifier:
 
     def __init__(self, estimator, cells: DataFrame, labels: DataFrame):
         self.matrix = CountMatrix(cells)
-        train = feature_vectors(self.matrix, cells).join(labels.select("seq_id", F.col("label").cast("double")), "seq_id")
-        self.model = estimator.fit(train)
+        self.model = estimator.fit(feature_vectors(self.matrix, cells, labels))
 
     def predict(self, cells: DataFrame) -> DataFrame:
         scored = self.model.transform(feature_vectors(self.matrix, cells))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -64,14 +65,14 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` once as a parquet table in the checkpoint folder and read it back.
 
     For results that several branches of a job use (:func:`release` removes the tables afterwards): they are computed once, survive the loss of executors, and keep
-    column pruning and size statistics, so small ones are broadcast by size.
+    column pruning and size statistics, so small ones are broadcast by size. ``schema`` reads columns back as a type that is stored alike.
     """
     folder = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{folder}/strandline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
