@@ -100,8 +100,8 @@ class IsolationForest:
             grow, "tree int, node int, feature int, cut double, low int, high int, size int"
         )
         self.trees = [t.sort_values("node") for _, t in grown.toPandas().groupby("tree")]
-        scores = written(self._scores(rows))
-        self.limit = exact_quantile(scores, "score", 1 - contamination).first()["quantile"]
+        self.fitted = cells, written(self._scores(rows))
+        self.limit = exact_quantile(self.fitted[1], "score", 1 - contamination).first()["quantile"]
 
     def _scores(self, rows: DataFrame) -> DataFrame:
         trees, size, sample = self.trees, self.matrix.size, self.sample
@@ -109,15 +109,21 @@ class IsolationForest:
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for piece, x in _dense(batch, size):
-                    depth = np.mean([_depths(x, t) for t in trees], axis=0)
-                    yield pd.DataFrame({"seq_id": piece["seq_id"], "score": np.power(2.0, -depth / norm)})
+                # Equal rows of a batch walk down once.
+                held = np.empty(len(batch), dtype=object)
+                held[:] = [i.tobytes() + v.tobytes() for i, v in zip(batch["idx"], batch["val"])]
+                codes = pd.factorize(held)[0]
+                first = np.unique(codes, return_index=True)[1]
+                depth = [np.mean([_depths(x, t) for t in trees], axis=0) for _, x in _dense(batch.iloc[first], size)]
+                scores = np.power(2.0, -np.concatenate(depth) / norm) if depth else np.zeros(0)
+                yield pd.DataFrame({"seq_id": batch["seq_id"], "score": scores[codes]})
 
         kind = rows.schema["seq_id"].dataType.simpleString()
         return rows.select("seq_id", "idx", "val").mapInPandas(score, f"seq_id {kind}, score double")
 
     def predict(self, cells: DataFrame) -> DataFrame:
-        return self._scores(self.matrix.rows(cells)).withColumn("pred", (F.col("score") > F.lit(self.limit)).cast("long"))
+        scores = self.fitted[1] if cells is self.fitted[0] else self._scores(self.matrix.rows(cells))
+        return scores.withColumn("pred", (F.col("score") > F.lit(self.limit)).cast("long"))
 
 
 def _path(n: int) -> float:
