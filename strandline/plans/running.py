@@ -85,8 +85,9 @@ def _same(keys: Sequence[str], prefix: str) -> Column:
 
 
 def _spread(df: DataFrame, parts: int, within: list[str]) -> DataFrame:
-    """Groups dealt to more tasks than a shuffle has by its setting, where these would hold too many rows each."""
-    return df.repartition(parts, *within) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    """Groups dealt to tasks by their counted rows, where one task would hold too many: a shuffle by its setting is joined up again
+    by compressed bytes, which leave a task millions of narrow rows."""
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *within) if parts > 1 else df
 
 
 def _by_group(
