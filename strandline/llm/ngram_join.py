@@ -14,7 +14,10 @@ overlap share an n-gram among their first ``size - needed + 1``, so only those p
    what remains of either set cannot reach the bound. A group of more than ``CELL`` members is cut in blocks, a task for
    each pair of blocks, so no task holds a hot group;
    Large groups have a round before in which a class takes a few partners of each other component only;
-4. candidate pairs between different components are verified on the whole sets.
+4. every set has a *sketch*: the parities of its n-grams' numbers in ``bits`` buckets. Two sets differ in an n-gram at least for
+   each parity in which they differ, so a pair that differs in more parities than a linked pair may differ in n-grams is no link
+   and goes, for tree pairs in the task that finds them. No link is lost;
+5. candidate pairs between different components that are left are verified on the whole sets.
 
 Defined cases: null and empty texts and texts without words have empty sets, link with nothing and are their own
 component; repeated rows share a class; of repeated ids the smallest counts; a document without id takes the component of
@@ -39,7 +42,10 @@ FREQUENT = 1 << 17
 CELL = 1000
 MATRIX = 1 << 22
 ENOUGH = 12
-TAIL = 64
+TAIL = 16
+CELL_ROWS = 1 << 16
+SKETCH_PAIRS = 1 << 12
+LEAVING = 1 << 19
 FEW = 3
 CELL_GRAMS = 1 << 21
 CELL_PAIRS = 1024
@@ -56,6 +62,51 @@ def needed(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
+def sketch_bits(size: np.ndarray, percent: int) -> np.ndarray:
+    """Parities a set is sketched by: a power of two, four to eight times the n-grams in which linked sets of its size differ,
+    so that sets that differ in one and a half times as many seldom pass."""
+    apart = 2 * size - 2 * needed(2 * size, percent)
+    return np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(4 * apart, 64))).astype(np.int64), 0)
+
+
+def sketches(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of sets, one behind the other, and how many 64-bit words each has."""
+    bits = sketch_bits(size, percent)
+    begin = np.cumsum(bits) - bits
+    spot = begin[owner] + (value & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(spot, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64), bits // 64
+
+
+class Sketches:
+    """Sketches of rows, to be compared in pairs. One of more words is folded to the length of the other."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray) -> None:
+        self.words, self.lengths, self.begin = words, lengths, np.cumsum(lengths) - lengths
+
+    def part(self, low: int, high: int) -> Sketches:
+        ends = np.append(self.begin, len(self.words))
+        return Sketches(self.words[ends[low] : ends[high]], self.lengths[low:high])
+
+    def folded(self, rows: np.ndarray, length: int, short: int) -> np.ndarray:
+        words = self.words[self.begin[rows][:, None] + np.arange(length)]
+        return np.bitwise_xor.reduce(words.reshape(len(rows), length // short, short), axis=1)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many n-grams at least the sets of each pair of rows differ."""
+        out = np.zeros(len(a), np.int64)
+        kinds, kind = np.unique(np.stack([self.lengths[a], self.lengths[b]], axis=1), axis=0, return_inverse=True)
+        kind = kind.reshape(-1)
+        for k, (x, y) in enumerate(kinds.tolist()):
+            step = max(1, SKETCH_PAIRS * 64 // max(x, y))
+            at = np.flatnonzero(kind == k)
+            for low in range(0, len(at), step):
+                some = at[low : low + step]
+                differ = self.folded(a[some], x, min(x, y)) ^ self.folded(b[some], y, min(x, y))
+                out[some] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     """``(document, hash)`` of all n-grams of the documents of a slab, with repetitions, in text order."""
     starts, ends, bounds = word_bounds(data, offsets, WORD)
@@ -104,11 +155,11 @@ class Order:
 
 
 def _sets_task(n: int, percent: int, sent, whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's set: size, 128-bit digest, and its ordered prefix (or, if ``whole``, all of it sorted by hash)."""
+    """Each document's set: size, 128-bit digest, and its ordered prefix and sketch (or, if ``whole``, all of it sorted by hash)."""
     hasher, order = Hasher(3), Order(*sent.value)
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        sizes, first, second, tokens, lengths = [], [], [], [], []
+        sizes, first, second, tokens, lengths, words, wide = [], [], [], [], [], [], []
         for a, b in slabs(offsets):
             owner, value = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n, hasher)
             at = np.lexsort((value, owner))
@@ -124,16 +175,18 @@ def _sets_task(n: int, percent: int, sent, whole: bool, batches: Iterator[pa.Rec
                     out.append(total[begin + size] - total[begin])
             take = size
             if not whole:
+                some, width = sketches(owner, value, size, percent)
+                words.append(some), wide.append(width)
                 value = value[order.sort(owner, value)]
                 take = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
                 value = value[grouped_ranges(begin, take)]
             sizes.append(size), tokens.append(value), lengths.append(take)
         if sizes:
             signed = lambda parts: pa.array(np.concatenate(parts).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate(sizes).astype(np.int64)), signed(first), signed(second), lists(signed(tokens), np.concatenate(lengths))],
-                names=["doc_id", "size", "d1", "d2", "tokens"],
-            )
+            columns = [batch.column("doc_id"), pa.array(np.concatenate(sizes).astype(np.int64)), signed(first), signed(second), lists(signed(tokens), np.concatenate(lengths))]
+            if not whole:
+                columns.append(lists(signed(words), np.concatenate(wide)))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "d1", "d2", "tokens", "sketch"][: len(columns)])
 
 
 # ---- tree -------------------------------------------------------------------------------------------------------
@@ -141,15 +194,16 @@ def _sets_task(n: int, percent: int, sent, whole: bool, batches: Iterator[pa.Rec
 
 class Cells:
     """Rows of whole cells: sets that share an n-gram at position ``at`` of their order, with the n-grams after it up to
-    their prefix length (``flat``, ``lengths``). Rows of one cell follow each other."""
+    their prefix length (``flat``, ``lengths``), and their sketches. Rows of one cell follow each other."""
 
-    def __init__(self, cell, vertex, root, size, at, side, cross, flat, lengths) -> None:
+    def __init__(self, cell, vertex, root, size, at, side, cross, flat, lengths, sketches=None) -> None:
         self.cell, self.vertex, self.root, self.size, self.at, self.side, self.cross, self.flat, self.lengths = cell, vertex, root, size, at, side, cross, flat, lengths
+        self.sketches = sketches
 
     def part(self, low: int, high: int) -> Cells:
         ends = np.append(0, np.cumsum(self.lengths))
         rows = [x[low:high] for x in (self.cell, self.vertex, self.root, self.size, self.at, self.side, self.cross)]
-        return Cells(*rows, self.flat[ends[low] : ends[high]], self.lengths[low:high])
+        return Cells(*rows, self.flat[ends[low] : ends[high]], self.lengths[low:high], self.sketches and self.sketches.part(low, high))
 
 
 def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -159,7 +213,8 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
     branches by size (so that sizes in a subtree are within the ratio) and by the share of the set that lies behind. A path
     ends where the bound fails, at the end of a tail, or where ``ENOUGH`` n-grams are common: such pairs are near enough to
     be verified, and meet in many cells. It also ends at a stored n-gram behind the end of the query's tail: it and all
-    after it may or may not be in the unsent rest of the query, so they count as what remains.
+    after it may or may not be in the unsent rest of the query, so they count as what remains. Pairs at the end of a path are
+    compared by their sketches.
     """
     size, at, g = cells.size, cells.at, len(cells.size)
     every, flat = np.unique(cells.flat, return_inverse=True)
@@ -186,6 +241,18 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
     def leave(query: np.ndarray, low: np.ndarray, high: np.ndarray, overlap: np.ndarray, rest: np.ndarray, walked: int):
         """The pairs of queries with the rows of a node, as far as sizes, components and the bound of each row allow:
         ``rest`` n-grams of the query and all but ``walked`` of the stored tail may still be common."""
+        counts = high - low
+        total = np.cumsum(counts)
+        if len(total) > 1 and total[-1] > LEAVING:
+            # Many pairs at once are taken in turns, as few of them may be left.
+            cut = np.flatnonzero(np.diff(total // LEAVING, prepend=0)).tolist()
+            for first, last in zip([0, *cut], [*cut, len(total)]):
+                if first < last:
+                    yield from some_leave(*(x[first:last] for x in (query, low, high, overlap, rest)), walked)
+        else:
+            yield from some_leave(query, low, high, overlap, rest, walked)
+
+    def some_leave(query: np.ndarray, low: np.ndarray, high: np.ndarray, overlap: np.ndarray, rest: np.ndarray, walked: int):
         counts = high - low
         at_most = np.repeat(overlap, counts) + np.minimum(np.repeat(rest, counts), stored_left[grouped_ranges(low, counts)] - walked)
         stored, q = rows[grouped_ranges(low, counts)], np.repeat(query, counts)
@@ -193,8 +260,13 @@ def tree_pairs(cells: Cells, percent: int, order: Order) -> Iterator[tuple[np.nd
         fine &= ~cells.cross[q] | (cells.side[q] != cells.side[stored])
         fine &= (size[q] > size[stored]) | ((size[q] == size[stored]) & (q > stored))
         fine &= at_most >= needed(size[q] + size[stored], percent)
-        if fine.any():
-            yield q[fine], stored[fine]
+        q, stored = q[fine], stored[fine]
+        if cells.sketches is not None:
+            both = size[q] + size[stored]
+            fine = both - 2 * needed(both, percent) >= cells.sketches.apart(q, stored)
+            q, stored = q[fine], stored[fine]
+        if len(q):
+            yield q, stored
 
     new = np.ones(g, bool)
     parts = np.stack([cells.cell[rows], band[rows], behind[rows]])
@@ -254,12 +326,14 @@ def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
         lists_ = whole.column("tail").chunk(0)
         lengths = np.diff(lists_.offsets.to_numpy())
         vertex, root, size, at, side = (whole.column(c).to_numpy() for c in ("v", "root", "size", "at", "side"))
-        cells = Cells(np.cumsum(new)[:stop] - 1, vertex, root, size, at, side, (i != j)[:stop], lists_.flatten().to_numpy().view(np.uint64), lengths)
+        sketch = whole.column("sketch").chunk(0)
+        compared = Sketches(sketch.flatten().to_numpy().view(np.uint64), np.diff(sketch.offsets.to_numpy()).astype(np.int64))
+        cells = Cells(np.cumsum(new)[:stop] - 1, vertex, root, size, at, side, (i != j)[:stop], lists_.flatten().to_numpy().view(np.uint64), lengths, compared)
         heads = np.append(heads[heads < stop], stop)
         out, first = [], 0
         for k in range(1, len(heads)):
             widest = int(lengths[heads[first] : heads[k]].max(initial=0)) + 1
-            after = k + 1 < len(heads) and (heads[k + 1] - heads[first]) * max(widest, int(lengths[heads[k] : heads[k + 1]].max(initial=0)) + 1) <= MATRIX
+            after = k + 1 < len(heads) and heads[k + 1] - heads[first] <= CELL_ROWS and (heads[k + 1] - heads[first]) * max(widest, int(lengths[heads[k] : heads[k + 1]].max(initial=0)) + 1) <= MATRIX
             if not after:
                 out.append(cells.part(int(heads[first]), int(heads[k])))
                 first = k
@@ -299,6 +373,20 @@ def _cell_task(percent: int, sent, few: int | None, batches: Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _sketch_task(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches allow a link."""
+    for batch in batches:
+        a, size_a, b, size_b = (batch.column(c).to_numpy() for c in ("a", "size_a", "b", "size_b"))
+        columns = [batch.column("sketch_a"), batch.column("sketch_b")]
+        lengths = [np.diff(c.offsets.to_numpy()).astype(np.int64) for c in columns]
+        words = [c.flatten().to_numpy().view(np.uint64) for c in columns]
+        n = np.arange(len(a))
+        apart = Sketches(np.concatenate(words), np.concatenate(lengths)).apart(n, n + len(n))
+        both = size_a + size_b
+        fine = both - 2 * needed(both, percent) >= apart
+        yield pa.RecordBatch.from_arrays([pa.array(a[fine]), pa.array(b[fine])], names=["a", "b"])
+
+
 def _verify_task(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of whole sets (sorted hashes) with the partners to compare with, those of one cell side by side."""
 
@@ -354,14 +442,15 @@ class Join:
 
     def sets(self, docs: DataFrame, whole: bool) -> DataFrame:
         n, percent, sent = self.n, self.percent, self.order
-        return docs.mapInArrow(lambda b: _sets_task(n, percent, sent, whole, b), "doc_id bigint, size bigint, d1 bigint, d2 bigint, tokens array<bigint>")
+        schema = "doc_id bigint, size bigint, d1 bigint, d2 bigint, tokens array<bigint>" + ("" if whole else ", sketch array<bigint>")
+        return docs.mapInArrow(lambda b: _sets_task(n, percent, sent, whole, b), schema)
 
     def run(self) -> DataFrame:
         """``(doc_id, size, component_id)`` of every document."""
         shared = self.shared
         sets = shared.write(self.sets(self.docs, whole=False), "sets")
         members = shared.write(sets.select("doc_id", "size", "d1", "d2"), "members")
-        classes = sets.where("size > 0 and doc_id is not null").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("one"), F.first("tokens").alias("tokens"))
+        classes = sets.where("size > 0 and doc_id is not null").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("one"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
         classes = shared.write(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
         shared.drop("sets")
         entries = classes.select("v", "size", F.posexplode("tokens").alias("at", "token"))
@@ -381,12 +470,13 @@ class Join:
         while rounds:
             (kind, k), step = rounds.pop(0), step + 1
             if kind == "star":
-                pairs = self.star_pairs(left, k)
+                met = self.kept_for_round(self.star_pairs(left, k), "met")
+                pairs, tried = self.possible(met, classes), met.count()
             else:
                 pairs = self.pairs_by_tree(left, classes, FEW if kind == "few" else None)
             pairs = shared.write(pairs, f"pairs-{step}")
             found = shared.write(self.verified(pairs, classes), f"links-{step}")
-            linked, tried = found.count(), pairs.count()
+            linked = found.count()
             shared.drop(f"pairs-{step}", *self.scratch)
             self.scratch.clear()
             shared.settle()
@@ -460,13 +550,22 @@ class Join:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         # Longer tails would seldom be walked further; a path that ends with a tail cut here ends in candidates.
         tail = F.slice("tokens", F.col("at") + 2, F.least(F.greatest(F.size("tokens") - F.col("at") - 1, F.lit(0)), F.lit(TAIL)))
-        rows = rows.join(classes.select("v", "tokens"), "v").select(
-            "token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "v", "root", "size", F.col("at").cast("bigint").alias("at"), "side", tail.alias("tail"), "widest"
+        rows = rows.join(classes.select("v", "tokens", "sketch"), "v").select(
+            "token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "v", "root", "size", F.col("at").cast("bigint").alias("at"), "side", tail.alias("tail"), "sketch", "widest"
         )
         # Cells of sets of like sizes follow each other, so that trees walked together have like depths.
         dealt = rows.repartition("token", "i", "j").sortWithinPartitions("widest", "token", "i", "j").drop("widest")
         return dealt.mapInArrow(lambda b: _cell_task(percent, sent, few, b), "a bigint, b bigint").distinct()
 
+    def possible(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The pairs whose sketches allow a link."""
+        percent = self.percent
+        ids = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+        named = classes.select("v", "size", "sketch").join(small(ids, SMALL_IDS), "v", "left_semi")
+        for end in ("a", "b"):
+            pairs = pairs.join(named.select(F.col("v").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+        return pairs.mapInArrow(lambda b: _sketch_task(percent, b), "a bigint, b bigint")
+
     def with_partners(self, left: DataFrame) -> DataFrame:
         """Entries whose group has members of another component, of a size and position that allow a link.
 

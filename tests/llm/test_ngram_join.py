@@ -142,3 +142,36 @@ def test_words_made_to_collide_are_told_apart(spark, documents):
     other = word.translate(str.maketrans("ab", "ba"))
     docs = documents([(1, f"x y z {word}"), (2, f"x y z {other}"), (3, f"x y z {word}")])
     assert rows_of(ngram_join.linked(docs)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_sketches_never_tell_more_than_the_difference():
+    rng = np.random.default_rng(5)
+    for percent in (50, 80, 85, 100):
+        for _ in range(60):
+            grams, size = rng.integers(0, 1 << 63, size=5000).astype(np.uint64), int(rng.integers(1, 2400))
+            shared, other = int(rng.integers(0, size + 1)), int(size * rng.uniform(0.5, 1.1))
+            x, y = grams[:size], np.append(grams[:shared], grams[2500 : 2500 + max(1, other - shared)])
+            words, lengths = ngram_join.sketches(np.repeat([0, 1], [len(x), len(y)]), np.append(x, y), np.array([len(x), len(y)]), percent)
+            told = ngram_join.Sketches(words, lengths).apart(np.array([0, 1]), np.array([1, 0]))
+            assert told[0] == told[1] <= len(np.setxor1d(x, y))
+    x, y = grams[:2000], grams[2000:4000]
+    words, lengths = ngram_join.sketches(np.repeat([0, 1], 2000), np.append(x, y), np.array([2000, 2000]), 85)
+    assert ngram_join.Sketches(words, lengths).apart(np.array([0]), np.array([1]))[0] > 4000 - 2 * ngram_join.needed(4000, 85)
+
+
+def test_a_shared_passage_makes_no_candidates(spark, documents, monkeypatch):
+    """Long texts with a passage in common, and little else, are told apart before their sets are sent."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passages = [[word() for _ in range(120)] for _ in range(6)]  # of six texts each: none is frequent
+    docs = [(k, " ".join([word() for _ in range(2500)] + passages[k % 6])) for k in range(36)]
+    docs += [(100 + k, docs[k][1] + " end") for k in range(5)]
+    tried, verified = [], ngram_join.Join.verified
+
+    def counted(self, pairs, classes):
+        tried.append(pairs.count())
+        return verified(self, pairs, classes)
+
+    monkeypatch.setattr(ngram_join.Join, "verified", counted)
+    assert rows_of(ngram_join.linked(documents(docs))) == brute_force(docs)
+    assert sum(tried) <= 10
