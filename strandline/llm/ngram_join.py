@@ -436,9 +436,10 @@ class Join:
         self.scratch: list[str] = []
         self.steps = 0
         counted = self.docs.mapInArrow(lambda b: _frequent_task(n, b), "token bigint, times bigint")
-        counted = counted.groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
-        frequent = np.array([(r[0], r[1]) for r in counted], np.int64).reshape(-1, 2)
-        self.order = self.spark.sparkContext.broadcast((frequent[:, 0].view(np.uint64) if len(frequent) else np.zeros(0, np.uint64), frequent[:, 1]))
+        counted = counted.groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
+        # As two lists: that many rows as Python objects would be most of what the driver's Python holds.
+        token, times = (np.array(x, np.int64) for x in counted.agg(F.collect_list("token"), F.collect_list("times")).first())
+        self.order = self.spark.sparkContext.broadcast((token.view(np.uint64), times))
 
     def sets(self, docs: DataFrame, whole: bool) -> DataFrame:
         n, percent, sent = self.n, self.percent, self.order
@@ -446,19 +447,22 @@ class Join:
         return docs.mapInArrow(lambda b: _sets_task(n, percent, sent, whole, b), schema)
 
     def run(self) -> DataFrame:
-        """``(doc_id, size, component_id)`` of every document."""
+        """``(doc_id, size, component_id)`` of every document, written; no other table of the run stays."""
         shared = self.shared
         sets = shared.write(self.sets(self.docs, whole=False), "sets")
         members = shared.write(sets.select("doc_id", "size", "d1", "d2"), "members")
         classes = sets.where("size > 0 and doc_id is not null").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("one"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
         classes = shared.write(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
         shared.drop("sets")
-        entries = classes.select("v", "size", F.posexplode("tokens").alias("at", "token"))
+        shared.settle()
+        # Dealt by n-gram before both uses, which need the same columns, so that Spark shuffles the entries once.
+        entries = classes.select("v", "size", F.posexplode("tokens").alias("at", "token")).repartition("token")
         # Of two sets, the smaller must share an n-gram of the part of its prefix that ends at "store".
         store = F.col("size") - F.ceil(2 * self.percent * F.col("size") / (100 + self.percent)) + 1
-        several = entries.groupBy("token").agg(F.count("*").alias("members"), F.max((F.col("at") < store).cast("int")).alias("stored"))
-        several = several.where("members > 1 and stored = 1").select("token")
+        several = entries.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max((F.col("at") < store).cast("int")).alias("stored"))
+        several = several.where("low < high and stored = 1").select("token")
         entries = shared.write(entries.join(several, "token"), "entries")
+        shared.settle()
         left = self.with_partners(entries.withColumn("root", F.col("v")))
         left = shared.write(left, "open-0")
         shared.drop("entries")
@@ -475,6 +479,8 @@ class Join:
             else:
                 pairs = self.pairs_by_tree(left, classes, FEW if kind == "few" else None)
             pairs = shared.write(pairs, f"pairs-{step}")
+            if kind != "star":
+                shared.settle()
             found = shared.write(self.verified(pairs, classes), f"links-{step}")
             linked = found.count()
             shared.drop(f"pairs-{step}", *self.scratch)
@@ -498,9 +504,13 @@ class Join:
             rooted = rooted.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
             smallest = rooted.groupBy("root").agg(F.min("one").alias("component_id"))
             named = rooted.join(smallest, "root").select("size", "d1", "d2", "component_id")
-        return members.join(named, ["size", "d1", "d2"], "left").select(
+        named = members.join(named, ["size", "d1", "d2"], "left").select(
             "doc_id", "size", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
         )
+        named = Shared(self.spark).write(named, "components")
+        shared.clear()
+        shared.settle()
+        return named
 
     def unfinished(self, entries: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Entries with their component, of groups that still join several components; written."""
@@ -544,6 +554,7 @@ class Join:
         if few is not None:
             left = left.join(left.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") >= self.star_group).select("token"), "token")
         left = self.kept_for_round(left, "open-tree")
+        self.shared.settle()
         sizes = left.groupBy("token").agg(F.count("*").alias("members"), F.max("size").alias("widest"))
         blocks = F.ceil(F.col("members") / cell).cast("int")
         rows = left.join(sizes, "token").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("v", "token"), F.col("blocks")).cast("int"))
@@ -633,7 +644,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Documents without id cannot be told apart by it and stay.
     """
     named = linked(docs, **options)
-    named = Shared(docs.sparkSession).write(named, "components")
     first = named.where("doc_id = component_id").select("doc_id")
     repeated = first.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     kept = docs.join(first.distinct(), "doc_id", "left_semi")

@@ -330,13 +330,15 @@ def _fetch_task(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 def _with_texts(keyed: DataFrame, asked: DataFrame, fields: tuple[str, ...], shared: Shared, name: str) -> DataFrame:
     """The documents that ``asked`` names by ``k1, k2``, with the list ``wanted`` of its ``fields``."""
     wanted = shared.write(asked.groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields)).alias("wanted")), name)
+    shared.settle()
     ids = small(wanted.select("k1", "k2"), SMALL_IDS)
     # Equal rows give the same segments twice; one of each is enough.
     return keyed.join(ids, ["k1", "k2"], "left_semi").join(wanted, ["k1", "k2"])
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """``(k1, k2, ranges)``: for each row key with repeated strings, the byte ranges ``[first, last)`` they cover."""
+    """``(k1, k2, ranges)``: for each row key with repeated strings, the byte ranges ``[first, last)`` they cover; written, and no
+    other table of the run stays."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     spark = docs.sparkSession
@@ -346,8 +348,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     keys = all_segments.groupBy("key").agg(F.count("*").alias("places")).where("places > 1").select("key")
     # Both sides of the join come from tables, so that Spark can split a hot key's partition.
     keys = shared.write(keys, "keys")
+    shared.settle()
     places = shared.write(all_segments.join(keys, "key"), "places")
     shared.drop("segments", "keys")
+    shared.settle()
     contents = shared.write(
         places.groupBy("key", "content").agg(
             F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")
@@ -377,6 +381,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     dealt = pieces.repartition("key", "part").sortWithinPartitions("key", "part")
     found = shared.write(dealt.mapInArrow(lambda b: _suffix_task(length, b), FOUND), "found")
     shared.drop("wanted", "hot")
+    shared.settle()
     ranges = whole.unionByName(found.where("w1 is null").select("key", "content", "first", "last"))
     windows = found.where("w1 is not null")
     shared_windows = windows.groupBy("w1", "w2").agg(F.count("*").alias("chunks")).where("chunks > 1")
@@ -389,7 +394,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
         of_cuts = ranges.unionByName(twice).withColumnsRenamed({"key": "key2", "content": "content2"}).join(cut_from, ["key2", "content2"])
         ranges = ranges.unionByName(of_cuts.select("key", "content", (F.col("offset") + F.col("first")).alias("first"), (F.col("offset") + F.col("last")).alias("last")))
     bytes_ = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + length - 1).alias("last"))
-    return places.join(ranges, ["key", "content"]).groupBy("k1", "k2").agg(F.collect_set(bytes_).alias("ranges"))
+    ranges = places.join(ranges, ["key", "content"]).groupBy("k1", "k2").agg(F.collect_set(bytes_).alias("ranges"))
+    ranges = Shared(spark).write(ranges, "ranges")
+    shared.clear()
+    shared.settle()
+    return ranges
 
 
 def merged_ranges(ranges: list, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -448,13 +457,14 @@ CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kep
 
 
 def cut(docs: DataFrame, length: int = LENGTH, whole: bool = False, keep: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
-    """Each document with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, the bytes ``kept``, and a struct ``carried`` of the
-    columns ``keep``.
+    """Each document with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, the bytes ``kept``, and a struct ``carried`` of
+    ``no_text``, whether its text is null, and ``columns``, a struct of the columns ``keep``.
 
     ``whole``: leave characters that are not covered as a whole, so that ``kept`` is valid UTF-8.
     """
     ranges = repeated_ranges(docs, length, group)
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *keep).alias("carried"))
+    carried = F.struct(F.col("text").isNull().alias("no_text"), F.struct(F.lit(0).alias("_"), *keep).alias("columns"))
+    packed = docs.select("doc_id", "text", carried.alias("carried"))
     rows = _keyed(packed, "doc_id", "carried").join(ranges, ["k1", "k2"], "left")
     fields = [packed.schema["doc_id"], packed.schema["carried"]]
     return rows.mapInArrow(lambda b: _cut_task(whole, b), T.StructType(fields + T._parse_datatype_string(CUT).fields))
@@ -464,10 +474,11 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The documents with their repeated strings cut out at whole characters, and ``n_chars`` where there is one; a null text
     stays null."""
     columns = docs.columns
-    made = cut(docs, whole=True, keep=tuple(columns), **options)
-    text = F.when(F.col("carried.text").isNotNull(), F.col("kept").cast("string"))
+    # The text is sent once, to be cut, and comes back as what is kept.
+    made = cut(docs, whole=True, keep=tuple(c for c in columns if c != "text"), **options)
+    text = F.when(~F.col("carried.no_text"), F.col("kept").cast("string"))
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
-    return made.select(*[new.get(c, F.col("carried").getField(c)).alias(c) for c in columns])
+    return made.select(*[new.get(c, F.col("carried.columns").getField(c)).alias(c) for c in columns])
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -1,5 +1,7 @@
+import os
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -175,3 +177,24 @@ def test_a_shared_passage_makes_no_candidates(spark, documents, monkeypatch):
     monkeypatch.setattr(ngram_join.Join, "verified", counted)
     assert rows_of(ngram_join.linked(documents(docs))) == brute_force(docs)
     assert sum(tried) <= 10
+
+
+def test_entries_are_shuffled_once_and_only_the_result_stays(spark, documents, monkeypatch):
+    plans, made = [], []
+
+    class Watched(ngram_join.Shared):
+        def __init__(self, spark):
+            super().__init__(spark)
+            made.append(self.root.removeprefix("file:"))
+
+        def write(self, df, name):
+            if name == "entries":
+                df.collect()
+                plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+            return super().write(df, name)
+
+    monkeypatch.setattr(ngram_join, "Shared", Watched)
+    docs = [(k, f"one two three four five {'six' if k % 2 else 'seven'} {k % 5}") for k in range(20)] + [(30, None)]
+    assert rows_of(ngram_join.linked(documents(docs))) == brute_force(docs)
+    assert len(plans) == 1 and "ReusedExchange" in plans[0]
+    assert [name for root in made if Path(root).is_dir() for name in os.listdir(root)] == ["components"]

@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -104,3 +106,26 @@ def test_rows_of_a_hot_key_follow_the_documents(spark, documents, monkeypatch):
         assert "cuts" in seen
         rows[n] = seen["found"] + seen["finer"]
     assert rows[160] < 6 * rows[40] and rows[160] < 160 * 2 * 168 / 3
+
+
+def test_texts_are_sent_once_and_only_the_ranges_stay(spark, documents, monkeypatch):
+    made, cuts, cut = [], [], suffix_dedup.cut
+
+    class Watched(suffix_dedup.Shared):
+        def __init__(self, spark):
+            super().__init__(spark)
+            made.append(self.root.removeprefix("file:"))
+
+    def watched(*args, **options):
+        cuts.append(cut(*args, **options))
+        return cuts[-1]
+
+    monkeypatch.setattr(suffix_dedup, "Shared", Watched)
+    monkeypatch.setattr(suffix_dedup, "cut", watched)
+    text = "".join(chr(97 + k * k % 23) + str(k) for k in range(120))
+    docs = [(1, "a" + text), (2, text + "é"), (3, None), (4, "")]
+    kept = suffix_dedup.without_repeats(documents(docs)).select("doc_id", "text", "n_chars", "k1")
+    assert rows_of(kept) == [(1, "a", 1, 8), (2, "é", 1, 8), (3, None, None, 8), (4, "", 0, 8)]
+    sent = cuts[0].schema["carried"].dataType
+    assert "text" not in sent["columns"].dataType.names + sent.names
+    assert [name for root in made if Path(root).is_dir() for name in os.listdir(root)] == ["ranges"]
