@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -32,12 +32,22 @@ def feature_vectors(matrix: CountMatrix, cells: DataFrame, labels: DataFrame | N
     return written(made, StructType([StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in made.schema]))
 
 
+def _without_summary(model):
+    """``model`` without the summary of its training, which goes to the tasks with the model and holds the session.
+
+    A session in which any result was observed cannot be sent.
+    """
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 class Classifier:
     """A supervised Spark ML classifier on event counts; ``labels`` is ``seq_id, label``."""
 
     def __init__(self, estimator, cells: DataFrame, labels: DataFrame):
         self.matrix = CountMatrix(cells)
-        self.model = estimator.fit(feature_vectors(self.matrix, cells, labels))
+        self.model = _without_summary(estimator.fit(feature_vectors(self.matrix, cells, labels)))
 
     def predict(self, cells: DataFrame) -> DataFrame:
         scored = self.model.transform(feature_vectors(self.matrix, cells))
