@@ -23,3 +23,10 @@ def test_linear_svm_after_observation(counted):
     cells, labels = counted
     scored = ml_detectors.Classifier(ml_detectors.linear_svm(60), cells, labels).predict(cells)
     assert {r.seq_id: r.pred for r in scored.collect()} == {s: s % 2 for s in range(60)}
+
+
+def test_logistic_regression_after_observation(counted):
+    cells, labels = counted
+    scored = ml_detectors.Classifier(ml_detectors.logistic_regression(60), cells, labels).predict(cells).collect()
+    assert {r.seq_id: r.pred for r in scored} == {s: s % 2 for s in range(60)}
+    assert all((r.probability > 0.5) == bool(r.pred) for r in scored)
