@@ -30,3 +30,11 @@ def test_logistic_regression_after_observation(counted):
     scored = ml_detectors.Classifier(ml_detectors.logistic_regression(60), cells, labels).predict(cells).collect()
     assert {r.seq_id: r.pred for r in scored} == {s: s % 2 for s in range(60)}
     assert all((r.probability > 0.5) == bool(r.pred) for r in scored)
+
+
+def test_low_probability_after_observation(counted):
+    cells, labels = counted
+    model = ml_detectors.Classifier(ml_detectors.logistic_regression(60), cells, labels)
+    scored = ml_detectors.low_probability(model.predict(cells)).collect()
+    assert {r.seq_id: r.pred for r in scored} == {s: s % 2 for s in range(60)}
+    assert all((1 - r.probability < 0.2) == bool(r.pred) for r in scored)
