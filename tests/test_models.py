@@ -67,6 +67,22 @@ def test_threshold_and_areas_fixture(spark):
     assert round(a.AUROC, 6) == 0.833333 and round(a.AUPRC, 6) == 0.822222
 
 
+def test_areas_of_one_class(spark):
+    """An area over a class without rows is NaN, as in the SQL; other groups keep theirs."""
+    rows = [("a", 0.5, 1), ("a", 1.0, 1), ("n", 0.0, 0), ("n", 0.5, 0), ("both", 0.0, 0), ("both", 1.0, 1)]
+    scored = spark.createDataFrame(rows, "g string, score double, label int")
+    got = {r.g: (r.AUROC, r.AUPRC) for r in evaluate.areas(scored, ["g"]).collect()}
+    assert math.isnan(got["a"][0]) and got["a"][1] == 1.0 and all(math.isnan(x) for x in got["n"]) and got["both"] == (1.0, 1.0)
+    abnormal = scored.filter("g = 'a'").drop("g")
+    alone = evaluate.areas(abnormal).first()
+    assert math.isnan(alone.AUROC) and alone.AUPRC == 1.0
+    keyed = abnormal.withColumn("_all", F.lit(1))
+    r = evaluate.result_rows(keyed, evaluate.best_threshold(keyed, by=["_all"]), ["_all"]).first()
+    assert (r.thr, r.TP, r.FP, r.TN, r.FN, r.MCC, r.AUPRC, r.samples) == (0.0, 2, 0, 0, 0, 0.0, 1.0, 2) and math.isnan(r.AUROC)
+    empty = evaluate.areas(scored.filter("g = 'none'")).first()
+    assert empty.AUROC is None and empty.AUPRC is None
+
+
 def test_confusion_fixture(spark):
     df = spark.createDataFrame(list(zip([1, 1, 1, 0, 0, 0], [1, 0, 1, 1, 0, 0])), "pred int, label int")
     r = evaluate.confusion(df).first()

@@ -54,3 +54,19 @@ def test_session_table_holds_whole_sessions(spark, tmp_path):
     got = {r["seq_id"]: r for r in entry_module.queries()["session_table_round_trip"](spark, folder).collect()}
     assert {k: r["n"] for k, r in got.items()} == {"1": n, "2": 3}
     assert got["1"]["keys"] == " ".join(f"view_{i % 90}" for i in range(n))
+
+
+def test_windows_of_one_class(spark, tmp_path):
+    """A log whose windows are all abnormal has nothing to train on and no normal window to test."""
+    folder, n = str(tmp_path), 2000
+    spark.range(n).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 60) as ts", "id % 7 as user_id",
+        "if(id % 50 = 0, 'error', 'view') as event_type", "cast(id as double) as value", "if(id % 50 = 0, '{\"k\": 98}', concat('{\"k\": ', id % 90, '}')) as props",
+    ).write.parquet(f"{folder}/events.parquet")
+    got = entry_module.queries()["window_unseen_result"](spark, folder).first().asDict()
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    relation = con.execute(entry_module.oracle_sql()["window_unseen_result"])
+    expected = dict(zip([c[0] for c in relation.description], relation.fetchone()))
+    assert str(sorted(got.items())) == str(sorted(expected.items()))
+    assert got["TP"] == got["samples"] > 0 and got["AUPRC"] == 1.0 and got["AUROC"] != got["AUROC"]
